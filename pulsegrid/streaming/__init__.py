@@ -1,0 +1 @@
+"""Empty on purpose: the studies covered here are batch only, there is no streaming work to express."""
