@@ -26,7 +26,7 @@ END_WORDS = ("end", "done", "stop")
 START_WORDS = ("baseline", "ecg", "start")
 BASELINE_WORD, BASELINE_TYPO = "baseline", "basline"
 MARKER_PREFIXES = ("*", "1", "2", "3")
-MARKER_PATTERN = r"#([*1-3])\s*(.*)$"
+MARKER_PATTERN = r"#([*1-3])"
 
 # --- quality window search ---
 QUALITY_WIDTH_S, QUALITY_STEP_S, QUALITY_REACH_S = 15, 5, 90

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from pulsegrid.plans import relational_queries  # noqa: F401
+from pulsegrid.plans import relational_queries, rhythm_queries  # noqa: F401
 from pulsegrid.plans.registry import ORACLES, QUERIES  # noqa: F401
