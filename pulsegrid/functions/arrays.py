@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(body, *values: Column) -> Column:
+    """``body(*values)`` with every value computed once per row.
+
+    An expression used inside a lambda is otherwise evaluated again for each element. Binding it as the
+    variable of a one-element ``transform`` makes it a plain field access there.
+    """
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda r: body(*[r[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -13,18 +23,23 @@ def mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, total(a) / F.size(a))
 
 
+def _sum_squares(a: Column, m: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+
+
 def sd(a: Column, ddof: int = 1) -> Column:
-    m = mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    return F.when(F.size(a) > ddof, F.sqrt(ss / (F.size(a) - ddof)))
+    def body(v, m):
+        return F.when(F.size(v) > ddof, F.sqrt(_sum_squares(v, m) / (F.size(v) - ddof)))
+    return let(lambda v: let(body, v, mean(v)), a)
 
 
 def quantile(a: Column, p: float) -> Column:
     """Linear-interpolation quantile of an array without NULLs."""
-    s = F.sort_array(a)
-    h = (F.size(a) - 1) * F.lit(float(p))
-    lo, hi = F.get(s, F.floor(h).cast("int")), F.get(s, F.ceil(h).cast("int"))
-    return F.when(F.size(a) > 0, lo + (hi - lo) * (h - F.floor(h)))
+    def body(s):
+        h = (F.size(s) - 1) * F.lit(float(p))
+        lo, hi = F.get(s, F.floor(h).cast("int")), F.get(s, F.ceil(h).cast("int"))
+        return F.when(F.size(s) > 0, lo + (hi - lo) * (h - F.floor(h)))
+    return let(body, F.sort_array(a))
 
 
 def median(a: Column) -> Column:
@@ -45,11 +60,11 @@ def first_true(a: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     """0-based index of the first maximum."""
-    return F.array_position(a, F.array_max(a)) - 1
+    return let(lambda v: F.array_position(v, F.array_max(v)) - 1, a)
 
 
 def argmin(a: Column) -> Column:
-    return F.array_position(a, F.array_min(a)) - 1
+    return let(lambda v: F.array_position(v, F.array_min(v)) - 1, a)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,11 +76,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    ma, mb = mean(a), mean(b)
-    num = F.aggregate(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)), F.lit(0.0), lambda s, x: s + x)
-    va = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - ma) * (x - ma))
-    vb = F.aggregate(b, F.lit(0.0), lambda s, x: s + (x - mb) * (x - mb))
-    return F.when((va > 0) & (vb > 0), num / F.sqrt(va * vb))
+    def body(x, y, mx, my):
+        cross = F.aggregate(F.zip_with(x, y, lambda u, v: (u - mx) * (v - my)), F.lit(0.0), lambda s, e: s + e)
+        scale = _sum_squares(x, mx) * _sum_squares(y, my)
+        return F.when(scale > 0, cross / F.sqrt(scale))
+    return let(lambda x, y: let(body, x, y, mean(x), mean(y)), a, b)
 
 
 def rmse(a: Column, b: Column) -> Column:
