@@ -113,8 +113,8 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str
     if total:
         columns.append(F.sum("_k").over(W.partitionBy(*keys)).alias(total))
     carry = carry.select(*keys, BLOCK, *columns)
-    out = _join_on(blocked.withColumn("_i", F.row_number().over(inside)), carry, [*keys, BLOCK])
-    return out.withColumn(name, F.col("_i") + F.col("_carry")).drop("_i", "_carry", BLOCK)
+    out = _join_on(blocked.withColumn("_inblock", F.row_number().over(inside)), carry, [*keys, BLOCK])
+    return out.withColumn(name, F.col("_inblock") + F.col("_carry")).drop("_inblock", "_carry", BLOCK)
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], take: dict[str, str],

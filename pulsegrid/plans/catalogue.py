@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from pulsegrid.plans import beat_queries, relational_queries, rhythm_queries  # noqa: F401
+from pulsegrid.plans import beat_queries, relational_queries, rhythm_queries, statistics_queries  # noqa: F401
 from pulsegrid.plans.registry import ORACLES, QUERIES  # noqa: F401
