@@ -23,7 +23,7 @@ def with_value_blocks(df: DataFrame, column: str) -> DataFrame:
     n = min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.select(F.col(column).cast("double").alias(column)).approxQuantile(
         column, [i / n for i in range(1, n)], 0.25 / n)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     numeric = df.withColumn("_as_double", F.col(column).cast("double"))
     return (Bucketizer(splits=splits, inputCol="_as_double", outputCol=BLOCK, handleInvalid="keep")
             .transform(numeric).drop("_as_double"))
@@ -156,9 +156,10 @@ def first_at_or_after(probes: DataFrame, events: DataFrame, keys: Sequence[str],
     asks = probes.withColumn(BLOCK, F.floor(F.col(probe_t) / within)).withColumn("_t", F.col(probe_t))
     both = asks.withColumn("_probe", F.lit(True)).unionByName(
         marks.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    ahead = (W.partitionBy(*keys, BLOCK).orderBy(F.col("_t"), F.col("_event.t").asc_nulls_first())
-             .rowsBetween(W.currentRow, W.unboundedFollowing))
-    own = both.withColumn("_own", F.first("_event", ignorenulls=True).over(ahead)).where("_probe")
+    # looking ahead = looking back in descending order; a frame that ends at UNBOUNDED FOLLOWING is quadratic
+    ahead = (W.partitionBy(*keys, BLOCK).orderBy(F.desc("_t"), F.desc("_event"))
+             .rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = both.withColumn("_own", F.last("_event", ignorenulls=True).over(ahead)).where("_probe")
     heads = marks.groupBy(*keys, BLOCK).agg(F.min("_event").alias("_next")).withColumn(BLOCK, F.col(BLOCK) - 1)
     out = _join_on(own.drop("_event", "_probe"), heads, [*keys, BLOCK], "left")
     found = F.coalesce("_own", "_next")

@@ -184,6 +184,21 @@ def column_gate(samples: DataFrame, keys: Sequence[str], value: str, limit: floa
     return med.withColumn("wrong_column", F.col("median_abs") > limit)
 
 
+def median_exceeds(samples: DataFrame, keys: Sequence[str], value: str, limit: float) -> DataFrame:
+    """Whether the exact median of abs(value) exceeds ``limit``, from counts alone.
+
+    With an even count and half the values above, the two middle values are the largest at or below and the
+    smallest above the limit. One pass of partial sums; nothing is sorted.
+    """
+    v = F.abs(value)
+    g = samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.count_if(v > limit).alias("_above"),
+        F.max(F.when(v <= limit, v)).alias("_low"), F.min(F.when(v > limit, v)).alias("_high"))
+    twice = 2 * F.col("_above")
+    return g.select(*keys, F.when(twice == F.col("_n"), (F.col("_low") + F.col("_high")) / 2.0 > limit)
+                    .otherwise(twice > F.col("_n")).alias("wrong_column"))
+
+
 def fill_gaps(samples: DataFrame, keys: Sequence[str], index: str, value: str, block: int = 65536) -> DataFrame:
     """Linear interpolation of NULL values over ``index``; the ends take the nearest valid value.
 
@@ -195,15 +210,17 @@ def fill_gaps(samples: DataFrame, keys: Sequence[str], index: str, value: str, b
     v = F.when(F.col(value).isNotNull(), F.struct(F.col(index).alias("i"), F.col(value).alias("v")))
     marked = samples.withColumn(B, F.floor(F.col(index) / F.lit(block))).withColumn("_v", v)
     inside = W.partitionBy(*keys, B).orderBy(index)
+    # both directions run from the start of their order: a frame to UNBOUNDED FOLLOWING is quadratic
     back = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = inside.rowsBetween(W.currentRow, W.unboundedFollowing)
+    ahead = W.partitionBy(*keys, B).orderBy(F.desc(index)).rowsBetween(W.unboundedPreceding, W.currentRow)
     blocks = marked.groupBy(*keys, B).agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
-    over = W.partitionBy(*keys).orderBy(B)
+    before = W.partitionBy(*keys).orderBy(B).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc(B)).rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(
-        *keys, B, F.last("_hi", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_pc"),
-        F.first("_lo", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("_nc"))
+        *keys, B, F.last("_hi", ignorenulls=True).over(before).alias("_pc"),
+        F.last("_lo", ignorenulls=True).over(after).alias("_nc"))
     near = marked.withColumns({"_p": F.last("_v", ignorenulls=True).over(back),
-                               "_n": F.first("_v", ignorenulls=True).over(ahead)})
+                               "_n": F.last("_v", ignorenulls=True).over(ahead)})
     near = near.join(blocks, [*keys, B]).withColumns(
         {"_p": F.coalesce("_p", "_pc"), "_n": F.coalesce("_n", "_nc")})
     slope = (F.col("_n.v") - F.col("_p.v")) / (F.col("_n.i") - F.col("_p.i"))

@@ -204,6 +204,11 @@ def column_gate(t):
     return V.column_gate(t.events, ["event_type"], "value", 32.5).withColumn("median_abs", F.round("median_abs", 6))
 
 
+@query("median_exceeds", "SELECT user_id, quantile_cont(abs(value), 0.5) > 32.5 AS wrong_column FROM events GROUP BY 1")
+def median_exceeds(t):
+    return V.median_exceeds(t.events, ["user_id"], "value", 32.5)
+
+
 @query("gap_interpolation", """
 WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_type <> 'error' THEN value END AS v FROM events),
  n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, last_value(v IGNORE NULLS) OVER b AS pv,
