@@ -76,11 +76,11 @@ def labelling(group: Column, kind: str) -> Column:
     if kind == "five_groups":
         return group
     if kind == "any_dox_vs_control":
-        return F.when(group == "Control", "Control").when(group.isNotNull(), "AnyDox")
+        return F.when(group == "Control", "Control").otherwise("Dox")
     if kind == "dox_vs_any_etn":
-        return F.when(group == "Dox", "Dox").when(group.startswith("Dox+"), "AnyEtn")
+        return F.when(group == "Dox", "Dox").when(group.startswith("Dox+Etn"), "DoxEtn")
     if kind == "high_etn_vs_rest":
-        return F.when(group == "Dox+Etn160", "HighEtn").when(group.isNotNull(), "Rest")
+        return F.when(group.isin("Dox+Etn16", "Dox+Etn160"), "highEtn").otherwise("rest")
     if kind == "control_vs_dox":
         return F.when(group.isin("Control", "Dox"), group)
     raise ValueError(kind)

@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from pulsegrid.plans import beat_queries, relational_queries, rhythm_queries, statistics_queries  # noqa: F401
+from pulsegrid.plans import (beat_queries, multivariate_queries, relational_queries, rhythm_queries,  # noqa: F401
+                              signal_queries, statistics_queries)
 from pulsegrid.plans.registry import ORACLES, QUERIES  # noqa: F401

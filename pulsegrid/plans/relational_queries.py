@@ -125,9 +125,9 @@ def treatment_group(t):
 @query("labelling_variants", f"""
 WITH roles AS ({ROLES_SQL}), g AS ({GROUP_SQL}), v AS (
  SELECT 'five_groups' AS kind, grp AS label, value FROM g
- UNION ALL SELECT 'any_dox_vs_control', CASE WHEN grp = 'Control' THEN 'Control' WHEN grp IS NOT NULL THEN 'AnyDox' END, value FROM g
- UNION ALL SELECT 'dox_vs_any_etn', CASE WHEN grp = 'Dox' THEN 'Dox' WHEN grp LIKE 'Dox+%' THEN 'AnyEtn' END, value FROM g
- UNION ALL SELECT 'high_etn_vs_rest', CASE WHEN grp = 'Dox+Etn160' THEN 'HighEtn' WHEN grp IS NOT NULL THEN 'Rest' END, value FROM g
+ UNION ALL SELECT 'any_dox_vs_control', CASE WHEN grp = 'Control' THEN 'Control' ELSE 'Dox' END, value FROM g
+ UNION ALL SELECT 'dox_vs_any_etn', CASE WHEN grp = 'Dox' THEN 'Dox' WHEN grp LIKE 'Dox+Etn%' THEN 'DoxEtn' END, value FROM g
+ UNION ALL SELECT 'high_etn_vs_rest', CASE WHEN grp IN ('Dox+Etn16', 'Dox+Etn160') THEN 'highEtn' ELSE 'rest' END, value FROM g
  UNION ALL SELECT 'control_vs_dox', CASE WHEN grp IN ('Control', 'Dox') THEN grp END, value FROM g)
 SELECT kind, label, count(*) AS n, round(avg(value), 4) AS mean FROM v WHERE label IS NOT NULL GROUP BY 1, 2""")
 def labelling_variants(t):
