@@ -120,7 +120,7 @@ def spearman(long: DataFrame, keys: Sequence[str], x: str, y: str = "value") ->
     cells = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_k"))
     def ranks(c, name):
         weighted = cells.groupBy(*keys, c).agg(F.sum("_k").alias("_m"))
-        r = O.running_sums(weighted, keys, c, ["_m"])
+        r = O.running_sums(weighted, keys, c, ["_m"], cut_from=long)
         return r.select(*keys, c, (F.col("_m_before") + (F.col("_m") + 1) / 2.0).alias(name))
     j = cells.join(ranks(x, "_rx"), [*keys, x]).join(ranks(y, "_ry"), [*keys, y])
     k, a, b = F.col("_k").cast("double"), F.col("_rx"), F.col("_ry")

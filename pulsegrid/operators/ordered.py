@@ -18,10 +18,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BLOCK = "_block"
 
 
-def with_value_blocks(df: DataFrame, column: str) -> DataFrame:
-    """Add a block id that is monotone in ``column`` (non-null), about as many as shuffle partitions."""
+def with_value_blocks(df: DataFrame, column: str, cut_from: DataFrame | None = None) -> DataFrame:
+    """Add a block id that is monotone in ``column`` (non-null), about as many as shuffle partitions.
+
+    ``cut_from`` names a cheaper frame with the same column to place the cuts by: the rows before they were
+    grouped, so that the quantile pass is a plain scan.
+    """
     n = min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = df.select(F.col(column).cast("double").alias(column)).approxQuantile(
+    source = df if cut_from is None else cut_from
+    cuts = source.select(F.col(column).cast("double").alias(column)).approxQuantile(
         column, [i / n for i in range(1, n)], 0.25 / n)
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     numeric = df.withColumn("_as_double", F.col(column).cast("double"))
@@ -34,13 +39,13 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                 totals: bool = False) -> DataFrame:
+                 totals: bool = False, cut_from: DataFrame | None = None) -> DataFrame:
     """For rows unique by (keys, order): ``<c>_before`` = sum of ``c`` over strictly smaller ``order``.
 
     With ``totals`` also ``<c>_total`` over the whole group.
     """
     keys = list(keys)
-    blocked = with_value_blocks(df, order)
+    blocked = with_value_blocks(df, order, cut_from)
     inside = W.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
@@ -58,7 +63,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
 def value_counts_with_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n`` ties, ``n_before`` smaller rows, ``n_total`` rows, ``avg_rank``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = running_sums(counts, keys, value, ["n"], totals=True)
+    ranked = running_sums(counts, keys, value, ["n"], totals=True, cut_from=df)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
@@ -87,7 +92,7 @@ def cross_group_ranks(df: DataFrame, keys: Sequence[str], group: str, value: str
                    .groupBy(*keys, value, group).agg(F.count("*").alias("_k")))
     pooled = per_group.groupBy(*keys, value).agg(
         F.sum("_k").alias("ties"), F.collect_list(F.struct(group, "_k")).alias("_arms"))
-    ranked = running_sums(pooled, keys, value, ["ties"], totals=True)
+    ranked = running_sums(pooled, keys, value, ["ties"], totals=True, cut_from=df)
     return ranked.select(*keys, value, "ties", F.col("ties_total").alias("n_total"),
                          (F.col("ties_before") + (F.col("ties") + 1) / 2.0).alias("avg_rank"),
                          F.inline("_arms")).withColumnRenamed("_k", "n")
@@ -98,7 +103,7 @@ def ordered_level_counts(df: DataFrame, keys: Sequence[str], level: str, value:
     names = [f"c{i}" for i in range(n_levels)]
     counts = df.where(F.col(value).isNotNull() & F.col(level).isNotNull()).groupBy(*keys, value).agg(
         *[F.count_if(F.col(level) == i).alias(c) for i, c in enumerate(names)])
-    return running_sums(counts, keys, value, names, totals=True)
+    return running_sums(counts, keys, value, names, totals=True, cut_from=df)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (),
