@@ -177,3 +177,39 @@ def subsampled_labels(df: DataFrame, id_: str, k: int, x: str = "x", runs: int =
                  "ward": lambda: ward(sub, id_, k, x)}[a]()
             out = out.join(c.select(id_, F.col("cluster").alias(f"_{r}_{a}")), id_, "left")
     return out.select(id_, F.array(*[c for c in out.columns if c != id_]).alias("labels"))
+
+
+def consensus_cut(labels: DataFrame, id_: str, runs: str, k: int, max_signatures: int = 3000, name: str = "phenotype") -> DataFrame:
+    """Average linkage on one minus the co-assignment rate, cut at ``k``.
+
+    Rows with the same labels in every run are one weighted point, so the linkage works on distinct label
+    vectors. Their number is checked; more than ``max_signatures`` is refused rather than thinned out.
+    """
+    kinds = labels.groupBy(runs).agg(F.count("*").alias("_w"))
+    if kinds.count() > max_signatures:
+        raise ValueError(f"more than {max_signatures} distinct label vectors: use fewer runs or clusters")
+    element = dict(labels.dtypes)[runs]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        lab = np.array([[-1 if v is None or v != v else int(v) for v in r] for r in pdf[runs]])
+        seen = lab >= 0
+        both = seen.astype(float) @ seen.T.astype(float)
+        same = sum((lab[:, [r]] == lab[:, r][None]) & seen[:, [r]] for r in range(lab.shape[1])).astype(float)
+        d = 1.0 - np.divide(same, both, out=np.zeros_like(same), where=both > 0)
+        w, n = pdf["_w"].to_numpy(float), len(pdf)
+        np.fill_diagonal(d, np.inf)
+        root, alive = np.arange(n), n
+        while alive > k:
+            i, j = divmod(int(d.argmin()), n)
+            d[i] = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
+            d[i, [i, j]] = np.inf
+            d[:, i] = d[i]
+            d[j] = d[:, j] = np.inf
+            w[i] += w[j]
+            root[root == root[j]] = root[i]
+            alive -= 1
+        return pd.DataFrame({runs: pdf[runs], name: (np.unique(root, return_inverse=True)[1] + 1).astype("int32")})
+    cut = kinds.groupBy(F.lit(1).alias("_all")).applyInPandas(link, f"{runs} {element}, {name} int")
+    # a label vector as text is a plain equality key
+    key = lambda df: df.withColumn("_key", F.to_json(F.struct(runs)))
+    return key(labels).join(key(cut).drop(runs), "_key").drop("_key")

@@ -132,3 +132,31 @@ def median_pairwise_slope(long: DataFrame, keys: Sequence[str], level: str, n_le
     found = listed.withColumn("_c", F.col("_clo") + F.sum("_k").over(run)).where(F.col("_c") >= F.col("_want")).groupBy(
         *keys, "_want").agg(F.min("_slope").alias("_slope"))
     return found.unionByName(done).groupBy(*keys).agg(F.avg("_slope").alias("median"))
+
+
+def huber_slope(long: DataFrame, keys: Sequence[str], x: str, y: str = "value", tuning: float = 1.345, max_iter: int = 50,
+                tolerance: float = 1e-8) -> DataFrame:
+    """Huber regression of ``y`` on ``x`` by reweighted least squares; the scale is the MAD, renewed every round.
+
+    A round is one exact median and one set of weighted sums per key over all rows; the state is one row per key.
+    """
+    keys = list(keys)
+    rows = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    state = cut_lineage(rows.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept")))
+    for _ in range(max_iter):
+        res = rows.join(state, keys).withColumn("_r", F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x")))
+        scale = O.exact_quantiles(res, keys, "_r", {"_mad": 0.5}).withColumn("_s", F.col("_mad") / 0.6744897501960817)
+        limit = tuning * F.col("_s")
+        w = F.when(F.col("_r") <= limit, 1.0).otherwise(limit / F.col("_r"))
+        s = res.join(scale, keys).withColumn("_w", w).groupBy(*keys).agg(
+            F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x")).alias("wx"), F.sum(F.col("_w") * F.col("_y")).alias("wy"),
+            F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("wxx"), F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("wxy"),
+            F.max("slope").alias("_old"))
+        slope = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / (F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
+        new = cut_lineage(s.withColumn("slope", slope).select(
+            *keys, "slope", ((F.col("wy") - F.col("slope") * F.col("wx")) / F.col("w")).alias("intercept"), F.abs(F.col("slope") - F.col("_old")).alias("_step")))
+        done = (new.agg(F.max("_step")).first()[0] or 0.0) <= tolerance
+        state = new.drop("_step")
+        if done:
+            break
+    return state

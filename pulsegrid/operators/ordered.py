@@ -146,26 +146,40 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str
                             for n, c in take.items()}).drop("_edge", "_end", BLOCK)
 
 
+def block_width(df: DataFrame, keys: Sequence[str], order: str, rows_per_block: int = 1_000_000) -> int:
+    """Ticks per block so that the largest group has about ``rows_per_block`` rows in each.
+
+    One counting pass; the answer is a single row. Sampled signals have a fixed rate and need no such pass.
+    """
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    top = per_key.agg(F.max(F.struct("n", "lo", "hi")).alias("t")).first()["t"]
+    if top is None or top["lo"] is None:
+        return 1
+    return max(1, -(-(top["hi"] - top["lo"] + 1) * rows_per_block // top["n"]))
+
+
 def first_at_or_after(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_t: str, event_t: str,
-                      within: int, take: Sequence[str] = (), name: str = "found") -> DataFrame:
+                      within: int, take: Sequence[str] = (), name: str = "found", block: int | None = None) -> DataFrame:
     """For each probe the earliest event with ``probe_t <= event_t <= probe_t + within`` in the same keys.
 
-    The axis is cut into blocks of ``within`` ticks: the answer lies in the probe's own block or is the first
-    event of the next one. Neither pairs nor whole groups are formed. The result struct ``name`` holds
-    ``t`` and the ``take`` columns; it is NULL where nothing was found.
+    The axis is cut into blocks of ``block`` ticks (default: ``within``): the answer is in the probe's own block
+    or is the first event of the next block that has one. Neither pairs nor whole groups are formed. The
+    result struct ``name`` holds ``t`` and the ``take`` columns; it is NULL where nothing was found.
     """
-    keys = list(keys)
+    keys, width = list(keys), block or within
     body = F.struct(F.col(event_t).alias("t"), *take)
-    marks = events.select(*keys, F.floor(F.col(event_t) / within).alias(BLOCK), F.col(event_t).alias("_t"),
+    marks = events.select(*keys, F.floor(F.col(event_t) / width).alias(BLOCK), F.col(event_t).alias("_t"),
                           body.alias("_event"))
-    asks = probes.withColumn(BLOCK, F.floor(F.col(probe_t) / within)).withColumn("_t", F.col(probe_t))
+    asks = probes.withColumn(BLOCK, F.floor(F.col(probe_t) / width)).withColumn("_t", F.col(probe_t))
     both = asks.withColumn("_probe", F.lit(True)).unionByName(
         marks.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
     # looking ahead = looking back in descending order; a frame that ends at UNBOUNDED FOLLOWING is quadratic
     ahead = (W.partitionBy(*keys, BLOCK).orderBy(F.desc("_t"), F.desc("_event"))
              .rowsBetween(W.unboundedPreceding, W.currentRow))
     own = both.withColumn("_own", F.last("_event", ignorenulls=True).over(ahead)).where("_probe")
-    heads = marks.groupBy(*keys, BLOCK).agg(F.min("_event").alias("_next")).withColumn(BLOCK, F.col(BLOCK) - 1)
+    later = W.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+    heads = both.groupBy(*keys, BLOCK).agg(F.min("_event").alias("_head"))
+    heads = heads.select(*keys, BLOCK, F.last("_head", ignorenulls=True).over(later).alias("_next"))
     out = _join_on(own.drop("_event", "_probe"), heads, [*keys, BLOCK], "left")
     found = F.coalesce("_own", "_next")
     return (out.withColumn(name, F.when(found["t"] <= F.col(probe_t) + within, found))

@@ -32,10 +32,10 @@ def annotate_markers(markers: DataFrame, text: str = "text") -> DataFrame:
 
 # ---- baseline window ----------------------------------------------------------------------------------------
 def _pairs(starts: DataFrame, ends: DataFrame, keys: Sequence[str], low: int, high: int, tier: Column,
-           rule: Column) -> DataFrame:
+           rule: Column, block: int | None = None) -> DataFrame:
     """Per start the first end with a gap in [low, high]; the caller keeps the earliest start."""
     probes = starts.withColumn("_from", F.col("idx") + low)
-    found = O.first_at_or_after(probes, ends, keys, "_from", "idx", high - low, take=["text"], name="_end")
+    found = O.first_at_or_after(probes, ends, keys, "_from", "idx", high - low, take=["text"], name="_end", block=block)
     return found.where(F.col("_end").isNotNull()).select(
         "recording_id", tier.alias("tier"), rule.alias("rule"), F.col("idx").alias("start"),
         F.col("_end.t").alias("end"), F.col("text").alias("start_text"), F.col("_end.text").alias("end_text"))
@@ -43,7 +43,7 @@ def _pairs(starts: DataFrame, ends: DataFrame, keys: Sequence[str], low: int, hi
 
 def baseline_windows(markers: DataFrame, recordings: DataFrame, scale: int = C.FS_HZ,
                      gap: tuple[int, int] = (C.GAP_MIN_S, C.GAP_MAX_S), long_gap: int = C.GAP_MAX_LONG_S,
-                     long_use: int = C.LONG_USE_S, single_use: int = C.SINGLE_USE_S) -> DataFrame:
+                     long_use: int = C.LONG_USE_S, single_use: int = C.SINGLE_USE_S, block: int | None = None) -> DataFrame:
     """One analysis window per recording from its annotations.
 
     ``markers`` (recording_id, idx, prefix, text + the flags of ``annotate_markers``), ``recordings``
@@ -56,10 +56,10 @@ def baseline_windows(markers: DataFrame, recordings: DataFrame, scale: int = C.F
     prefix_rank = F.array_position(F.array(*[F.lit(p) for p in C.MARKER_PREFIXES]), F.col("prefix"))
     known = F.col("prefix").isin(*C.MARKER_PREFIXES)
     same = _pairs(starts.where(known), ends.where(known), ["recording_id", "prefix"], lo, hi,
-                  prefix_rank.cast("int"), F.concat(F.lit("A_same_"), F.col("prefix")))
-    cross = _pairs(starts, ends, ["recording_id"], lo, hi, F.lit(10), F.lit("B_cross"))
+                  prefix_rank.cast("int"), F.concat(F.lit("A_same_"), F.col("prefix")), block)
+    cross = _pairs(starts, ends, ["recording_id"], lo, hi, F.lit(10), F.lit("B_cross"), block)
     long = _pairs(starts.where("is_baseline"), ends.where("is_baseline"), ["recording_id"], lo, long_gap * scale,
-                  F.lit(20), F.lit("C_long_baseline"))
+                  F.lit(20), F.lit("C_long_baseline"), block)
     single = marks.select(
         "recording_id",
         F.when(~F.col("is_end") & F.col("is_start_hint"), 30).when(~F.col("is_end"), 31).otherwise(32).alias("tier"),
@@ -80,11 +80,12 @@ def baseline_windows(markers: DataFrame, recordings: DataFrame, scale: int = C.F
                       F.col("w.start_text").alias("start_annotation"), F.col("w.end_text").alias("end_annotation"))
 
 
-def simple_baseline(markers: DataFrame, scale: int = C.FS_HZ, low: int = C.GAP_MIN_S, high: int = C.GAP_MAX_LONG_S):
+def simple_baseline(markers: DataFrame, scale: int = C.FS_HZ, low: int = C.GAP_MIN_S, high: int = C.GAP_MAX_LONG_S,
+                    block: int | None = None) -> DataFrame:
     """First baseline start with a baseline end ``low``..``high`` seconds later."""
     starts = markers.where("is_baseline AND NOT is_end")
     ends = markers.where("is_baseline AND is_end")
-    pairs = _pairs(starts, ends, ["recording_id"], low * scale, high * scale, F.lit(0), F.lit("baseline"))
+    pairs = _pairs(starts, ends, ["recording_id"], low * scale, high * scale, F.lit(0), F.lit("baseline"), block)
     return pairs.groupBy("recording_id").agg(F.min(F.struct("start", "end")).alias("w")).select(
         "recording_id", F.col("w.start").alias("base_start"), F.col("w.end").alias("base_end"))
 

@@ -390,8 +390,8 @@ WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
 SELECT DISTINCT o.user_id, o.event_id FROM o JOIN j ON o.n <= 15 OR o.i = (j.j * (o.n - 1)) // 14""")
 def systematic_sample(t):
     e = t.events.select("user_id", "event_id", X.micros("ts").alias("us"))
-    day = F.floor(F.col("us") / 86_400_000_000)
-    return R.systematic_sample(e, ["user_id"], "us", ["event_id"], 15, block=day).select("user_id", "event_id")
+    block = F.floor(F.col("us") / O.block_width(e, ["user_id"], "us"))
+    return R.systematic_sample(e, ["user_id"], "us", ["event_id"], 15, block=block).select("user_id", "event_id")
 
 
 @query("wide_report", f"""

@@ -24,8 +24,13 @@ def beats(t):
     return t.events.select("user_id", "event_id", "event_type", "value", X.micros("ts").alias("us"))
 
 
-def rr(t):
-    return H.rr_series(beats(t).select("user_id", "event_id", "us"), ["user_id"], "us", ["event_id"], DAY, MINUTE)
+def width(t):
+    """Block width on the time axis: a user may hold a third of all events."""
+    return O.block_width(beats(t), ["user_id"], "us")
+
+
+def rr(t, block=None):
+    return H.rr_series(beats(t).select("user_id", "event_id", "us"), ["user_id"], "us", ["event_id"], block or width(t), MINUTE)
 
 
 @query("rr_diff", f"WITH {RR} SELECT user_id, event_id, us - prev AS rr_us FROM r")
@@ -49,7 +54,8 @@ SELECT user_id, n_rr, round(CASE WHEN n_rr >= 5 THEN sdnn END, 5) AS sdnn, round
  round(CASE WHEN n_rr >= 5 THEN sdnn / m END, 6) AS cv, round(CASE WHEN n_rr >= 5 THEN sqrt(0.5 * vd) END, 5) AS sd1,
  round(CASE WHEN n_rr >= 5 THEN sqrt(greatest(2 * sdnn * sdnn - 0.5 * vd, 0)) END, 5) AS sd2 FROM a""")
 def hrv(t):
-    v = H.variability(rr(t), ["user_id"], "us", ["event_id"], DAY)
+    w = width(t)
+    v = H.variability(rr(t, w), ["user_id"], "us", ["event_id"], w)
     return v.select("user_id", "n_rr", F.round("cv", 6).alias("cv"),
                     *[F.round(c, 5).alias(c) for c in ("sdnn", "rmssd", "sd1", "sd2")])
 
@@ -116,14 +122,15 @@ SELECT u.rec AS recording_id, u.n_samples, s_idx AS base_start,
 FROM (SELECT user_id AS rec, max(epoch_us(ts)) AS n_samples FROM events GROUP BY 1) u LEFT JOIN (SELECT * FROM b WHERE rn = 1) b ON b.rec = u.rec""")
 def baseline_tiers(t):
     recs = beats(t).groupBy(F.col("user_id").alias("recording_id")).agg(F.max("us").alias("n_samples"))
-    return V.baseline_windows(markers(t), recs, scale=HOUR, gap=(10, 12), long_gap=90, long_use=60, single_use=30)
+    return V.baseline_windows(markers(t), recs, scale=HOUR, gap=(10, 12), long_gap=90, long_use=60, single_use=30,
+                              block=width(t))
 
 
 @query("simple_baseline", f"""WITH {MARKERS}, p AS (SELECT s.rec, s.idx AS s_idx, e.idx AS e_idx FROM mk s JOIN mk e ON s.rec = e.rec AND e.is_end AND NOT s.is_end AND s.is_bl AND e.is_bl
    AND e.idx - s.idx BETWEEN {10 * HOUR} AND {90 * HOUR}), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s_idx, e_idx) AS rn FROM p)
 SELECT rec AS recording_id, s_idx AS base_start, e_idx AS base_end FROM r WHERE rn = 1""")
 def simple_baseline(t):
-    return V.simple_baseline(markers(t), scale=HOUR, low=10, high=90)
+    return V.simple_baseline(markers(t), scale=HOUR, low=10, high=90, block=width(t))
 
 
 @query("marker_predicates", """
@@ -217,7 +224,7 @@ WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 SELECT user_id, i AS sample_idx, round(CASE WHEN v IS NOT NULL THEN v WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) / (ni - pi) * (i - pi) END, 6) AS mv FROM n""")
 def gap_interpolation(t):
     b = beats(t)
-    placed = O.positions(b, ["user_id"], "us", ["event_id"], "_p", block=F.floor(F.col("us") / DAY))
+    placed = O.positions(b, ["user_id"], "us", ["event_id"], "_p", block=F.floor(F.col("us") / width(t)))
     s = placed.select("user_id", (F.col("_p") - 1).alias("sample_idx"),
                       F.when(F.col("event_type") != "error", F.col("value")).alias("mv"))
     return V.fill_gaps(s, ["user_id"], "sample_idx", "mv", block=4096).select(
@@ -246,7 +253,7 @@ def fixed_segmentation(t):
 SELECT user_id, n_peaks, round(hr, 6) AS hr, CASE WHEN n_view < 5 THEN 'FAILED_FILE' WHEN med > 42 THEN 'FAILED_COLUMN' WHEN n_mark < 10 THEN 'FAILED_ANNOTATION' WHEN n_peaks < 10 THEN 'FAILED_PEAKS'
   WHEN hr BETWEEN 300 AND 700 THEN 'OK' ELSE 'NEEDS_REVIEW' END AS status FROM u""")
 def status_gates(t):
-    base = H.rr_series(beats(t), ["user_id"], "us", ["event_id"], DAY, MINUTE).groupBy("user_id").agg(
+    base = H.rr_series(beats(t), ["user_id"], "us", ["event_id"], width(t), MINUTE).groupBy("user_id").agg(
         F.count("*").alias("n_peaks"), (60000.0 / F.avg("rr_ms")).alias("hr"),
         F.count_if(F.col("event_type") == "signup").alias("n_mark"), F.count_if(F.col("event_type") == "view").alias("n_view"))
     u = base.join(V.column_gate(t.events, ["user_id"], "value", 42), "user_id")

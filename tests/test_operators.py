@@ -51,6 +51,21 @@ def test_positions_and_neighbours(hot):
                 assert near[r[0]] == (rs[j][2] if 0 <= j < len(rs) else None)
 
 
+def test_block_width_and_forward_search(hot, spark):
+    """Any block width gives the same forward matches as looking at every later event."""
+    df, rows = hot
+    assert O.block_width(df, ["g"], "id", 50) == 50 and O.block_width(df.limit(0), ["g"], "id") == 1
+    probes, events = df.where("level = 0").select("g", "id"), df.where("level = 3").select("g", F.col("id").alias("e"))
+    for block in (None, 1, 7, 5000):
+        got = {r["id"]: r["hit"] for r in O.first_at_or_after(probes, events, ["g"], "id", "e", 20, name="hit", block=block).collect()}
+        for r in rows:
+            if r[2] == 0:
+                want = [x[0] for x in rows if x[1] == r[1] and x[2] == 3 and r[0] <= x[0] <= r[0] + 20]
+                assert (got[r[0]]["t"] if got[r[0]] else None) == (min(want) if want else None)
+        near = {r["id"]: r["m"] for r in O.any_within(probes, events, ["g"], "id", "e", 9, "m").collect()}
+        assert all(near[r[0]] == any(x[1] == r[1] and x[2] == 3 and abs(x[0] - r[0]) <= 9 for x in rows) for r in rows if r[2] == 0)
+
+
 def test_kruskal_jt_spearman(hot):
     df, rows = hot
     long = df.withColumn("study", F.lit(1))
