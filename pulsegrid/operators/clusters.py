@@ -32,7 +32,35 @@ def mixture(df: DataFrame, k: int, x: str = "x", seed: int = 42, name: str = "cl
     return GaussianMixture(k=k, seed=seed, featuresCol="_v", predictionCol=name, probabilityCol="_p").fit(v).transform(v).drop("_v", "_p")
 
 
-def ward(df: DataFrame, id_: str, k: int, x: str = "x", max_points: int = 1500, seed: int = 42, name: str = "cluster") -> DataFrame:
+def _agglomerate(d: np.ndarray, w: np.ndarray, k: int, combine) -> np.ndarray:
+    """Merge the closest pair until ``k`` clusters are left; each row remembers its nearest neighbour.
+
+    ``combine(i, j, other)`` gives the distances of the merged cluster to the clusters ``other``.
+    """
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    near, root, live = d.argmin(axis=1), np.arange(n), np.ones(n, bool)
+    best = d[np.arange(n), near]
+    for _ in range(max(0, n - k)):
+        i = int(best.argmin())
+        j = int(near[i])
+        i, j = min(i, j), max(i, j)
+        others = np.flatnonzero(live)
+        others = others[(others != i) & (others != j)]
+        d[i, others] = d[others, i] = combine(i, j, others)
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        w[i] += w[j]
+        live[j], best[j] = False, np.inf
+        root[root == j] = i
+        stale = np.append(others[np.isin(near[others], (i, j))], i)
+        near[stale] = d[stale].argmin(axis=1)
+        best[stale] = d[stale, near[stale]]
+        closer = others[d[others, i] < best[others]]
+        near[closer], best[closer] = i, d[closer, i]
+    return np.unique(root, return_inverse=True)[1]
+
+
+def ward(df: DataFrame, id_: str, k: int, x: str = "x", max_points: int = 3000, seed: int = 42, name: str = "cluster") -> DataFrame:
     """Ward's hierarchy cut at ``k``.
 
     Up to ``max_points`` rows (checked) it is exact. Beyond, rows are first reduced to that many k-means
@@ -51,22 +79,13 @@ def ward(df: DataFrame, id_: str, k: int, x: str = "x", max_points: int = 1500,
     kind = dict(nodes.dtypes)["_node"]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = np.stack(pdf["_x"].to_numpy()), pdf["_w"].to_numpy(float)
-        n = len(x)
-        d2 = ((x[:, None, :] - x[None]) ** 2).sum(axis=2) * (w[:, None] * w[None] / (w[:, None] + w[None]))
-        np.fill_diagonal(d2, np.inf)
-        root, alive = np.arange(n), n
-        while alive > k:
-            i, j = divmod(int(d2.argmin()), n)
-            total = w + w[i] + w[j]
-            d2[i] = ((w + w[i]) * d2[i] + (w + w[j]) * d2[j] - w * d2[i, j]) / total
-            d2[i, [i, j]] = np.inf
-            d2[:, i] = d2[i]
-            d2[j] = d2[:, j] = np.inf
-            w[i] += w[j]
-            root[root == root[j]] = root[i]
-            alive -= 1
-        return pd.DataFrame({"_node": pdf["_node"], name: np.unique(root, return_inverse=True)[1].astype("int32")})
+        x, w = np.stack(pdf["_x"].to_numpy()), pdf["_w"].to_numpy(float).copy()
+        norm = (x ** 2).sum(axis=1)
+        d2 = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0.0) * (w[:, None] * w[None] / (w[:, None] + w[None]))
+
+        def combine(i, j, o):
+            return ((w[o] + w[i]) * d2[i, o] + (w[o] + w[j]) * d2[j, o] - w[o] * d2[i, j]) / (w[o] + w[i] + w[j])
+        return pd.DataFrame({"_node": pdf["_node"], name: _agglomerate(d2, w, k, combine).astype("int32")})
     labels = nodes.groupBy(F.lit(1).alias("_all")).applyInPandas(merge, f"_node {kind}, {name} int")
     return member.join(labels, "_node").drop("_node", "_x")
 
@@ -196,19 +215,11 @@ def consensus_cut(labels: DataFrame, id_: str, runs: str, k: int, max_signatures
         both = seen.astype(float) @ seen.T.astype(float)
         same = sum((lab[:, [r]] == lab[:, r][None]) & seen[:, [r]] for r in range(lab.shape[1])).astype(float)
         d = 1.0 - np.divide(same, both, out=np.zeros_like(same), where=both > 0)
-        w, n = pdf["_w"].to_numpy(float), len(pdf)
-        np.fill_diagonal(d, np.inf)
-        root, alive = np.arange(n), n
-        while alive > k:
-            i, j = divmod(int(d.argmin()), n)
-            d[i] = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
-            d[i, [i, j]] = np.inf
-            d[:, i] = d[i]
-            d[j] = d[:, j] = np.inf
-            w[i] += w[j]
-            root[root == root[j]] = root[i]
-            alive -= 1
-        return pd.DataFrame({runs: pdf[runs], name: (np.unique(root, return_inverse=True)[1] + 1).astype("int32")})
+        w = pdf["_w"].to_numpy(float).copy()
+
+        def combine(i, j, o):
+            return (w[i] * d[i, o] + w[j] * d[j, o]) / (w[i] + w[j])
+        return pd.DataFrame({runs: pdf[runs], name: (_agglomerate(d, w, k, combine) + 1).astype("int32")})
     cut = kinds.groupBy(F.lit(1).alias("_all")).applyInPandas(link, f"{runs} {element}, {name} int")
     # a label vector as text is a plain equality key
     key = lambda df: df.withColumn("_key", F.to_json(F.struct(runs)))
