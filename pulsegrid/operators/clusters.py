@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators import pairwise as PW
-from pulsegrid.operators.ordered import positions
+from pulsegrid.operators.ordered import attach_one_row, positions
 from pulsegrid.session import cut_lineage
 
 
@@ -154,7 +154,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy(a).agg(F.sum("_n").alias("_m")).agg(pairs("_m").alias("_a"), F.sum("_m").alias("n"))
     cols = cells.groupBy(b).agg(F.sum("_n").alias("_m")).agg(pairs("_m").alias("_b"))
     both = cells.agg(pairs("_n").alias("_ab"))
-    one = rows.withColumn("_k", F.lit(1)).join(cols.withColumn("_k", F.lit(1)), "_k").join(both.withColumn("_k", F.lit(1)), "_k")
+    one = attach_one_row(attach_one_row(rows, cols), both)
     expected = F.col("_a") * F.col("_b") / (F.col("n") * (F.col("n") - 1) / 2.0)
     top = (F.col("_a") + F.col("_b")) / 2.0
     return one.select("n", F.when(top == expected, 1.0).otherwise((F.col("_ab") - expected) / (top - expected)).alias("ari"))
@@ -163,8 +163,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 def relabel_by_mean(df: DataFrame, label: str, value: str, name: str = "phenotype") -> DataFrame:
     """Two clusters named by their mean: the lower one is B."""
     low = df.groupBy(label).agg(F.avg(value).alias("_m")).agg(F.min_by(label, F.struct("_m", label)).alias("_low"))
-    tagged = df.withColumn("_k", F.lit(1)).join(F.broadcast(low.withColumn("_k", F.lit(1))), "_k")
-    return tagged.withColumn(name, F.when(F.col(label) == F.col("_low"), "B").otherwise("A")).drop("_k", "_low")
+    return attach_one_row(df, low).withColumn(name, F.when(F.col(label) == F.col("_low"), "B").otherwise("A")).drop("_low")
 
 
 def flag_rates(df: DataFrame, label: str, flags: Sequence[str], below: float = 0.20) -> DataFrame:

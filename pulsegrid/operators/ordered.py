@@ -212,6 +212,12 @@ def any_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: s
     return out.withColumn(name, hit).drop("_same", "_before", "_after", BLOCK)
 
 
+def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as scalars (a scalar subquery, no join); no row gives NULLs."""
+    value = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", value).select(*df.columns, *[F.col("_one")[c].alias(c) for c in one.columns])
+
+
 def largest_gap_split(df: DataFrame, day: str) -> DataFrame:
     """One row ``(split_day, gap_days, n_days)``: the last day before the widest gap (the first on ties).
 

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pulsegrid.operators.ordered import positions
+from pulsegrid.operators.ordered import attach_one_row, positions
 
 
 def class_table(df: DataFrame, label: str) -> DataFrame:
@@ -30,8 +30,8 @@ def permutation_plan(df: DataFrame, id_: str, label: str, permutations: int, fol
     # the true labelling is ordered inside its classes, a permutation over all rows
     rows = rows.withColumn("_g", F.when(F.col("_p") == 0, F.col("code")).otherwise(-1))
     placed = positions(rows, ["_p", "_g"], "_h", [id_], "_r", block=F.shiftright("_h", 52))
-    spans = classes.agg(F.array_sort(F.collect_list(F.struct("before", "size", "code"))).alias("_spans")).withColumn("_k", F.lit(1))
-    placed = placed.withColumn("_k", F.lit(1)).join(F.broadcast(spans), "_k")
+    spans = classes.agg(F.array_sort(F.collect_list(F.struct("before", "size", "code"))).alias("_spans"))
+    placed = attach_one_row(placed, spans)
     at = F.when(F.col("_p") == 0, F.col("before") + F.col("_r") - 1).otherwise(F.col("_r") - 1)
     placed = placed.withColumn("_at", at).withColumn("_span", F.filter(
         "_spans", lambda s: (F.col("_at") >= s["before"]) & (F.col("_at") < s["before"] + s["size"]))[0])
@@ -100,8 +100,7 @@ def permutation_p(stats: DataFrame, stat: str) -> DataFrame:
 def permanova(df: DataFrame, id_: str, label: str, x: str = "x", permutations: int = 5000, seed: int = 0) -> DataFrame:
     plan = permutation_plan(df, id_, label, permutations, seed=seed)
     f = pseudo_f(label_sums(df, plan, id_, x))
-    r2 = f.where("p = 0").select("r2").withColumn("_k", F.lit(1))
-    return permutation_p(f, "f_stat").withColumn("_k", F.lit(1)).join(r2, "_k").drop("_k")
+    return attach_one_row(permutation_p(f, "f_stat"), f.where("p = 0").select("r2"))
 
 
 def permdisp(df: DataFrame, id_: str, label: str, x: str = "x", permutations: int = 5000, seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators.beats import elementwise
 from pulsegrid.operators.morphology import Beat
+from pulsegrid.operators.ordered import attach_one_row
 
 
 def normalised(beat: Beat, quiet: int = -70, r_half: int = 5) -> Column:
@@ -41,18 +42,18 @@ def prepare(recordings: DataFrame, mean_beat: str, rr_ms: str, pre: int, n: int,
 def reference_template(prepared: DataFrame) -> DataFrame:
     """One row: mean, SD and size of the fixed-time and warped beats of the given recordings."""
     both = [elementwise(prepared.where(f"{c} IS NOT NULL"), [], c).select(
-        F.lit(1).alias("_k"), F.col("mean").alias(f"{c}_ref"), F.col("sd").alias(f"{c}_sd"), F.col("n").alias(f"{c}_n"))
+        F.col("mean").alias(f"{c}_ref"), F.col("sd").alias(f"{c}_sd"), F.col("n").alias(f"{c}_n"))
         for c in ("fms", "warp")]
-    return both[0].join(both[1], "_k")
+    return attach_one_row(both[0], both[1])
 
 
 def score(prepared: DataFrame, reference: DataFrame) -> DataFrame:
     """Correlation and RMSE to the template on both axes. The reference is a single row of two short arrays."""
-    scored = prepared.withColumn("_k", F.lit(1)).join(F.broadcast(reference), "_k", "left")
+    scored = attach_one_row(prepared, reference)
     return scored.withColumns({
         "corr_fms": A.pearson(F.col("fms_ref"), F.col("fms")), "rmse_fms": A.rmse(F.col("fms_ref"), F.col("fms")),
         "corr_warp": A.pearson(F.col("warp_ref"), F.col("warp")), "rmse_warp": A.rmse(F.col("warp_ref"), F.col("warp")),
-    }).drop("_k", "fms_ref", "fms_sd", "fms_n", "warp_ref", "warp_sd", "warp_n")
+    }).drop("fms_ref", "fms_sd", "fms_n", "warp_ref", "warp_sd", "warp_n")
 
 
 def score_note(excluded: Column, mean_beat: Column, norm: Column, rr_ms: Column) -> Column:

@@ -134,7 +134,7 @@ def qt_old_new_summary(t):
     q = O.exact_quantiles(long, ["which"], "value", {"q": .5}).agg(
         F.max(F.when(F.col("which") == "qt_old_ms", F.col("q"))).alias("median_old"),
         F.max(F.when(F.col("which") == "qt_new_ms", F.col("q"))).alias("median_new"))
-    out = base.withColumn("k", F.lit(1)).join(q.withColumn("k", F.lit(1)), "k").drop("k")
+    out = O.attach_one_row(base, q)
     return rounded(out, ["n"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.operators.ordered import largest_gap_split
+from pulsegrid.operators.ordered import attach_one_row, largest_gap_split
 
 
 def assign_study(df: DataFrame, day: str, split_on: str | None = None, name: str = "study") -> DataFrame:
@@ -13,7 +13,6 @@ def assign_study(df: DataFrame, day: str, split_on: str | None = None, name: str
     The split is a one-row aggregate attached as a scalar.
     """
     split = largest_gap_split(df, split_on or day).select(F.col("split_day"))
-    tagged = df.withColumn("_one", F.lit(1)).join(F.broadcast(split.withColumn("_one", F.lit(1))), "_one", "left")
-    return (tagged.withColumn(name, F.when(F.col("split_day").isNull(), "unknown")
+    return (attach_one_row(df, split).withColumn(name, F.when(F.col("split_day").isNull(), "unknown")
                               .when(F.col(day) <= F.col("split_day"), "acute").otherwise("chronic"))
-            .drop("_one", "split_day"))
+            .drop("split_day"))
