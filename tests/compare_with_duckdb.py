@@ -1,6 +1,7 @@
-"""dev check: spark vs duckdb"""
+"""Compare registered queries with their SQL: compare_with_duckdb.py <sf0.01> [name or prefix* ...]"""
 import sys, time, math, duckdb
-sys.path.insert(0,'/root/repo')
+from pathlib import Path
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import SparkSession
 import __spark_entry__ as E
 sf=sys.argv[1]; names=sys.argv[2:]
