@@ -1,8 +1,13 @@
 """Operators for training-data pipelines, and their registered queries. Nothing else in the library imports this package."""
 
+from pulsegrid.llm.html_text import op2_main_text
 from pulsegrid.llm.mixing import op3_mixing_sources
+from pulsegrid.llm.pieces import op4_piece_encoding
 from pulsegrid.llm.quality import op8_quality_rules
 from pulsegrid.llm.secrets import op1_secret_scan
+from pulsegrid.llm.token_files import op7_token_files
+from pulsegrid.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing_sources, op8_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_main_text, op3_mixing_sources, op4_piece_encoding, op7_token_files, op8_quality_rules, op9_warc)}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}

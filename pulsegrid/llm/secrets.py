@@ -36,6 +36,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: One more place for any other character.
 PLACES = len(ALPHABET) + 1
 SMOOTHING = 0.5
+#: How many transitions the plain frequencies of characters count as, beside those seen after a character.
+BACKING = 8.0
 MARGIN = 0.7
 
 
@@ -84,18 +86,19 @@ def _pairs(s: Column) -> Column:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log ratios random / ordinary of the PLACES x PLACES transitions from rows (value, random); additively smoothed."""
+    """Log ratios random / ordinary of the PLACES x PLACES transitions from rows (value, random); rare ones lean on
+    the plain frequencies of characters."""
     pairs = samples.where(F.length("value") > 1).select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
     counts = {True: [0] * PLACES ** 2, False: [0] * PLACES ** 2}
     for row in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 x 68 x 68 rows
         counts[row["random"]][row["pair"]] = row["n"]
 
     def log_probabilities(of: list[int]) -> list[float]:
-        out = []
+        plain = [sum(of[b::PLACES]) + SMOOTHING for b in range(PLACES)]
+        total, out = sum(plain), []
         for a in range(PLACES):
             row = of[a * PLACES:(a + 1) * PLACES]
-            total = math.log(sum(row) + SMOOTHING * PLACES)
-            out += [math.log(n + SMOOTHING) - total for n in row]
+            out += [math.log((n + BACKING * p / total) / (sum(row) + BACKING)) for n, p in zip(row, plain, strict=True)]
         return out
 
     return [round(r - o, 6) for r, o in zip(log_probabilities(counts[True]), log_probabilities(counts[False]), strict=True)]
