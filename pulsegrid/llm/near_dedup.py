@@ -10,7 +10,7 @@
    sizes of the intersection and union of their full sets.
 4. Components of the confirmed links are found by label propagation with pointer jumping. A bucket whose members are
    in several components is looked at again: its members of different components are compared with each other, in
-   blocks; pairs not compared before that pass the signature test are confirmed as well, and components made again.
+   blocks, by signatures and then by full sets; links that join components are added, and components made again.
 
 Sets are shipped for classes that share a bucket only, in streams sorted by pivot; a pivot with many members is
 dealt out over several streams. Nothing but counts comes to the driver.
@@ -249,8 +249,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("l", "component")
 
 
-def second_look(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose sketches agree, from (bucket, rep)."""
+def _cross_pairs(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """For members (rep, component, n_shingles, sketch, block, ...) of a bucket: each with the later ones of other components that may be similar."""
+    comp, n, block = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 4))
+    sketch = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, POSITIONS)
+    mixed = len(set(block.tolist())) > 1
+    for i in range(len(group) - 1):
+        ok = (comp[i + 1:] != comp[i]) & (np.minimum(n[i + 1:], n[i]) * THRESHOLD[1] >= np.maximum(n[i + 1:], n[i]) * THRESHOLD[0])
+        if mixed:
+            ok &= block[i + 1:] != block[i]
+        near = np.flatnonzero(ok) + i + 1
+        if len(near):
+            yield i, near[(sketch[near] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` over each run of rows that agree on their first three values."""
+    key, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if len(group) > 1:
+                    yield work(key, group)
+                key, group = row[:3], []
+            group.append(row[3:])
+    if len(group) > 1:
+        yield work(key, group)
+
+
+MET = "bucket bigint, i int, j int, rep bigint, component bigint, n_shingles bigint, sketch binary, block int"
+
+
+def second_look(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of (v, component) that share a bucket of (bucket, rep), as a forest for each pair of blocks.
+
+    Sketches tell which members may be similar to one of another component; only these get their full sets, which confirm.
+    """
     placed = members.join(comps.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where(
         "lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -259,38 +293,45 @@ def second_look(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Dat
     # each block meets itself and every other one once, at (lower, higher)
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "n_shingles", "sketch", "block")
+    names = [x.split()[0] for x in MET.split(", ")]
 
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        rep, comp, n, block = (np.array([g[k] for g in group], np.int64) for k in (0, 1, 2, 4))
-        sketch = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, POSITIONS)
-        mixed, out = len(set(block.tolist())) > 1, []
-        for i in range(len(group) - 1):
-            ok = (comp[i + 1:] != comp[i]) & (np.minimum(n[i + 1:], n[i]) * THRESHOLD[1] >= np.maximum(n[i + 1:], n[i]) * THRESHOLD[0])
-            if mixed:
-                ok &= block[i + 1:] != block[i]
-            near = np.flatnonzero(ok) + i + 1
+    def concerned(key: tuple, group: list[tuple]) -> pa.RecordBatch:
+        own: set[int] = set()
+        for i, near in _cross_pairs(group):
             if len(near):
-                near = near[(sketch[near] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]
-                out += [(int(min(rep[i], r)), int(max(rep[i], r))) for r in rep[near]]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def done() -> pa.RecordBatch:
-            out = pairs_of(group) if len(group) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], ["a", "b"])
+                own.add(i)
+                own.update(near.tolist())
+        out = [(*key, *group[i]) for i in sorted(own)]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    def linked(key: tuple, group: list[tuple]) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        full, out = [np.frombuffer(g[5], np.uint64) for g in group], []
+        for i, near in _cross_pairs(group):
+            for j in near.tolist():
+                x, y = root(group[i][1]), root(group[j][1])
+                if x == y:
+                    continue
+                few, many = sorted((full[i], full[j]), key=len)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                if _similar(int((many[at] == few).sum()), len(few), len(many)):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((group[i][0], group[j][0]))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["a", "b"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    yield done()
-                    key, group = row[:3], []
-                group.append(row[3:])
-        yield done()
+    def deal(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    dealt = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    few = stage(deal(met).mapInArrow(lambda it: _streamed(it, concerned), MET), "second_look")
+    with_sets = few.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*names, "shingles")
+    return deal(with_sets).mapInArrow(lambda it: _streamed(it, linked), "a bigint, b bigint")
 
 
 def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,14 +352,11 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     sharing = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(shingle_sets(rows.join(sharing, "doc_id", "left_semi")), "shingle_sets")
-    tried = stage(promising(pairs, classes), "pairs")
-    links = stage(confirmed(tried, sets), "links")
+    links = stage(confirmed(stage(promising(pairs, classes), "pairs"), sets), "links")
     # ids that stand for a class, and rows of one id with different sets
     same = owners.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links)
-    more = second_look(members.select("bucket", "rep").distinct(), comps, classes).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(more, "more_pairs")
-    found = stage(confirmed(more, sets), "more_links")
+    found = stage(second_look(members.select("bucket", "rep").distinct(), comps, classes, sets), "more_links")
     comps = components(links.union(found).union(same))
     return sketched.select("doc_id", "n_shingles").join(comps.withColumnRenamed("v", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
