@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stage
 
-DEPTH = 6
+DEPTH = 5
 LEAST_CONTEXT = 5e-7
 LEAST_RUN = 5e-7
 LEAST_WORD = 2e-7
@@ -201,15 +201,37 @@ def grow(counts: DataFrame) -> Tree:
     entries = known.join(states, ["k", "context"], "left_semi").where((F.col("n") >= LEAST_RUN * total)).select("k", "context", "run", "n")
     root = levels.where("k = 0").select("k", F.lit(0).cast("bigint").alias("context"), "run", "n")
     entries = stage(entries.union(root), "entries")
-    nodes = contexts.join(states, ["k", "context"], "left_semi").select("k", "context", "c").toPandas()
-    got = entries.select("k", "run", "n").toPandas()
+    nodes = contexts.join(states, ["k", "context"], "left_semi").select("k", "context", "c").toArrow()
+    got = entries.select("k", "run", "n").toArrow()
 
-    def of(frame, k: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-        own = frame[frame["k"] == k].sort_values(key)
-        return own[key].to_numpy(np.int64).astype(np.uint64), own[value].to_numpy(np.float64)
+    def of(table: pa.Table, k: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        own = table["k"].to_numpy() == k
+        keys = table[key].to_numpy()[own].astype(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], table[value].to_numpy()[own][order].astype(np.float64)
 
-    return Tree({k: of(nodes, k, "context", "c") for k in range(1, DEPTH + 1) if (nodes["k"] == k).any()},
-                {k: of(got, k, "run", "n") for k in range(DEPTH + 1) if (got["k"] == k).any()})
+    here = lambda table: set(np.unique(table["k"].to_numpy()).tolist())
+    return Tree({k: of(nodes, k, "context", "c") for k in here(nodes)}, {k: of(got, k, "run", "n") for k in here(got)})
+
+
+class _Scores:
+    """log10 probabilities of runs, kept for those that a task has met."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.codes, self.values = tree, np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        unique, where = np.unique(codes, return_inverse=True)
+        if len(self.codes) > HELD_RUNS:
+            self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        at = np.searchsorted(self.codes, unique)
+        new = unique[self.codes[np.minimum(at, len(self.codes) - 1)] != unique] if len(self.codes) else unique
+        if len(new):
+            both = np.concatenate([self.codes, new])
+            order = np.argsort(both, kind="stable")
+            self.codes, self.values = both[order], np.concatenate([self.values, self.tree.log_probabilities(new)])[order]
+            at = np.searchsorted(self.codes, unique)
+        return self.values[at][where]
 
 
 class _Words(dict):
@@ -238,13 +260,12 @@ def look(docs: DataFrame, tree: Tree, hashes: np.ndarray, values: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, hashes, values = shared.value
-        memory = _Words(hashes, values)
+        memory, known = _Words(hashes, values), _Scores(tree)
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for group in _grouped(batch.column(1)):
                 codes, lengths = runs([t for _, t in group])
-                unique, where = np.unique(codes, return_inverse=True)
-                scores = np.add.reduceat(tree.log_probabilities(unique)[where], np.cumsum(lengths) - lengths)
+                scores = np.add.reduceat(known.of(codes), np.cumsum(lengths) - lengths)
                 out = []
                 for (words, _), score in zip(group, scores.tolist(), strict=True):
                     found = np.array([memory[w] for w in words])
@@ -270,9 +291,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, kinds = n_words + ends, n_kinds + (1 if ends else 0)
-    common = words.where(F.col("n") >= max(1.0, LEAST_WORD * tokens)).toPandas().sort_values("word")  # at most 1 / LEAST_WORD
+    common = words.where(F.col("n") >= max(1.0, LEAST_WORD * tokens)).orderBy("word").toArrow()  # at most 1 / LEAST_WORD
     tree = grow(counts.where(F.col("kind") == RUN).select("key", "n"))
-    looked = look(rows, tree, common["word"].to_numpy(np.int64), np.log10(common["n"].to_numpy(np.float64) + 1))
+    looked = look(rows, tree, common["word"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0))
     looked = stage(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
 
     rare = looked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
