@@ -8,7 +8,8 @@ from the end. (For a model trained as BPE this is the best segmentation under it
 
 Blanks become the mark U+2581 and a text that isn't empty gets one in front, as the model's settings say; decoding
 undoes both. If no piece holds a mark after another character, a text falls into stretches (marks, then other
-characters) that no piece can straddle; a task keeps the ids of stretches it has seen. Otherwise texts go whole.
+characters) that no piece can straddle, and a stretch into units between neighbours that no piece holds; a worker keeps
+the ids of those it has seen. Otherwise texts go whole.
 
 Cases: null and empty texts have no ids and decode to the empty text. Texts may be of any length. A mark that stands in
 the text itself is decoded as a blank. Repeated rows get equal ids; an empty table stays empty. Column names of the
@@ -30,7 +31,7 @@ from pulsegrid.llm.common import fresh
 
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMORY = 400_000
+MEMORY = 600_000
 LONGEST_KEPT = 64
 
 
@@ -60,9 +61,15 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown = model.unk_id()
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.spelt = np.zeros(n, bool)
+        self.spelt[list(self.byte_of)] = True
         self.missing = 2 * least - 10.0
         self.splits = not straddles
-        self.memory: dict[str, tuple[int, ...]] = {}
+        # neighbours inside pieces; a text can be cut between any others
+        self.inside = {p[k:k + 2] for p, _ in self.automaton.items() for k in range(len(p) - 1)}
+        self.raw = [b"" if i in self.skipped else bytes((self.byte_of[i],)) if i in self.byte_of else t.encode() for i, t in enumerate(self.texts)]
+        self.memory: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def best(self, text: str) -> tuple[int, ...]:
         """Ids of the best segmentation of a marked text."""
@@ -97,33 +104,47 @@ class Pieces:
             k = back[k]
         return tuple(reversed(ids))
 
-    def encode(self, text: str | None) -> list[int]:
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = np.array(self.best(unit), "<u4").tobytes()
+            if len(unit) <= LONGEST_KEPT:
+                if len(self.units) >= MEMORY:
+                    self.units.clear()
+                self.units[unit] = ids
+        return ids
+
+    def _stretch(self, stretch: str) -> bytes:
+        inside, at, parts = self.inside, 0, []
+        for k in range(1, len(stretch)):
+            if stretch[k - 1:k + 1] not in inside:
+                parts.append(self._unit(stretch[at:k]))
+                at = k
+        parts.append(self._unit(stretch[at:]))
+        ids = b"".join(parts)
+        if len(stretch) <= LONGEST_KEPT:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            self.memory[stretch] = ids
+        return ids
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
         if not text:
-            return []
+            return b""
         marked = MARK + text.replace(" ", MARK)
         if not self.splits:
-            return list(self.best(marked))
-        out: list[int] = []
-        for stretch in STRETCH.findall(marked):
-            ids = self.memory.get(stretch)
-            if ids is None:
-                ids = self.best(stretch)
-                if len(stretch) <= LONGEST_KEPT:
-                    if len(self.memory) >= MEMORY:
-                        self.memory.clear()
-                    self.memory[stretch] = ids
-            out += ids
-        return out
+            return np.array(self.best(marked), "<u4").tobytes()
+        get, make = self.memory.get, self._stretch
+        return b"".join([get(x) or make(x) for x in STRETCH.findall(marked)])
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids; control ids stand for nothing, bytes that aren't UTF-8 become U+FFFD."""
-        parts: list[bytes] = []
-        for i in ids if ids is not None else ():
-            if i in self.byte_of:
-                parts.append(bytes((self.byte_of[i],)))
-            elif i not in self.skipped:
-                parts.append(self.texts[i].encode())
-        text = b"".join(parts).decode(errors="replace").replace(MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids] if ids is not None else []).decode(errors="replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -142,7 +163,7 @@ def encode_column(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path)
         for texts in batches:
-            yield pd.Series([np.array(model.encode(t), np.int32) for t in texts], dtype=object)
+            yield pd.Series([np.frombuffer(model.encode_bytes(t), "<i4") for t in texts], dtype=object)
     return encode(text)
 
 
@@ -163,9 +184,9 @@ def digest_column(text: Column, path: str) -> Column:
         for texts in batches:
             rows = []
             for t in texts:
-                ids = model.encode(t)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), sum(i in model.byte_of for i in ids),
-                             model.decode(ids) == (t or "").replace(MARK, " ")))
+                data = model.encode_bytes(t)
+                ids = np.frombuffer(data, "<u4")
+                rows.append((len(ids), zlib.crc32(data), int(model.spelt[ids].sum()), model.decode(ids.tolist()) == (t or "").replace(MARK, " ")))
             yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "n_bytes_spelt", "round_trip"])
     return digest(text)
 
