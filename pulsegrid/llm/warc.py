@@ -210,7 +210,9 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, split: int = S
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.repartition("file", "lo").mapInArrow(read, READ_SCHEMA)
+    # by number: ranges are tiny rows for much work, and would be put in one partition by their size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, "file", "lo").mapInArrow(read, READ_SCHEMA)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
