@@ -11,8 +11,8 @@ exceptions (2), number of ids (2), then the offsets from the minimum in ``width`
 places (2 bytes each) and high bits (4 each). The width is the bit length at the ``PERCENTILE``-th percentile.
 
 Encoding looks at stretches of blanks and following characters: the library's splitting pattern never joins
-characters across the place before such a stretch, so the ids of a text are those of its stretches, which repeat and
-are encoded once in a task. Texts with other white space, where that doesn't hold, are encoded whole.
+characters across the place before such a stretch, so the ids of a text are those of its stretches, and those the ids of
+the pattern's units inside them. Both repeat and are kept in a worker. Texts with other white space are encoded whole.
 
 Cases: a null or empty text has only the end id. Repeated documents and ids are written as often as they occur; null
 ids come first. An empty table gives no documents. Other columns are ignored.
@@ -20,6 +20,7 @@ ids come first. An empty table gives no documents. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 import struct
@@ -41,8 +42,8 @@ END_ID = 2
 #: Token ids a task holds before it packs and writes them, and that a reading task takes.
 BUFFER_IDS = 1 << 20
 READ_IDS = 1 << 22
-#: Encoded stretches a task remembers.
-MEMORY = 400_000
+#: Encoded stretches a worker remembers, and units.
+MEMORY = 800_000
 HEAD = struct.Struct("<IBHH")
 
 STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -83,9 +84,9 @@ def _pack_many(rows: np.ndarray) -> list[bytes]:
         part = rest[own]
         width = int(w)
         low = part & np.uint32((1 << width) - 1)
-        shifts = np.arange(width, dtype=np.uint32)
-        bits = ((low[:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(own), size * width)
-        packed = np.packbits(bits, axis=1, bitorder="little") if width else np.zeros((len(own), 0), np.uint8)
+        kind, n_bytes = ("<u2", 2) if width <= 16 else ("<u4", 4)
+        bits = np.unpackbits(low.astype(kind).view(np.uint8).reshape(len(own), size, n_bytes), axis=2, bitorder="little")[:, :, :width]
+        packed = np.packbits(bits.reshape(len(own), size * width), axis=1, bitorder="little") if width else np.zeros((len(own), 0), np.uint8)
         high = (part.astype(np.uint64) >> np.uint64(width)).astype(np.uint32)
         for k, i in enumerate(own):
             places = np.flatnonzero(high[k])
@@ -110,9 +111,10 @@ def unpack(data: bytes, sizes: list[int]) -> np.ndarray:
         at = starts[own] + HEAD.size
         block = raw[at[:, None] + np.arange(n_bytes)] if n_bytes else np.zeros((len(own), 0), np.uint8)
         bits = np.unpackbits(block, axis=1, bitorder="little")[:, :size * width].reshape(len(own), size, width)
-        values = np.zeros((len(own), size), np.uint32)
-        for b in range(width):
-            values |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+        kind, n_bits = ("<u2", 16) if width <= 16 else ("<u4", 32)
+        wide = np.zeros((len(own), size, n_bits), np.uint8)
+        wide[:, :, :width] = bits
+        values = np.packbits(wide, axis=2, bitorder="little").reshape(len(own), -1).view(kind).astype(np.uint32)
         for k, i in enumerate(own):
             least, _, n_odd, _ = heads[i]
             if n_odd:
@@ -125,33 +127,48 @@ def unpack(data: bytes, sizes: list[int]) -> np.ndarray:
 
 # ---- encoding
 
-class StretchEncoder(dict):
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes; keeps the ids of stretches and of the units inside them."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.stretches: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.whole(stretch)
-        if len(self) >= MEMORY:
-            self.clear()
-        if len(stretch) <= 64:
-            self[stretch] = ids
-        return ids
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.stretches) > MEMORY:
+            self.stretches.clear()
+        if len(self.units) > MEMORY:
+            self.units.clear()
+        parts = [[] if not t else None if OTHER_BLANK.search(t) else STRETCH.findall(t) for t in texts]
+        known, units = self.stretches, self.units
+        missing = {x: self.split(x) for p in parts if p for x in p if x not in known}
+        new = list({u for split in missing.values() for u in split if u not in units})
+        units.update(zip(new, self._whole(new), strict=True))
+        for x, split in missing.items():
+            known[x] = b"".join([units[u] for u in split])
+        odd = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [next(odd) if p is None else b"".join([known[x] for x in p]) for p in parts]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if OTHER_BLANK.search(text):
-            return self.whole(text)
-        return b"".join([self[x] for x in STRETCH.findall(text)])
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer file, made once in a worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
 
 
 # ---- writing and reading
@@ -165,7 +182,7 @@ def _write_partition(folder: str, tokenizer_path: str):
         fs, root = file_system(folder)
         final = posixpath.join(root, f"part-{task.partitionId():06d}.pfr")
         trial = f"{final}.{task.taskAttemptId()}.tmp"
-        encoder, out = None, None
+        encoder, out = encoder_of(tokenizer_path), None
         docs, lengths, sizes, waiting, n_waiting, total, written = [], [], [], [], 0, 0, len(MAGIC)
 
         def flush(last: bool) -> None:
@@ -183,17 +200,18 @@ def _write_partition(folder: str, tokenizer_path: str):
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder, out = StretchEncoder(tokenizer_path), fs.open_output_stream(trial)
+                out = fs.open_output_stream(trial)
                 out.write(MAGIC)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                docs.append(doc_id)
-                lengths.append(len(ids) // 4)
-                total += len(ids) // 4
-                waiting.append(ids)
-                n_waiting += len(ids) // 4
-                if n_waiting >= BUFFER_IDS:
-                    flush(False)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                    docs.append(doc_id)
+                    lengths.append(len(ids) // 4 + 1)
+                    total += lengths[-1]
+                    waiting += [ids, end]
+                    n_waiting += lengths[-1]
+                    if n_waiting >= BUFFER_IDS:
+                        flush(False)
         if out is None:
             return
         flush(True)
@@ -268,7 +286,9 @@ def read_documents(folder: str, name: str, lo: int, hi: int) -> Iterator[tuple[i
 def digest_files(folder: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     ranges = files.select("file", "start", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.greatest(F.col("ids") - 1, F.lit(0)), F.lit(READ_IDS).cast("bigint"))).alias("lo")).repartition("file", "lo")
+        F.lit(0).cast("bigint"), F.greatest(F.col("ids") - 1, F.lit(0)), F.lit(READ_IDS).cast("bigint"))).alias("lo"))
+    # by number: ranges are tiny rows for much work, and would be put in one partition by their size
+    ranges = ranges.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "lo")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
