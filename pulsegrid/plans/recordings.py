@@ -135,7 +135,7 @@ def master(feats: DataFrame, animals: DataFrame) -> DataFrame:
     dox = F.col("`dox treatment`")
     return m.withColumns({
         "group": X.treatment_group(dox, F.col("`Etn Treatment`")), "study": F.col("study_guess"), "sex": F.lower("Sex"),
-        "dox": F.coalesce((dox > 0).cast("int"), F.lit(0)),
+        "dox": dox,
         "surg": F.to_date(F.coalesce(F.col("`date of surgery `").try_cast("date")))})
 
 
