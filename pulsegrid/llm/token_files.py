@@ -11,8 +11,9 @@ exceptions (2), number of ids (2), then the offsets from the minimum in ``width`
 places (2 bytes each) and high bits (4 each). The width is the bit length at the ``PERCENTILE``-th percentile.
 
 Encoding looks at stretches of blanks and following characters: the library's splitting pattern never joins
-characters across the place before such a stretch, so the ids of a text are those of its stretches, and those the ids of
-the pattern's units inside them. Both repeat and are kept in a worker. Texts with other white space are encoded whole.
+characters across the place before such a stretch, so the ids of a text are those of its stretches. A slice of texts is
+cut on its bytes, every distinct stretch is looked up once, and new ones are encoded together. Short ones are kept in a
+worker. Texts with other white space are encoded whole.
 
 Cases: a null or empty text has only the end id. Repeated documents and ids are written as often as they occur; null
 ids come first. An empty table gives no documents. Other columns are ignored.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +44,18 @@ END_ID = 2
 #: Token ids a task holds before it packs and writes them, and that a reading task takes.
 BUFFER_IDS = 1 << 20
 READ_IDS = 1 << 22
-#: Encoded stretches a worker remembers, and units.
+#: Bytes of text that are cut and encoded together (one text at least).
+SLICE_BYTES = 8 << 20
+#: Encoded stretches a worker remembers, and the longest in characters; how many new ones are encoded in one call.
 MEMORY = 800_000
+SHORT = 64
+TOGETHER = 4096
 HEAD = struct.Struct("<IBHH")
 
-STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_BLANK = re.compile(r"[^\S \n]")
+#: Stretches that may stand side by side without changing each other's ids.
+SIDE_BY_SIDE = re.compile(r"[ \n]+\S+")
+# White space other than blank and line feed.
+OTHER_BLANK = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 # ---- blocks
@@ -127,38 +135,79 @@ def unpack(data: bytes, sizes: list[int]) -> np.ndarray:
 
 # ---- encoding
 
+def stretches_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of texts (large strings without nulls) on end, and where each text's start among them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    raw, edges = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+    blank = (raw == 32) | (raw == 10)
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    for i in np.flatnonzero(pc.match_substring_regex(texts, OTHER_BLANK).to_numpy(zero_copy_only=False)):
+        begins[edges[i]:edges[i + 1]] = False
+    begins[edges[:-1][np.diff(edges) > 0]] = True
+    cuts = np.flatnonzero(begins)
+    bounds = np.append(cuts, len(raw)) + offsets[0]
+    return (pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(bounds.astype(np.int64)), data), np.searchsorted(cuts, edges))
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; keeps the ids of stretches and of the units inside them."""
+    """Ids of texts by the tokenizers library; keeps those of short stretches, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.stretches: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.stretches) > MEMORY:
-            self.stretches.clear()
-        if len(self.units) > MEMORY:
-            self.units.clear()
-        parts = [[] if not t else None if OTHER_BLANK.search(t) else STRETCH.findall(t) for t in texts]
-        known, units = self.stretches, self.units
-        missing = {x: self.split(x) for p in parts if p for x in p if x not in known}
-        new = list({u for split in missing.values() for u in split if u not in units})
-        units.update(zip(new, self._whole(new), strict=True))
-        for x, split in missing.items():
-            known[x] = b"".join([units[u] for u in split])
-        odd = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join([known[x] for x in p]) for p in parts]
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of stretches from one text of them all, told apart by the places where tokens start."""
+        found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+        starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        data, cuts = np.array(found.ids, "<u4").tobytes(), [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _look_up(self, stretches: list[str]) -> list[bytes]:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known, new = self.known, {}
+        alone, side = [], []
+        for x in stretches:
+            if x not in known:
+                (side if len(x) <= SHORT and SIDE_BY_SIDE.fullmatch(x) else alone).append(x)
+        for i in range(0, len(side), TOGETHER):
+            known.update(zip(side[i:i + TOGETHER], self._together(side[i:i + TOGETHER]), strict=True))
+        for x, ids in zip(alone, self._alone(alone), strict=True):
+            (known if len(x) <= SHORT else new)[x] = ids
+        return [known[x] if x in known else new[x] for x in stretches]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and the number of each text's; nulls are empty texts."""
+        stretches, firsts = stretches_of(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = stretches.dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        flat, codes = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        counts = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, np.diff(ends[firsts])
+
+
+def slices_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about SLICE_BYTES together, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + SLICE_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -187,31 +236,29 @@ def _write_partition(folder: str, tokenizer_path: str):
 
         def flush(last: bool) -> None:
             nonlocal waiting, n_waiting, written
-            ids = np.frombuffer(b"".join(waiting), "<u4")
+            ids = np.concatenate([*waiting, np.zeros(0, np.uint32)]).astype(np.uint32)
             cut = len(ids) if last else len(ids) // BLOCK * BLOCK
             data, new = pack(ids[:cut])
             out.write(data)
             written += len(data)
             sizes.extend(new)
-            waiting, n_waiting = [ids[cut:].tobytes()], len(ids) - cut
+            waiting, n_waiting = [ids[cut:].copy()], len(ids) - cut
 
-        end = struct.pack("<I", END_ID)
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 out = fs.open_output_stream(trial)
                 out.write(MAGIC)
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    docs.append(doc_id)
-                    lengths.append(len(ids) // 4 + 1)
-                    total += lengths[-1]
-                    waiting += [ids, end]
-                    n_waiting += lengths[-1]
-                    if n_waiting >= BUFFER_IDS:
-                        flush(False)
+            docs += batch.column(0).to_pylist()
+            for lo, hi in slices_of(batch.column(1)):
+                ids, counts = encoder.encode(batch.column(1).slice(lo, hi - lo))
+                ids = np.insert(ids, np.cumsum(counts), END_ID)
+                lengths += (counts + 1).tolist()
+                waiting.append(ids)
+                n_waiting, total = n_waiting + len(ids), total + len(ids)
+                if n_waiting >= BUFFER_IDS:
+                    flush(False)
         if out is None:
             return
         flush(True)
