@@ -44,6 +44,8 @@ END_ID = 2
 #: Token ids a task holds before it packs and writes them, and that a reading task takes.
 BUFFER_IDS = 1 << 20
 READ_IDS = 1 << 22
+#: Blocks that a reader fetches at a time.
+READ_BLOCKS = 2048
 #: Bytes of text that are cut and encoded together (one text at least).
 SLICE_BYTES = 8 << 20
 #: Encoded stretches a worker remembers, and the longest in characters; how many new ones are encoded in one call.
@@ -52,8 +54,10 @@ SHORT = 64
 TOGETHER = 4096
 HEAD = struct.Struct("<IBHH")
 
+#: A stretch of its own that ends in a character that none beside it has; it tells joined stretches apart.
+MARK = "\n\0"
 #: Stretches that may stand side by side without changing each other's ids.
-SIDE_BY_SIDE = re.compile(r"[ \n]+\S+")
+SIDE_BY_SIDE = re.compile(r"[ \n]+[^\s\0]+")
 # White space other than blank and line feed.
 OTHER_BLANK = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -161,31 +165,35 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        *self.gap, self.mark = np.frombuffer(self._alone([MARK])[0], "<u4").tolist()
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """Ids of stretches from one text of them all, told apart by the places where tokens start."""
-        found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-        starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        data, cuts = np.array(found.ids, "<u4").tobytes(), [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        """Ids of stretches from one text of them all, told apart by the mark after each."""
+        data = self._alone(["".join([x + MARK for x in texts])])[0]
+        ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.mark)
+        begins, ends = [0, *(4 * (ends[:-1] + 1)).tolist()], (4 * (ends - len(self.gap))).tolist()
+        return [data[a:b] for a, b in zip(begins, ends, strict=True)]
 
     def _look_up(self, stretches: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, new = self.known, {}
-        alone, side = [], []
-        for x in stretches:
-            if x not in known:
-                (side if len(x) <= SHORT and SIDE_BY_SIDE.fullmatch(x) else alone).append(x)
-        for i in range(0, len(side), TOGETHER):
-            known.update(zip(side[i:i + TOGETHER], self._together(side[i:i + TOGETHER]), strict=True))
-        for x, ids in zip(alone, self._alone(alone), strict=True):
-            (known if len(x) <= SHORT else new)[x] = ids
-        return [known[x] if x in known else new[x] for x in stretches]
+        found = list(map(self.known.get, stretches))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        side, alone = [], []
+        for i in missing:
+            x = stretches[i]
+            (side if len(x) <= SHORT and SIDE_BY_SIDE.fullmatch(x) else alone).append(i)
+        for lo in range(0, len(side), TOGETHER):
+            part = side[lo:lo + TOGETHER]
+            for i, ids in zip(part, self._together([stretches[i] for i in part]), strict=True):
+                found[i] = ids
+        for i, ids in zip(alone, self._alone([stretches[i] for i in alone]), strict=True):
+            found[i] = ids
+        self.known.update((stretches[i], found[i]) for i in missing if len(stretches[i]) <= SHORT)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the number of each text's; nulls are empty texts."""
@@ -316,18 +324,21 @@ def read_documents(folder: str, name: str, lo: int, hi: int) -> Iterator[tuple[i
         starts = np.concatenate([[0], np.cumsum(lengths)])
         offsets = len(MAGIC) + np.concatenate([[0], np.cumsum(sizes)])
         first, last = np.searchsorted(starts[:-1], [lo, hi])
-        held, held_from, next_block = np.zeros(0, np.uint32), int(starts[first]) // BLOCK * BLOCK, int(starts[first]) // BLOCK
+        next_block, last_block = int(starts[first]) // BLOCK, -(-int(starts[last]) // BLOCK)
+        held, held_from = np.zeros(0, np.uint32), next_block * BLOCK
         for i in range(first, last):
-            need = int(starts[i + 1])
-            while held_from + len(held) < need:  # some blocks at a time, whatever the document's length
-                end = min(len(sizes), max(next_block + 1, min(next_block + 4096, -(-need // BLOCK))))
-                source.seek(int(offsets[next_block]))
-                got = unpack(source.read(int(offsets[end] - offsets[next_block])), sizes[next_block:end].tolist())
-                held, next_block = np.concatenate([held, got]), end
-            s = int(starts[i])
+            s, need = int(starts[i]), int(starts[i + 1])
+            have = held_from + len(held)
+            if have < need:  # many blocks at a time: for this document and those behind it
+                keep = min(s, have)
+                parts, held_from = [held[keep - held_from:]], keep
+                while have < need:
+                    end = min(next_block + READ_BLOCKS, last_block)
+                    source.seek(int(offsets[next_block]))
+                    parts.append(unpack(source.read(int(offsets[end] - offsets[next_block])), sizes[next_block:end].tolist()))
+                    have, next_block = have + len(parts[-1]), end
+                held = np.concatenate(parts)
             yield (int(docs[i]) if known[i] else None), s, held[s - held_from:need - held_from]
-            if need - held_from > BUFFER_IDS:
-                held, held_from = held[need - held_from:], need
 
 
 def digest_files(folder: str, files: DataFrame) -> DataFrame:
