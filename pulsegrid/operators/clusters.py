@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -32,64 +30,6 @@ def mixture(df: DataFrame, k: int, x: str = "x", seed: int = 42, name: str = "cl
     return GaussianMixture(k=k, seed=seed, featuresCol="_v", predictionCol=name, probabilityCol="_p").fit(v).transform(v).drop("_v", "_p")
 
 
-def _agglomerate(d: np.ndarray, w: np.ndarray, k: int, combine) -> np.ndarray:
-    """Merge the closest pair until ``k`` clusters are left; each row remembers its nearest neighbour.
-
-    ``combine(i, j, other)`` gives the distances of the merged cluster to the clusters ``other``.
-    """
-    n = len(d)
-    np.fill_diagonal(d, np.inf)
-    near, root, live = d.argmin(axis=1), np.arange(n), np.ones(n, bool)
-    best = d[np.arange(n), near]
-    for _ in range(max(0, n - k)):
-        i = int(best.argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        others = np.flatnonzero(live)
-        others = others[(others != i) & (others != j)]
-        d[i, others] = d[others, i] = combine(i, j, others)
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        w[i] += w[j]
-        live[j], best[j] = False, np.inf
-        root[root == j] = i
-        stale = np.append(others[np.isin(near[others], (i, j))], i)
-        near[stale] = d[stale].argmin(axis=1)
-        best[stale] = d[stale, near[stale]]
-        closer = others[d[others, i] < best[others]]
-        near[closer], best[closer] = i, d[closer, i]
-    return np.unique(root, return_inverse=True)[1]
-
-
-def ward(df: DataFrame, id_: str, k: int, x: str = "x", max_points: int = 3000, seed: int = 42, name: str = "cluster") -> DataFrame:
-    """Ward's hierarchy cut at ``k``.
-
-    Up to ``max_points`` rows (checked) it is exact. Beyond, rows are first reduced to that many k-means
-    centroids and the weighted centroids are merged, the usual two-stage form; the hierarchy above the
-    centroids is exact, membership below them is the k-means one.
-    """
-    rows = df.withColumn("_x", F.col(x).cast("array<double>"))
-    if df.count() <= max_points:
-        nodes = rows.select(F.col(id_).alias("_node"), "_x", F.lit(1.0).alias("_w"))
-        member = rows.withColumn("_node", F.col(id_))
-    else:
-        member = kmeans(rows, max_points, "_x", seed, 1, "_node")
-        from pulsegrid.operators.beats import elementwise
-        e = elementwise(member, ["_node"], "_x")
-        nodes = e.select("_node", F.col("mean").alias("_x"), F.col("n").cast("double").alias("_w"))
-    kind = dict(nodes.dtypes)["_node"]
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = np.stack(pdf["_x"].to_numpy()), pdf["_w"].to_numpy(float).copy()
-        norm = (x ** 2).sum(axis=1)
-        d2 = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0.0) * (w[:, None] * w[None] / (w[:, None] + w[None]))
-
-        def combine(i, j, o):
-            return ((w[o] + w[i]) * d2[i, o] + (w[o] + w[j]) * d2[j, o] - w[o] * d2[i, j]) / (w[o] + w[i] + w[j])
-        return pd.DataFrame({"_node": pdf["_node"], name: _agglomerate(d2, w, k, combine).astype("int32")})
-    labels = nodes.groupBy(F.lit(1).alias("_all")).applyInPandas(merge, f"_node {kind}, {name} int")
-    return member.join(labels, "_node").drop("_node", "_x")
-
-
 def pam(df: DataFrame, id_: str, k: int, x: str = "x", seed: int = 0, n_init: int = 8, max_iter: int = 100,
         name: str = "cluster") -> DataFrame:
     """Partitioning around medoids: nearest-medoid assignment, per-cluster 1-median update, best of ``n_init``.
@@ -130,7 +70,7 @@ def silhouette_sweep(df: DataFrame, id_: str, ks: Sequence[int], x: str = "x", a
     out = None
     for algo in algorithms:
         for k in ks:
-            c = {"kmeans": lambda: kmeans(df, k, x, n_init=n_init), "ward": lambda: ward(df, id_, k, x), "gmm": lambda: mixture(df, k, x)}[algo]()
+            c = {"kmeans": lambda: kmeans(df, k, x, n_init=n_init), "gmm": lambda: mixture(df, k, x)}[algo]()
             one = silhouette(c, id_, x, "cluster").select(F.lit(algo).alias("algorithm"), F.lit(k).alias("k"), "silhouette")
             out = one if out is None else out.unionByName(one)
     top = F.max(F.struct("silhouette", -F.col("k"))).over(W.partitionBy("algorithm"))
@@ -191,35 +131,6 @@ def subsampled_labels(df: DataFrame, id_: str, k: int, x: str = "x", runs: int =
         placed = positions(df.select(id_, x).withColumn("_h", h), [], "_h", [id_], "_p", block=F.shiftright(h, 52))
         sub = placed.where(F.col("_p") <= keep).select(id_, x)
         for a in algorithms:
-            c = {"kmeans": lambda: kmeans(sub, k, x, seed + r, n_init), "gmm": lambda: mixture(sub, k, x, seed + r),
-                 "ward": lambda: ward(sub, id_, k, x)}[a]()
+            c = {"kmeans": lambda: kmeans(sub, k, x, seed + r, n_init), "gmm": lambda: mixture(sub, k, x, seed + r)}[a]()
             out = out.join(c.select(id_, F.col("cluster").alias(f"_{r}_{a}")), id_, "left")
     return out.select(id_, F.array(*[c for c in out.columns if c != id_]).alias("labels"))
-
-
-def consensus_cut(labels: DataFrame, id_: str, runs: str, k: int, max_signatures: int = 3000, name: str = "phenotype") -> DataFrame:
-    """Average linkage on one minus the co-assignment rate, cut at ``k``.
-
-    Rows with the same labels in every run are one weighted point, so the linkage works on distinct label
-    vectors. Their number is checked; more than ``max_signatures`` is refused rather than thinned out.
-    """
-    kinds = labels.groupBy(runs).agg(F.count("*").alias("_w"))
-    if kinds.count() > max_signatures:
-        raise ValueError(f"more than {max_signatures} distinct label vectors: use fewer runs or clusters")
-    element = dict(labels.dtypes)[runs]
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        lab = np.array([[-1 if v is None or v != v else int(v) for v in r] for r in pdf[runs]])
-        seen = lab >= 0
-        both = seen.astype(float) @ seen.T.astype(float)
-        same = sum((lab[:, [r]] == lab[:, r][None]) & seen[:, [r]] for r in range(lab.shape[1])).astype(float)
-        d = 1.0 - np.divide(same, both, out=np.zeros_like(same), where=both > 0)
-        w = pdf["_w"].to_numpy(float).copy()
-
-        def combine(i, j, o):
-            return (w[i] * d[i, o] + w[j] * d[j, o]) / (w[i] + w[j])
-        return pd.DataFrame({runs: pdf[runs], name: (_agglomerate(d, w, k, combine) + 1).astype("int32")})
-    cut = kinds.groupBy(F.lit(1).alias("_all")).applyInPandas(link, f"{runs} {element}, {name} int")
-    # a label vector as text is a plain equality key
-    key = lambda df: df.withColumn("_key", F.to_json(F.struct(runs)))
-    return key(labels).join(key(cut).drop(runs), "_key").drop("_key")

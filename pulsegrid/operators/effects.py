@@ -63,8 +63,8 @@ def _pairs_at_or_below(cells: DataFrame, asks: DataFrame, by: Sequence[str], key
     merged = None
     for j in range(1, n_levels):
         for i in range(j):
-            low = spread.where(F.col("_l") == i).select(*by, F.lit(10 * i + j).alias("_p"), F.col("_v").alias("_x"), F.col("_k").alias("_a"), F.lit(0).cast("bigint").alias("_b"))
-            high = spread.where(F.col("_l") == j).select(*by, F.lit(10 * i + j).alias("_p"), (F.col("_v") - F.col("_s") * (j - i)).alias("_x"),
+            low = spread.where(F.col("_l") == i).select(*by, F.lit(n_levels * i + j).alias("_p"), F.col("_v").alias("_x"), F.col("_k").alias("_a"), F.lit(0).cast("bigint").alias("_b"))
+            high = spread.where(F.col("_l") == j).select(*by, F.lit(n_levels * i + j).alias("_p"), (F.col("_v") - F.col("_s") * (j - i)).alias("_x"),
                                                          F.lit(0).cast("bigint").alias("_a"), F.col("_k").alias("_b"))
             both = low.unionByName(high)
             merged = both if merged is None else merged.unionByName(both)

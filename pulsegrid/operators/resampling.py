@@ -55,19 +55,23 @@ def bootstrap_sums(long: DataFrame, keys: Sequence[str], arm: str, ids: Sequence
 
 def bootstrap_interval(long: DataFrame, keys: Sequence[str], arm: str, first, second, ids: Sequence[str], replicates: int = 10_000,
                        seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile intervals of the mean difference and Cohen's d between two arms."""
+    """Percentile intervals of the mean difference and Cohen's d between two arms.
+
+    A replicate that draws fewer than two rows of an arm has no value; ``undefined`` counts those.
+    """
     s = bootstrap_sums(long.where(F.col(arm).isin(first, second)), keys, arm, ids, replicates, seed)
     side = lambda name, c: F.max(F.when(F.col(arm) == name, F.col(c)))
     r = s.groupBy(*keys, "replicate").agg(*[side(n, c).alias(f"{c}_{t}") for t, n in (("a", first), ("b", second)) for c in ("w", "wv", "wvv")])
     mean = lambda t: F.col(f"wv_{t}") / F.col(f"w_{t}")
     ss = lambda t: F.col(f"wvv_{t}") - F.col(f"wv_{t}") * F.col(f"wv_{t}") / F.col(f"w_{t}")
-    diff = mean("a") - mean("b")
-    pooled = F.sqrt((ss("a") + ss("b")) / (F.col("w_a") + F.col("w_b") - 2))
-    r = r.where("w_a > 1 AND w_b > 1").select(*keys, diff.alias("diff"), (diff / pooled).alias("d"))
+    enough = (F.col("w_a") > 1) & (F.col("w_b") > 1)
+    diff = F.when(enough, mean("a") - mean("b"))
+    pooled = F.when(enough, F.sqrt((ss("a") + ss("b")) / (F.col("w_a") + F.col("w_b") - 2)))
+    r = r.select(*keys, diff.alias("diff"), (diff / pooled).alias("d"))
     tail = (1 - level) / 2
     # one row per replicate: a bounded group, so the plain percentile is exact and safe
     return r.groupBy(*keys).agg(*[F.percentile(c, p).alias(f"{c}_{n}") for c in ("diff", "d") for n, p in (("low", tail), ("high", 1 - tail))],
-                                F.count("*").alias("replicates"))
+                                F.count("*").alias("replicates"), F.count_if(F.col("diff").isNull()).alias("undefined"))
 
 
 def hierarchical_means(moments: DataFrame, keys: Sequence[str], arm: str, iterations: int = 8000, burn: int = 2000, seed: int = 0) -> DataFrame:

@@ -153,11 +153,6 @@ def gmm_clusters(t):
     return K.mixture(p.scores(points(t)), 2, "scores").groupBy("cluster", "label").agg(F.count("*").alias("n"))
 
 
-@query("ward_clusters")
-def ward_clusters(t):
-    return K.ward(points(t), "vec_id", 5).groupBy("cluster", "label").agg(F.count("*").alias("n"))
-
-
 @query("pam_clusters")
 def pam_clusters(t):
     return K.pam(points(t), "vec_id", 3, n_init=1, max_iter=4).groupBy("cluster", "label").agg(F.count("*").alias("n"))
@@ -165,13 +160,14 @@ def pam_clusters(t):
 
 @query("silhouette_sweep")
 def silhouette_sweep(t):
-    return K.silhouette_sweep(points(t), "vec_id", [2, 3, 4], algorithms=("kmeans", "ward"), n_init=1)
+    p = M.Components(points(t), 3)  # a mixture's covariances need fewer dimensions than rows
+    return K.silhouette_sweep(p.scores(points(t)).select("vec_id", "scores"), "vec_id", [2, 3, 4], "scores", ("kmeans", "gmm"), 1)
 
 
 @query("consensus_runs")
 def consensus_runs(t):
     p = M.Components(points(t), 3)
-    lab = K.subsampled_labels(p.scores(points(t)).select("vec_id", "scores"), "vec_id", 3, "scores", runs=2, algorithms=("kmeans", "ward"))
+    lab = K.subsampled_labels(p.scores(points(t)).select("vec_id", "scores"), "vec_id", 3, "scores", runs=2, algorithms=("kmeans", "gmm"))
     return PW.ambiguous_share(lab, "vec_id", "labels")
 
 

@@ -161,19 +161,18 @@ def cluster_study(master: DataFrame, ks=(2, 5), seed: int = 42) -> DataFrame:
     for k in ks:
         for name, fit in (("cluster", K.kmeans), ("cluster_gmm", K.mixture)):
             out = out.join(fit(x, k, seed=seed).select("recording_id", F.col("cluster").alias(f"{name}_k{k}")), "recording_id")
-        out = out.join(K.ward(x, "recording_id", k).select("recording_id", F.col("cluster").alias(f"cluster_hier_k{k}")), "recording_id")
     return out
 
 
-def choose_phenotypes(points: DataFrame, id_: str, x: str = "x", ks=(2, 3, 4, 5), runs: int = 100, algorithms=("kmeans", "gmm", "ward")) -> DataFrame:
-    """Consensus clustering: the k with the lowest ambiguity, then the cut of its co-assignment."""
+def choose_phenotypes(points: DataFrame, id_: str, x: str = "x", ks=(2, 3, 4, 5), runs: int = 100, algorithms=("kmeans", "gmm")) -> DataFrame:
+    """Consensus clustering: the k whose subsampled runs are least ambiguous, then k-means at that k over all rows."""
     best = None
     for k in ks:
         lab = K.subsampled_labels(points, id_, k, x, runs, algorithms=algorithms)
         pac = PW.ambiguous_share(lab, id_, "labels").first()["pac"]
         if best is None or pac < best[0]:
-            best = (pac, k, lab)
-    return K.consensus_cut(best[2], id_, "labels", best[1]).select(id_, "phenotype").withColumn("k", F.lit(best[1]))
+            best = (pac, k)
+    return K.kmeans(points, best[1], x).select(id_, (F.col("cluster") + 1).alias("phenotype"), F.lit(best[1]).alias("k"))
 
 
 def classification_sweep(master: DataFrame, feature_sets: dict[str, list[str]], studies=("acute", "chronic"),

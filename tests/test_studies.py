@@ -97,7 +97,7 @@ def test_triage_and_figures(cohort):
 def test_clusters_and_sweep(cohort):
     out, _, _ = cohort
     c = St.cluster_study(out["master"], ks=(2,))
-    assert c.count() == 8 and set(c.columns) >= {"cluster_k2", "cluster_gmm_k2", "cluster_hier_k2"} and len(c.first()["x"]) == 18
+    assert c.count() == 8 and set(c.columns) >= {"cluster_k2", "cluster_gmm_k2"} and len(c.first()["x"]) == 18
     m = out["master"].withColumn("study", F.lit("acute"))
     r = St.classification_sweep(m, {"std": ["heart_rate_bpm", "r_amplitude_mv"]}, ["acute"], ["any_dox_vs_control"], ["lda"], 9)
     assert r.first()["n"] == 8 and 0 <= r.first()["acc"] <= 1
@@ -138,10 +138,8 @@ def test_huber(spark):
     assert got["slope"] == pytest.approx(b, abs=1e-3)
 
 
-def test_consensus_cut(spark):
-    rows = [(i, [i // 10, i // 10, None if i % 3 == 0 else i // 10, i % 2]) for i in range(30)]
-    df = spark.createDataFrame(rows, "id int, labels array<int>")
-    got = {r["id"]: r["phenotype"] for r in K.consensus_cut(df, "id", "labels", 3).collect()}
-    assert len(got) == 30 and all(len({got[i] for i in range(10 * c, 10 * c + 10)}) == 1 for c in range(3)) and len(set(got.values())) == 3
-    with pytest.raises(ValueError):
-        K.consensus_cut(df, "id", "labels", 3, max_signatures=2)
+def test_choose_phenotypes(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2) + 20 * (i // 20)]) for i in range(40)], "id int, x array<double>")
+    got = {r["id"]: (r["phenotype"], r["k"]) for r in St.choose_phenotypes(df, "id", ks=(2,), runs=2, algorithms=("kmeans",)).collect()}
+    assert len(got) == 40 and all(len({got[i] for i in range(20 * c, 20 * c + 20)}) == 1 for c in range(2)) and set(got.values()) == {(1, 2), (2, 2)}
