@@ -68,15 +68,11 @@ def detected(raw: Column, fs: int = C.FS_HZ, mains: str | None = "ls_joint", nea
     return run(raw)
 
 
-def filtered(raw: Column, fs: int = C.FS_HZ, method: str = "ls_joint", **options) -> Column:
-    """A trace cleaned by a named method: the mains variants, ``wavelet``, ``emd`` or ``raw``."""
+def filtered(raw: Column, fs: int = C.FS_HZ, method: str = "ls_joint") -> Column:
+    """A trace cleaned by a named method: the mains variants or ``raw``."""
     def one(x):
         if method == "raw":
             return x
-        if method == "wavelet":
-            return dsp.wavelet_denoise(x, **options)
-        if method == "emd":
-            return dsp.emd_denoise(x, **options)
         return dsp.clean(x, fs, method)
 
     @F.pandas_udf("array<double>")

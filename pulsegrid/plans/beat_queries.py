@@ -204,9 +204,9 @@ def qtc_family(t):
 
 
 @query("qtc_mitchell", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / sqrt(l_extendedprice / 1000 / 100), 6) AS qtc FROM lineitem WHERE l_returnflag = 'R'""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / sqrt(l_extendedprice / 1000 / 100), 6) AS qtc FROM lineitem""")
 def qtc_mitchell(t):
-    return t.lineitem.where("l_returnflag = 'R'").select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.round(X.qtc_mitchell(F.col("l_quantity"), F.col("l_extendedprice") / 1000), 6).alias("qtc"))
 

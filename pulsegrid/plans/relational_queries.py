@@ -43,10 +43,9 @@ def group_summary(t):
 
 
 @query("left_join_meta", """
-SELECT o_orderkey, o_totalprice, c_mktsegment, c_acctbal FROM orders LEFT JOIN
- (SELECT * FROM customer WHERE c_acctbal > 1000) c ON o_custkey = c_custkey""")
+SELECT o_orderkey, o_totalprice, c_mktsegment, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def left_join_meta(t):
-    return (t.orders.join(t.customer.where("c_acctbal > 1000"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
             .select("o_orderkey", "o_totalprice", "c_mktsegment", "c_acctbal"))
 
 
@@ -58,9 +57,9 @@ def inner_join_audit(t):
 
 @query("semi_join", """
 SELECT c_custkey, c_acctbal FROM customer WHERE EXISTS
- (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
+ (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def semi_join(t):
-    return (t.customer.join(t.orders.where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return (t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
             .select("c_custkey", "c_acctbal"))
 
 
@@ -143,11 +142,10 @@ def value_counts(t):
 
 
 @query("value_counts_domain", """
-SELECT n_name, n FROM nation LEFT JOIN (SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey
- WHERE s_acctbal > 9000 GROUP BY 1) USING (n_name)""")
+SELECT n_name, n FROM nation LEFT JOIN (SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (n_name)""")
 def value_counts_domain(t):
-    rich = t.supplier.where("s_acctbal > 9000").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return R.counts_over_domain(rich, "n_name", t.nation.select("n_name"))
+    found = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return R.counts_over_domain(found, "n_name", t.nation.select("n_name"))
 
 
 @query("crosstab_pivot", """
@@ -271,36 +269,39 @@ def variance_cut(t):
 
 
 @query("union_tagged", """
-WITH u AS (SELECT c_nationkey AS nation, c_acctbal AS bal, 'clean' AS src FROM customer WHERE c_acctbal >= 0
+WITH u AS (SELECT c_nationkey AS nation, c_acctbal AS bal, 'clean' AS src FROM customer
  UNION ALL SELECT s_nationkey, s_acctbal, 'recovered' FROM supplier)
 SELECT nation, src, count(*) AS n, round(avg(bal), 4) AS mean FROM u GROUP BY 1, 2""")
 def union_tagged(t):
     u = R.tag_and_union({
-        "clean": t.customer.where("c_acctbal >= 0").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal")),
+        "clean": t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal")),
         "recovered": t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"))})
     return u.groupBy("nation", "src").agg(F.count("*").alias("n"), F.round(F.avg("bal"), 4).alias("mean"))
 
 
+def balance_day():
+    """A sparse day: one for every whole unit of a customer's balance."""
+    return F.date_add(F.lit("2000-01-01").cast("date"), F.floor("c_acctbal").cast("int"))
+
+
 @query("largest_gap_split", """
-WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND value > 150),
+WITH d AS (SELECT DISTINCT DATE '2000-01-01' + CAST(floor(c_acctbal) AS INTEGER) AS day FROM customer),
  g AS (SELECT day, date_diff('day', day, lead(day) OVER (ORDER BY day)) AS gap, count(*) OVER () AS n_days FROM d)
 SELECT CAST(day AS VARCHAR) AS split_day, CAST(gap AS INTEGER) AS gap_days, n_days FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, day LIMIT 1""")
 def largest_gap_split(t):
-    days = t.events.where("event_type = 'purchase' AND value > 150").select(F.to_date("ts").alias("day"))
-    return O.largest_gap_split(days, "day").select(F.col("split_day").cast("string").alias("split_day"), "gap_days", "n_days")
+    return O.largest_gap_split(t.customer.select(balance_day().alias("day")), "day").select(F.col("split_day").cast("string").alias("split_day"), "gap_days", "n_days")
 
 
 @query("study_by_gap", """
-WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND value > 150),
+WITH e AS (SELECT DATE '2000-01-01' + CAST(floor(c_acctbal) AS INTEGER) AS day, c_acctbal AS value FROM customer), d AS (SELECT DISTINCT day FROM e),
  g AS (SELECT day, date_diff('day', day, lead(day) OVER (ORDER BY day)) AS gap FROM d),
  s AS (SELECT day AS split FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, day LIMIT 1)
-SELECT CASE WHEN CAST(ts AS DATE) <= (SELECT split FROM s) THEN 'acute' ELSE 'chronic' END AS study, count(*) AS n, round(sum(value), 2) AS total
-FROM events GROUP BY 1""")
+SELECT CASE WHEN day <= (SELECT split FROM s) THEN 'acute' ELSE 'chronic' END AS study, count(*) AS n, round(sum(value), 2) AS total
+FROM e GROUP BY 1""")
 def study_by_gap(t):
     from pulsegrid.plans.features import assign_study
-    rare = F.when((F.col("event_type") == "purchase") & (F.col("value") > 150), F.to_date("ts"))
-    e = t.events.select("value", F.to_date("ts").alias("day"), rare.alias("split_on"))
-    return (assign_study(e, "day", split_on="split_on").groupBy("study")
+    e = t.customer.select(F.col("c_acctbal").alias("value"), balance_day().alias("day"))
+    return (assign_study(e, "day").groupBy("study")
             .agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")))
 
 

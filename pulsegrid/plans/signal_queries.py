@@ -67,24 +67,6 @@ def filter_variants(t):
     return out.select("vec_id", *[A.rmse(F.col(m), F.col("none")).alias(f"rmse_{m}") for m in ("notch30", "notch60", "ls_joint", "ls_sequential")])
 
 
-@query("wavelet_sweep")
-def wavelet_sweep(t):
-    """Wavelet, depth, mode and threshold sweeps with the residual energy of each setting."""
-    runs = [dict(wavelet=w) for w in ("db4", "db6", "db8", "sym8")] + [dict(level=l) for l in (1, 2, 3)] + [dict(mode="hard")] + [dict(scale=s) for s in (0.0, 0.5)]
-    out = traces(t)
-    names = []
-    for i, r in enumerate(runs):
-        names.append("_".join(str(v) for v in r.values()).replace(".", "p"))
-        out = out.withColumn(names[-1], S.filtered(F.col("x"), method="wavelet", **{"level": 3, **r}))
-    return out.select("vec_id", *[A.rmse(F.col(n), F.col("x")).alias(f"r_{n}") for n in names])
-
-
-@query("emd_denoise")
-def emd_denoise(t):
-    y = S.filtered(F.col("x"), method="emd")
-    return traces(t).withColumn("y", y).select("vec_id", A.rmse(F.col("y"), F.col("x")).alias("removed"), A.sd(F.col("y")).alias("sd"))
-
-
 @query("peak_picking")
 def peak_picking(t):
     """Spaced peaks by height and prominence, and the two detectors' counts."""

@@ -103,7 +103,7 @@ def mains_comparison(packed: DataFrame, fs: int = C.FS_HZ) -> DataFrame:
     return out
 
 
-def denoising_comparison(packed: DataFrame, methods=("raw", "notch30", "wavelet", "emd"), baseline: str = "raw", fs: int = C.FS_HZ) -> DataFrame:
+def denoising_comparison(packed: DataFrame, methods=("raw", "notch30", "notch60", "ls_joint", "ls_sequential"), baseline: str = "raw", fs: int = C.FS_HZ) -> DataFrame:
     """Rhythm, SNR and wave amplitudes per recording and method, with difference and percent change to the baseline."""
     from pyspark.sql import Window as W
     waves = (("R", -5, 5, 1), ("P", -55, -15, 1), ("S", 1, 12, -1), ("J", 12, 35, 1), ("T", 40, 90, 1))

@@ -101,29 +101,6 @@ def test_polarity_choice():
     assert dsp.oriented_peaks(slow, nearest=False)[1] is False
 
 
-def test_wavelets():
-    assert dsp.scaling_filter("db4")[:3] == pytest.approx([0.23037781, 0.71484657, 0.63088077], abs=1e-7)
-    assert dsp.scaling_filter("db6")[0] == pytest.approx(0.11154074, abs=1e-7)
-    x = np.random.default_rng(3).normal(size=777)
-    for name in ("db4", "db6", "db8", "sym8"):
-        h = dsp.scaling_filter(name)
-        assert h @ h == pytest.approx(1) and h[2:] @ h[:-2] == pytest.approx(0, abs=1e-9)
-        assert np.allclose(dsp.wavelet_denoise(x, name, 5, scale=0.0), x, atol=1e-9)
-    t = np.arange(4000) / 1000
-    pure = np.sin(2 * np.pi * 5 * t)
-    noisy = pure + 0.3 * np.random.default_rng(4).normal(size=4000)
-    for mode in ("soft", "hard"):
-        assert np.std(dsp.wavelet_denoise(noisy, mode=mode) - pure) < 0.5 * np.std(noisy - pure)
-
-
-def test_empirical_modes_remove_noise():
-    t = np.arange(3000) / 1000
-    pure = np.sin(2 * np.pi * 6 * t)
-    noisy = pure + 0.1 * np.random.default_rng(5).normal(size=3000)
-    assert np.std(dsp.emd_denoise(noisy) - pure) < 0.7 * np.std(noisy - pure)
-    assert np.array_equal(dsp.emd_denoise(np.arange(50.0)), np.arange(50.0))
-
-
 def test_welch_parseval():
     x = np.random.default_rng(6).normal(size=40000)
     f, p = dsp.welch(x, 1000, 4096)

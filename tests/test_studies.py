@@ -64,7 +64,7 @@ def test_mains_and_denoising(cohort):
     _, _, packed = cohort
     for r in St.mains_comparison(packed).collect():
         assert r["rejected_ls_sequential_pct"] > 80 and abs(r["loss_ls_sequential_pct"]) < abs(r["loss_notch60_pct"]) + 5
-    d = St.denoising_comparison(packed, ("raw", "notch30", "wavelet"))
+    d = St.denoising_comparison(packed, ("raw", "notch30", "ls_joint"))
     assert d.count() == 24 and d.where("method = 'raw' AND snr_delta <> 0").count() == 0
 
 
