@@ -46,3 +46,8 @@ def normal_two_sided(z: Column) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     return _call("Erf", "erfc", -z / F.sqrt(F.lit(2.0))) / 2.0
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function; NULL outside (0, 1)."""
+    return F.when((p > 0) & (p < 1), F.sqrt(F.lit(2.0)) * _call("Erf", "erfInv", 2.0 * p - 1.0))

@@ -259,15 +259,11 @@ def with_two_way_p(df: DataFrame) -> DataFrame:
 
 def shapiro(long: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str]) -> DataFrame:
     """Shapiro–Wilk W and p (Royston). Ranks are assigned across tasks, the weights are summed per key."""
-    from pulsegrid.functions.distributions import normal_quantile, royston_p
+    from pulsegrid.functions.distributions import royston_p
     keys = list(keys)
     placed = O.positions(long.where(F.col(value).isNotNull()), keys, value, ids, "_i", total="_n")
-
-    @F.pandas_udf("double")
-    def score(i: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(normal_quantile(((i - 0.375) / (n + 0.25)).to_numpy()))
     i, n, x = F.col("_i"), F.col("_n"), F.col(value).cast("double")
-    m = placed.withColumn("_m", score(i.cast("double"), n.cast("double")))
+    m = placed.withColumn("_m", tails.normal_quantile((i - 0.375) / (n + 0.25)))
     mid = (i > 2) & (i < n - 1)
     take = lambda cond, c: F.max(F.when(cond, c))
     g = m.groupBy(*keys).agg(
@@ -286,13 +282,8 @@ def shapiro(long: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str]
 
 def probability_plot(long: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str]) -> DataFrame:
     """Ordered values against normal order-statistic medians (Filliben)."""
-    from pulsegrid.functions.distributions import normal_quantile
     placed = O.positions(long.where(F.col(value).isNotNull()), keys, value, ids, "_i", total="_n")
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return pd.Series(normal_quantile(p.to_numpy()))
     i, n = F.col("_i"), F.col("_n")
     top = F.pow(F.lit(0.5), 1.0 / n)
     p = F.when(i == n, top).when(i == 1, 1.0 - top).otherwise((i - 0.3175) / (n + 0.365))
-    return placed.select(*keys, *ids, F.col(value).alias("ordered"), quantile(p).alias("theoretical"))
+    return placed.select(*keys, *ids, F.col(value).alias("ordered"), tails.normal_quantile(p).alias("theoretical"))

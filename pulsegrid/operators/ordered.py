@@ -9,29 +9,42 @@ Equal values are counted before anything is shuffled for sorting.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BLOCK = "_block"
 
 
-def with_value_blocks(df: DataFrame, column: str, cut_from: DataFrame | None = None) -> DataFrame:
+def with_value_blocks(df: DataFrame, column: str, cut_from: DataFrame | None = None, ties: str | None = None) -> DataFrame:
     """Add a block id that is monotone in ``column`` (non-null), about as many as shuffle partitions.
 
     ``cut_from`` names a cheaper frame with the same column to place the cuts by: the rows before they were
-    grouped, so that the quantile pass is a plain scan.
+    grouped, so that the quantile pass is a plain scan. A value that fills several blocks is cut further by ``ties``
+    where that is a numeric column, so that blocks are monotone in (column, ties).
     """
     n = min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     source = df if cut_from is None else cut_from
     cuts = source.select(F.col(column).cast("double").alias(column)).approxQuantile(
         column, [i / n for i in range(1, n)], 0.25 / n)
-    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    numeric = df.withColumn("_as_double", F.col(column).cast("double"))
-    return (Bucketizer(splits=splits, inputCol="_as_double", outputCol=BLOCK, handleInvalid="keep")
-            .transform(numeric).drop("_as_double"))
+    heavy = sorted({c for c in cuts if cuts.count(c) > 1 and math.isfinite(c)}) if ties and isinstance(df.schema[ties].dataType, T.NumericType) else []
+    # a heavy value gets a bucket of its own
+    blocked = _bucketed(df, F.col(column), {*cuts, *[math.nextafter(c, math.inf) for c in heavy]})
+    if not heavy:
+        return blocked
+    tie, own = F.coalesce(F.col(ties).cast("double"), F.lit(float("-inf"))), F.col(column).cast("double").isin(heavy)
+    more = df.where(own).select(tie.alias("_tie")).approxQuantile("_tie", [i / n for i in range(1, n)], 0.25 / n)
+    finer = _bucketed(blocked.withColumnRenamed(BLOCK, "_coarse"), tie, set(more))
+    return finer.withColumn(BLOCK, F.col("_coarse") * (n + 3) + F.when(own, F.col(BLOCK)).otherwise(0.0)).drop("_coarse")
+
+
+def _bucketed(df: DataFrame, value: Column, cuts: set[float]) -> DataFrame:
+    inner = sorted({c for c in cuts if math.isfinite(c)} or {0.0})
+    return (Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_as_double", outputCol=BLOCK, handleInvalid="keep")
+            .transform(df.withColumn("_as_double", value.cast("double"))).drop("_as_double"))
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -110,7 +123,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str
               name: str = "pos", total: str | None = None, block: Column | None = None) -> DataFrame:
     """Row number from 1 within ``keys`` by (order, ties); pass ``block`` when a monotone block id is known."""
     keys = list(keys)
-    blocked = df.withColumn(BLOCK, block) if block is not None else with_value_blocks(df, order)
+    blocked = df.withColumn(BLOCK, block) if block is not None else with_value_blocks(df, order, ties=ties[0] if ties else None)
     inside = W.partitionBy(*keys, BLOCK).orderBy(order, *ties)
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carry = blocked.groupBy(*keys, BLOCK).agg(F.count("*").alias("_k"))

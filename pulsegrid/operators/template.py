@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators.beats import elementwise
 from pulsegrid.operators.morphology import Beat
-from pulsegrid.operators.ordered import attach_one_row
+from pulsegrid.operators.ordered import attach_one_row, positions
 
 
 def normalised(beat: Beat, quiet: int = -70, r_half: int = 5) -> Column:
@@ -73,4 +73,8 @@ def rhythm_flag(rr_cv: Column, corr_warp: Column, limit: float = 0.15) -> Column
 
 def ranked(scores: DataFrame, by: str = "rmse_warp", ties: str = "animal_id") -> DataFrame:
     """Final report order: one row per animal, nearest first, unscored last."""
-    return scores.withColumn("rank", F.row_number().over(W.orderBy(F.col(by).asc_nulls_last(), ties)))
+    unscored = F.col(by).isNull()
+    placed = positions(scores.withColumns({"_unscored": unscored, "_by": F.coalesce(F.col(by), F.lit(0.0))}), ["_unscored"], "_by", [ties], "rank")
+    placed = attach_one_row(placed, scores.agg(F.count(by).alias("_scored")))
+    rank = F.col("rank") + F.when(F.col("_unscored"), F.col("_scored")).otherwise(0)
+    return placed.withColumn("rank", rank.cast("int")).drop("_unscored", "_by", "_scored")

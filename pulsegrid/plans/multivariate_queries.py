@@ -67,14 +67,13 @@ def permdisp_deviation(t):
 @query("permdisp_f", DIST + ", v AS (SELECT own, total / n AS dev FROM d WHERE own = other), g AS (SELECT own, count(*) AS n, avg(dev) AS m, var_pop(dev) AS s FROM v GROUP BY 1), t AS (SELECT avg(dev) AS gm FROM v) SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))), 5) AS f_stat FROM g, t")
 def permdisp_f(t):
     dev = PW.own_group_dispersion(points(t), "vec_id", "x", "label").withColumn("d", F.array("deviation"))
-    f = P.pseudo_f(P.label_sums(dev, P.permutation_plan(dev, "vec_id", "label", 0), "vec_id", "d"))
+    f = P.pseudo_f(P.permuted_sums(dev, "vec_id", "label", "d"))
     return f.select("k", "n", F.round("f_stat", 5).alias("f_stat"))
 
 
 @query("permanova_f", LONG + ", c AS (SELECT label, i, count(*) AS n, sum(v * v) AS q, sum(v) AS s FROM u GROUP BY 1, 2), w AS (SELECT sum(q - s * s / n) AS ssw, count(DISTINCT label) AS k FROM c), t AS (SELECT sum(q - s * s / n) AS sst, any_value(n) AS n FROM (SELECT i, count(*) AS n, sum(v * v) AS q, sum(v) AS s FROM u GROUP BY 1)) SELECT k, n, round(((sst - ssw) / (k - 1)) / (ssw / (n - k)), 6) AS f_stat, round(1 - ssw / sst, 6) AS r2 FROM w, t")
 def permanova_f(t):
-    p = points(t)
-    f = P.pseudo_f(P.label_sums(p, P.permutation_plan(p, "vec_id", "label", 0), "vec_id"))
+    f = P.pseudo_f(P.permuted_sums(points(t), "vec_id", "label"))
     return f.select("k", "n", F.round("f_stat", 6).alias("f_stat"), F.round("r2", 6).alias("r2"))
 
 
@@ -173,12 +172,12 @@ def consensus_runs(t):
 
 @query("permanova")
 def permanova(t):
-    return P.permanova(points(t), "vec_id", "label", permutations=199)
+    return P.permanova(points(t), "vec_id", "label")
 
 
 @query("permdisp")
 def permdisp(t):
-    return P.permdisp(points(t), "vec_id", "label", permutations=199)
+    return P.permdisp(points(t), "vec_id", "label")
 
 
 @query("lda_classification")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as X, constants as C, tails
 from pulsegrid.operators import (beats as B, classify as L, clusters as K, effects as E, inference as S, matrix as M, morphology as Mo, ordered as O,
-                                 pairwise as PW, permutation as P, relational as R, resampling as Rs, windows as V)
+                                 pairwise as PW, permutation as P, relational as R, resampling as Rs, template as T, windows as V)
 
 
 @pytest.fixture(scope="module")
@@ -261,18 +261,50 @@ def test_permutation_plan_keeps_class_sizes(cloud):
     assert (codes[:, 0] == np.array([r["id"] for r in plan]) // 30).all() and (codes[:, 1] != codes[:, 0]).any()
 
 
-def test_permanova_against_distances(cloud):
+@pytest.mark.parametrize("cells", [1 << 22, 100])
+def test_permanova_against_distances(cloud, monkeypatch, cells):
     df, x, lab = cloud
+    monkeypatch.setattr(P, "BLOCK_CELLS", cells)  # one block, then four
     d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
-    plan = P.permutation_plan(df, "id", "label", 5)
-    got = {r["p"]: r["f_stat"] for r in P.pseudo_f(P.label_sums(df, plan, "id")).collect()}
-    codes = {r["id"]: r["codes"] for r in plan.collect()}
-    for p in range(6):
-        c = np.array([codes[i][p] for i in range(90)])
-        ssw = sum(d2[np.ix_(c == g, c == g)].sum() / (2 * (c == g).sum()) for g in range(3))
-        sst = d2.sum() / 180
-        assert got[p] == pytest.approx(((sst - ssw) / 2) / (ssw / 87))
+    sums = P.permuted_sums(df, "id", "label", permutations=200).persist()
+    ssw = sum(d2[np.ix_(lab == g, lab == g)].sum() / 60 for g in range(3))
+    f = {r["p"]: r["f_stat"] for r in P.pseudo_f(sums).collect()}
+    assert f[0] == pytest.approx(((d2.sum() / 180 - ssw) / 2) / (ssw / 87)) and len(f) == 201
+    rows = sums.collect()
+    assert len(rows) == 603 and all(r["n"] == 30 for r in rows)  # class sizes are kept exactly
+    total = np.zeros((201, 4))
+    for r in rows:
+        total[r["p"]] += r["total"]
+    assert np.allclose(total, x.sum(0))
+    # a class mean over uniform permutations has the mean and variance of a sample without replacement
+    means = np.array([np.array(r["total"]) / 30 for r in rows if r["p"] > 0 and r["code"] == 0])
+    sd = x.std(0, ddof=1) * np.sqrt((1 - 30 / 90) / 30)
+    assert (np.abs(means.mean(0) - x.mean(0)) < 4 * sd / np.sqrt(200)).all() and (np.abs(means.std(0) / sd - 1) < 0.25).all()
     assert P.permanova(df, "id", "label", permutations=99).first()["p_value"] == pytest.approx(0.01)
+    assert P.permuted_sums(df.where("id < 0"), "id", "label", permutations=3).count() == 0
+
+
+def test_positions_split_a_tied_value(spark):
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random(4000) < 0.7, 5, rng.integers(0, 10, 4000))
+    df = spark.createDataFrame([(int(i), float(a)) for i, a in zip(rng.permutation(4000), v)], "id long, v double")
+    got = [(r["v"], r["id"]) for r in O.positions(df, [], "v", ["id"]).orderBy("pos").collect()]
+    assert got == sorted(got)
+    blocks = {(r["v"], r[O.BLOCK]) for r in O.with_value_blocks(df, "v", ties="id").select("v", O.BLOCK).distinct().collect()}
+    assert len([b for a, b in blocks if a == 5.0]) > 3
+
+
+def test_normal_quantile_column(spark):
+    from statistics import NormalDist
+    ps = [1e-9, 1e-4, 0.025, 0.3, 0.5, 0.9, 0.975, 1 - 1e-6]
+    got = [r["q"] for r in spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").select(tails.normal_quantile(F.col("p")).alias("q")).collect()]
+    assert got[:len(ps)] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], abs=1e-7) and got[len(ps):] == [None] * 3
+
+
+def test_ranked_puts_unscored_last(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(-(i // 2))) for i in range(200)], "animal_id long, rmse_warp double")
+    got = [r["animal_id"] for r in T.ranked(df).orderBy("rank").collect()]
+    assert got == sorted(range(200), key=lambda i: (i % 3 == 0, 0 if i % 3 == 0 else -(i // 2), i))
 
 
 def test_classifiers(cloud, spark):
