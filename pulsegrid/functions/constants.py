@@ -79,3 +79,6 @@ CLUSTER_FEATURES = (
     "r_amplitude_std_mv", "rr_cv",
 )
 CAUSE_FLAGS = ("beats_detected", "rhythm_regular", "twave_isolated", "enough_beats_for_sd")
+
+# Shape and rate of the Gamma priors on precisions.
+WEAK_GAMMA = (0.01, 0.01)

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pulsegrid.functions import constants as C
+
 POISSON_CUTS = np.cumsum([1 / np.e / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
 
@@ -74,63 +76,78 @@ def bootstrap_interval(long: DataFrame, keys: Sequence[str], arm: str, first, se
                                 F.count("*").alias("replicates"), F.count_if(F.col("diff").isNull()).alias("undefined"))
 
 
-def hierarchical_means(moments: DataFrame, keys: Sequence[str], arm: str, iterations: int = 8000, burn: int = 2000, seed: int = 0) -> DataFrame:
-    """Posterior draws (keys, draw, param, value) of partially pooled arm means, from arm moments (n, mean, var)."""
+def _draw_rows(pdf: pd.DataFrame, keys: list[str], names: list[str], draws: np.ndarray) -> pd.DataFrame:
+    """Draws (draw, parameter) as rows, with the group's keys in front."""
+    n = len(draws)
+    out = pd.DataFrame({k: [pdf[k].iloc[0]] * (n * len(names)) for k in keys})
+    return out.assign(draw=np.tile(np.arange(n), len(names)).astype("int32"), param=np.repeat(names, n), value=draws.T.ravel())
+
+
+def hierarchical_means(moments: DataFrame, keys: Sequence[str], arm: str, iterations: int = 8000, burn: int = 2000, seed: int = 0,
+                       chains: int = 4, prior: tuple[float, float] = C.WEAK_GAMMA) -> DataFrame:
+    """Posterior draws (keys, draw, param, value) of partially pooled arm means, from arm moments (n, mean, var).
+
+    Values of an arm are normal around its mean with a precision that all arms share; arm means are normal around a
+    common mean. The common mean is flat, both precisions are Gamma(shape, rate) = ``prior``. ``chains`` chains of a
+    Gibbs sampler step side by side; each is burnt in, and together they give ``iterations - burn`` draws.
+    """
     keys = list(keys)
     types = dict(moments.dtypes)
+    wanted = iterations - burn
+    shape, rate = prior
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(arm)
+        size, centre = pdf["n"].to_numpy(float), pdf["mean"].to_numpy(float)
+        inner = np.nansum((size - 1) * pdf["var"].to_numpy(float))
         rng = np.random.default_rng(seed)
-        n, ybar = pdf["n"].to_numpy(float), pdf["mean"].to_numpy(float)
-        within = float(((n - 1) * np.nan_to_num(pdf["var"].to_numpy(float))).sum())
-        g, total = len(n), n.sum()
-        theta, mu = ybar.copy(), ybar.mean()
-        grand = (n * ybar).sum() / total
-        sigma2, tau2 = (within + (n * (ybar - grand) ** 2).sum()) / total, ybar.var() + 1e-4
-        out = np.empty((iterations - burn, g + 3))
-        for it in range(iterations):
-            prec = n / sigma2 + 1 / tau2
-            theta = rng.normal((ybar * n / sigma2 + mu / tau2) / prec, np.sqrt(1 / prec))
-            mu = rng.normal(theta.mean(), np.sqrt(tau2 / g))
-            sigma2 = 1 / rng.gamma(0.01 + total / 2, 1 / (0.01 + (within + (n * (ybar - theta) ** 2).sum()) / 2))
-            tau2 = 1 / rng.gamma(0.01 + g / 2, 1 / (0.01 + ((theta - mu) ** 2).sum() / 2))
-            if it >= burn:
-                out[it - burn] = [*theta, mu, np.sqrt(sigma2), np.sqrt(tau2)]
-        names = [*pdf[arm].astype(str), "mu", "sigma", "tau"]
-        long = pd.DataFrame({"draw": np.tile(np.arange(len(out)), len(names)).astype("int32"), "param": np.repeat(names, len(out)), "value": out.T.ravel()})
-        for k in reversed(keys):
-            long.insert(0, k, pdf[k].iloc[0])
-        return long
+
+        def precision(count, squares):
+            return rng.gamma(shape + count / 2, size=(chains, 1)) / (rate + squares / 2)
+        common = rng.choice(centre, (chains, 1))
+        within = precision(size.sum(), inner)
+        across = precision(len(size), ((centre - centre.mean()) ** 2).sum())
+        kept = []
+        for step in range(burn + -(-wanted // chains)):
+            own = within * size
+            total = own + across
+            means = (own * centre + across * common) / total + rng.standard_normal(total.shape) / np.sqrt(total)
+            common = means.mean(axis=1, keepdims=True) + rng.standard_normal((chains, 1)) / np.sqrt(len(size) * across)
+            within = precision(size.sum(), inner + (size * (centre - means) ** 2).sum(axis=1, keepdims=True))
+            across = precision(len(size), ((means - common) ** 2).sum(axis=1, keepdims=True))
+            if step >= burn:
+                kept.append(np.hstack([means, common, within ** -0.5, across ** -0.5]))
+        return _draw_rows(pdf, keys, [*pdf[arm].astype(str), "mu", "sigma", "tau"], np.concatenate(kept)[:wanted])
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "draw int, param string, value double"
-    return moments.groupBy(*keys).applyInPandas(chain, schema)
+    return moments.groupBy(*keys).applyInPandas(sample, schema)
 
 
-def slope_posterior(long: DataFrame, keys: Sequence[str], rank: str, iterations: int = 8000, burn: int = 2000, seed: int = 0) -> DataFrame:
-    """Posterior draws of intercept and slope on the centred dose rank, from six sums per key."""
+def slope_posterior(long: DataFrame, keys: Sequence[str], rank: str, iterations: int = 8000, burn: int = 2000, seed: int = 0,
+                    prior: tuple[float, float] = C.WEAK_GAMMA) -> DataFrame:
+    """Posterior draws of intercept and slope on the centred dose rank, from six sums per key.
+
+    With flat coefficients the precision's own posterior is a Gamma of the residual squares, and the coefficients are
+    independent normals given it; so ``iterations - burn`` draws are made at once, each independent of the others.
+    Keys with one rank only have no draws.
+    """
     keys = list(keys)
     types = dict(long.dtypes)
     x, y = F.col(rank).cast("double"), F.col("value")
     sums = long.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
+        F.count("*").cast("double").alias("n"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"),
+        F.covar_pop(x, y).alias("cxy")).where("vx > 0")
+    shape, rate = prior
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, my, vx, vy, cxy = (float(pdf[c].iloc[0]) for c in ("n", "my", "vx", "vy", "cxy"))
         rng = np.random.default_rng(seed)
-        n, sxx, sxy, syy = r["n"], r["n"] * r["vx"], r["n"] * r["cxy"], r["n"] * r["vy"]
-        b_hat, s2, out = sxy / sxx, r["vy"], np.empty((iterations - burn, 2))
-        for it in range(iterations):
-            a, b = rng.normal(r["my"], np.sqrt(s2 / n)), rng.normal(b_hat, np.sqrt(s2 / sxx))
-            ss = n * (r["my"] - a) ** 2 + syy - 2 * b * sxy + b * b * sxx
-            s2 = 1 / rng.gamma(0.01 + n / 2, 1 / (0.01 + ss / 2))
-            if it >= burn:
-                out[it - burn] = a, b
-        long_ = pd.DataFrame({"draw": np.tile(np.arange(len(out)), 2).astype("int32"), "param": np.repeat(["intercept", "slope"], len(out)), "value": out.T.ravel()})
-        for k in reversed(keys):
-            long_.insert(0, k, r[k])
-        return long_
+        residual = max(0.0, n * (vy - cxy * cxy / vx))
+        scale = (rng.gamma(shape + (n - 2) / 2, size=iterations - burn) / (rate + residual / 2)) ** -0.5
+        z = rng.standard_normal((2, iterations - burn))
+        draws = np.stack([my + z[0] * scale / np.sqrt(n), cxy / vx + z[1] * scale / np.sqrt(n * vx)], axis=1)
+        return _draw_rows(pdf, keys, ["intercept", "slope"], draws)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "draw int, param string, value double"
-    return sums.groupBy(*keys).applyInPandas(chain, schema)
+    return sums.groupBy(*keys).applyInPandas(sample, schema)
 
 
 def posterior_summary(draws: DataFrame, keys: Sequence[str]) -> DataFrame:

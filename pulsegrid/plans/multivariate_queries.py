@@ -143,7 +143,7 @@ def pca_shift(t):
 
 @query("kmeans_clusters")
 def kmeans_clusters(t):
-    return K.kmeans(points(t), 5, n_init=3).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    return K.kmeans(points(t), 5).groupBy("cluster", "label").agg(F.count("*").alias("n"))
 
 
 @query("gmm_clusters")
@@ -182,17 +182,17 @@ def permdisp(t):
 
 @query("lda_classification")
 def lda_classification(t):
-    return L.cross_validated(points(t), "vec_id", "label", permutations=20)
+    return L.cross_validated(points(t), "vec_id", "label")
 
 
 @query("pls_classification")
 def pls_classification(t):
-    return L.cross_validated(points(t), "vec_id", "label", model="pls", permutations=20)
+    return L.cross_validated(points(t), "vec_id", "label", model="pls")
 
 
 @query("forest_classification")
 def forest_classification(t):
-    return L.forest(points(t), "vec_id", "label", trees=20, max_folds=2)
+    return L.forest(points(t), "vec_id", "label")
 
 
 def arms(t):
@@ -201,19 +201,19 @@ def arms(t):
 
 @query("bootstrap_ci")
 def bootstrap_ci(t):
-    return B.bootstrap_interval(arms(t), ["study"], "arm", "1-URGENT", "5-LOW", ["o_orderkey"], replicates=500)
+    return B.bootstrap_interval(arms(t), ["study"], "arm", "1-URGENT", "5-LOW", ["o_orderkey"])
 
 
 @query("gibbs_arm_means")
 def gibbs_arm_means(t):
-    draws = B.hierarchical_means(S.arm_moments(arms(t), ["study"], "arm"), ["study"], "arm", 2000, 500)
+    draws = B.hierarchical_means(S.arm_moments(arms(t), ["study"], "arm"), ["study"], "arm")
     return B.posterior_summary(draws, ["study"]).unionByName(B.posterior_summary(B.posterior_contrast(draws, ["study"], "1-URGENT", "5-LOW"), ["study"]))
 
 
 @query("gibbs_slope")
 def gibbs_slope(t):
     rank = F.substring("arm", 1, 1).cast("int")
-    return B.posterior_summary(B.slope_posterior(arms(t).withColumn("rank", rank - 1), ["study"], "rank", 2000, 500), ["study"])
+    return B.posterior_summary(B.slope_posterior(arms(t).withColumn("rank", rank - 1), ["study"], "rank"), ["study"])
 
 
 @query("dose_response_sets", """
