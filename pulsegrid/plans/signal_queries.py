@@ -53,9 +53,19 @@ def mains_joint(t):
     return traces(t).select("vec_id", F.posexplode(y).alias("n", "y")).withColumn("y", F.round("y", 7))
 
 
-@query("mains_sequential")
+def tone_sql(i: int, before: str) -> str:
+    """Least-squares removal of tone ``i`` from the samples of ``before``, by the two normal equations."""
+    return f"""a{i} AS (SELECT vec_id, sum(x * c{i}) AS p, sum(x * s{i}) AS q FROM {before} JOIN w USING (n) GROUP BY 1),
+ r{i} AS (SELECT vec_id, n, x - ((ss{i} * p - cs{i} * q) * c{i} + (cc{i} * q - cs{i} * p) * s{i}) / (cc{i} * ss{i} - cs{i} * cs{i}) AS x FROM {before} JOIN w USING (n) JOIN a{i} USING (vec_id), g)"""
+
+
+@query("mains_sequential", E + f""", u AS (SELECT vec_id, i - 1 AS n, b[i] AS x FROM e, (SELECT unnest(range(1, 65)) AS i)),
+ w AS (SELECT n, cos(2 * pi() * 7.5 * n / 64) AS c1, sin(2 * pi() * 7.5 * n / 64) AS s1, cos(2 * pi() * 15.2 * n / 64) AS c2, sin(2 * pi() * 15.2 * n / 64) AS s2 FROM (SELECT unnest(range(0, 64)) AS n)),
+ g AS (SELECT sum(c1 * c1) AS cc1, sum(s1 * s1) AS ss1, sum(c1 * s1) AS cs1, sum(c2 * c2) AS cc2, sum(s2 * s2) AS ss2, sum(c2 * s2) AS cs2 FROM w),
+ {tone_sql(1, "u")}, {tone_sql(2, "r1")} SELECT vec_id, round(stddev_samp(x), 7) AS sd FROM r2 GROUP BY 1""")
 def mains_sequential(t):
-    return traces(t).select("vec_id", A.sd(S.mains_removed(F.col("x"), 64.0, (7.5, 15.2), joint=False)).alias("sd"))
+    sd = A.sd(S.mains_removed(F.col("x"), 64.0, (7.5, 15.2), joint=False))
+    return traces(t).select("vec_id", F.round(sd, 7).alias("sd"))
 
 
 @query("filter_variants")

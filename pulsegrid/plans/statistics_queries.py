@@ -235,16 +235,48 @@ def shapiro_wilk(t):
     return S.shapiro(t.customer.select("c_mktsegment", "c_custkey", "c_acctbal"), ["c_mktsegment"], "c_acctbal", ["c_custkey"])
 
 
-@query("probability_plot")
+# Numerators and denominators of Wichura's percentage points of the normal distribution (AS 241), centre and tail.
+CENTRE = ([2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4,
+           1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0],
+          [5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3,
+           6.8718700749205790830e2, 4.2313330701600911252e1, 1.0])
+TAIL = ([7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0,
+         5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0],
+        [1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1,
+         1.67638483018380384940e0, 2.05319162663775882187e0, 1.0])
+
+
+def ratio_sql(tables, r: str) -> str:
+    """Quotient of two polynomials in ``r``, highest power first, as SQL."""
+    both = [" + ".join(f"CAST({c!r} AS DOUBLE) * pow({r}, {len(t) - 1 - i})" for i, c in enumerate(t)) for t in tables]
+    return f"(({both[0]}) / ({both[1]}))"
+
+
+@query("probability_plot", f"""WITH o AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
+ p AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE CAST(i - 0.3175 AS DOUBLE) / (n + 0.365) END AS p FROM o),
+ q AS (SELECT *, 0.180625 - (p - 0.5) * (p - 0.5) AS r, sqrt(-ln(least(p, 1 - p))) - 1.6 AS far FROM p)
+SELECT c_mktsegment, c_custkey, c_acctbal AS ordered, round(CASE WHEN r >= 0 THEN (p - 0.5) * {ratio_sql(CENTRE, "r")} ELSE sign(p - 0.5) * {ratio_sql(TAIL, "far")} END, 6) AS theoretical FROM q""")
 def probability_plot(t):
-    return S.probability_plot(t.customer.select("c_mktsegment", "c_custkey", "c_acctbal"), ["c_mktsegment"], "c_acctbal", ["c_custkey"])
+    p = S.probability_plot(t.customer.select("c_mktsegment", "c_custkey", "c_acctbal"), ["c_mktsegment"], "c_acctbal", ["c_custkey"])
+    return p.withColumn("theoretical", F.round("theoretical", 6))
 
 
-@query("rope")
+@query("rope", f"""WITH {MOM}, z AS (SELECT study, parameter, w, greatest(-10, least(10, (-w * sp - (ma - mb)) / se)) AS a, greatest(-10, least(10, (w * sp - (ma - mb)) / se)) AS b FROM ps, (SELECT unnest([0.5::DOUBLE, 0.02::DOUBLE]) AS w)),
+ s AS (SELECT study, parameter, w, sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-((a + (b - a) * k / 2000) ** 2) / 2)) * any_value(b - a) / 6000 / sqrt(2 * pi()) AS p
+  FROM z, (SELECT unnest(range(0, 2001)) AS k) GROUP BY ALL)
+SELECT study, parameter, round(max(CASE WHEN w = 0.5 THEN p END), 6) AS p_rope, round(max(CASE WHEN w < 0.5 THEN p END), 6) AS p_rope_narrow FROM s GROUP BY ALL""")
 def rope(t):
-    return E.rope_probability(moments(t)).select(*KEYS, "p_rope")
+    """The study's margin of half an SD, and one narrow enough to be undecided on many rows."""
+    m = moments(t)
+    both = E.rope_probability(E.rope_probability(m, 0.02).withColumnRenamed("p_rope", "p_rope_narrow"))
+    return both.select(*KEYS, F.round("p_rope", 6).alias("p_rope"), F.round("p_rope_narrow", 6).alias("p_rope_narrow"))
 
 
-@query("mean_difference_ci")
+# the t quantile in SQL is its expansion around the normal one, which four terms carry below the rounding from about 100 rows on
+@query("mean_difference_ci", f"""WITH {MOM}, z AS (SELECT *, CAST(na + nb - 2 AS DOUBLE) AS v, CAST(1.959963984540054 AS DOUBLE) AS z FROM ps),
+ t AS (SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v ** 2) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * v ** 3)
+  + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * v ** 4) AS t FROM z)
+SELECT study, parameter, round(ma - mb, 4) AS diff, round(ma - mb - t * se, 3) AS ci_low, round(ma - mb + t * se, 3) AS ci_high FROM t""")
 def mean_difference_ci(t):
-    return E.with_t_interval(E.effect_sizes(moments(t))).select(*KEYS, "diff", "ci_low", "ci_high")
+    e = E.with_t_interval(E.effect_sizes(moments(t)))
+    return e.select(*KEYS, F.round("diff", 4).alias("diff"), F.round("ci_low", 3).alias("ci_low"), F.round("ci_high", 3).alias("ci_high"))
