@@ -4,7 +4,7 @@ Writing: the payload digests are counted first; only digests that occur more tha
 a third of which may share one), and every task writes one archive through Arrow's file systems, beside its final
 name, and moves it there, so that a task that runs again replaces its own file. Reading: a task takes a byte range,
 looks for gzip's magic bytes, and takes a place for a record's start only if the member inflates to a WARC header
-with a length; it owns the records that start in its range and reads past the end to finish the last one.
+with a length, however long the header is; it owns the records that start in its range and reads past the end to finish the last one.
 
 Records: ``response`` with the payload, or ``revisit`` with an empty block that names the response. Of equal
 payloads of at least ``least`` bytes, the row with the smallest id is the response and the others revisit it.
@@ -38,9 +38,8 @@ ID_PREFIX = "urn:pulsegrid:page:"
 #: Payloads of fewer bytes are responses always.
 LEAST_BYTES = 0
 SPLIT_BYTES = 4 << 20
-#: What a reader fetches at once, and the longest header it takes for one.
+#: What a reader fetches at once.
 CHUNK = 1 << 20
-LONGEST_HEADER = 1 << 16
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -143,17 +142,16 @@ def _member(window: _Window, position: int) -> tuple[dict[str, str], bytes, int]
             piece = window.get(at, 1 << 14 if head_end < 0 else 1 << 18)
             if not piece:
                 return None
+            seen = max(0, len(out) - 3)
             out += unpacker.decompress(piece)
             at += len(piece)
             if head_end < 0:
                 if not out.startswith(VERSION[:5][:len(out)]):
                     return None
-                head_end = out.find(b"\r\n\r\n")
+                head_end = out.find(b"\r\n\r\n", seen)
                 if head_end >= 0:
                     fields = dict(line.split(": ", 1) for line in out[:head_end].decode().split("\r\n")[1:] if ": " in line)
                     length = int(fields["Content-Length"])
-                elif len(out) > LONGEST_HEADER:
-                    return None
     except (zlib.error, UnicodeDecodeError, ValueError, KeyError):
         return None
     if head_end < 0 or len(out) < head_end + 4 + length:

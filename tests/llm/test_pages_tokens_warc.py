@@ -198,3 +198,10 @@ def test_pieces_are_best_and_round_trip(spark, documents):
 def test_piece_query_round_trips(spark):
     rows = pieces.op4_piece_encoding(spark, SF).collect()
     assert all(r["round_trip"] for r in rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_warc_headers_of_any_length(spark, folder_of):
+    url = "data:image/png;base64," + "".join(random.Random(7).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=400_000))
+    rows = [(1, url, "same"), (2, "u", "same"), (3, url, "other")]
+    got = warc.op9_warc(spark, folder_of(pages=spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
