@@ -2,16 +2,16 @@
 
 A text is its words (lower-cased in A-Z) joined by blanks, and an end. The tree's states are contexts of up to ``DEPTH``
 bytes. Training counts every (context, next byte) of all training texts: tasks count runs of ``DEPTH`` + 1 bytes, Spark
-sums them, and shorter contexts are sums of longer ones. A context stays if it makes up ``LEAST_CONTEXT`` of all places and
-passes a divergence test against its parent (the context without its oldest byte): the gain in log-likelihood, its count
-times the Kullback-Leibler divergence, must pay ``GAIN`` nats for each next byte seen. Suffixes of what stays stay too.
+sums them, and shorter contexts are sums of longer ones. A context stays if it occurs ``LEAST_COUNT`` times, however large
+the corpus, and passes a divergence test against its parent (the context without its oldest byte): the gain in log-likelihood,
+its count times the Kullback-Leibler divergence, must pay ``GAIN`` nats for each next byte seen. Suffixes of what stays stay too.
 Distributions are smoothed by absolute discounting: what a state doesn't tell of gets the discounts' mass in the parent's
 proportions; scoring uses the longest suffix that is a state.
 
-The tree that tasks get holds runs of at least ``LEAST_RUN`` of all places, so at most (DEPTH + 1) / LEAST_RUN entries
-whatever the corpus; what rarer runs carried is shared like the discounts, so distributions sum to 1. Likewise words of
-at least ``LEAST_WORD`` of all tokens (at most 1 / LEAST_WORD of them) are looked up in tasks; rarer ones are joined with
-the counts by hash, (text, word) pairs already summed.
+The whole tree is a table and stays in Spark. Tasks get a cache of what it says of frequent runs (at most
+``CACHED_RUNS``); other runs of a text are joined with the table, (text, run) pairs already summed, so the cache doesn't
+change results. Likewise words of at least ``LEAST_WORD`` of all tokens (at most 1 / LEAST_WORD of them) are looked
+up in tasks; rarer ones are joined with the counts by hash.
 
 Words are counted by 64-bit hashes. Cases: null, empty and blank texts have only the end. A null id counts as the empty
 text for the fold. Without training texts all counts are 0, base scores 0 and bytes uniform. Repeated rows are scored
@@ -24,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stage
 
 DEPTH = 5
-LEAST_CONTEXT = 5e-7
-LEAST_RUN = 5e-7
+LEAST_COUNT = 2
+#: The share of all places that a context must make up, besides; none is left out for its share.
+LEAST_CONTEXT = 0.0
+#: The most runs that tasks are given to look up; no bound on the model.
+CACHED_RUNS = 3_000_000
 LEAST_WORD = 2e-7
 GAIN = 1.0
 DISCOUNT = 0.5
@@ -179,59 +183,79 @@ class Tree:
         return np.log10(self.probabilities(codes))
 
 
-def grow(counts: DataFrame) -> Tree:
-    """The tree from the summed runs (key, n)."""
+def _low(n_bytes: Column) -> Column:
+    """A mask of the last bytes."""
+    return F.pow(F.lit(256.0), n_bytes).cast("bigint") - 1
+
+
+def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The tree from the summed runs (key, n): states (k, context, c), the runs told after them (k, run, n), and all places."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    low = lambda n_bytes: F.pow(F.lit(256.0), n_bytes).cast("bigint") - 1  # noqa: E731  a mask
     levels = stage(counts.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), lambda k: F.struct(
-        k.alias("k"), F.col("key").bitwiseAND(low(k + 1)).alias("run")))).alias("x"))
+        k.alias("k"), F.col("key").bitwiseAND(_low(k + 1)).alias("run")))).alias("x"))
         .groupBy("x.k", "x.run").agg(F.sum("n").alias("n")), "runs")
     context = F.shiftright("run", 8)
     contexts = stage(levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds")).where(
-        F.col("c") >= max(1.0, LEAST_CONTEXT * total)), "contexts")
+        (F.col("k") == 0) | (F.col("c") >= max(float(LEAST_COUNT), LEAST_CONTEXT * total))), "contexts")
     known = levels.withColumn("context", context).join(contexts, ["k", "context"])
     # a run's parent lacks the oldest byte of its context
     parents = known.select((F.col("k") + 1).alias("k"), F.col("run").alias("parent"), F.col("n").alias("n_up"), F.col("c").alias("c_up"))
-    gains = known.where("k > 0").withColumn("parent", F.col("run").bitwiseAND(low(F.col("k")))).join(parents, ["k", "parent"]).groupBy("k", "context", "kinds").agg(
-        F.sum(F.col("n") * F.log(F.col("n") * F.col("c_up") / (F.col("c") * F.col("n_up")))).alias("gain"))
+    gains = known.where("k > 0").withColumn("parent", F.col("run").bitwiseAND(_low(F.col("k")))).join(parents, ["k", "parent"]).groupBy("k", "context", "kinds").agg(
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("c") * (F.col("c_up") / F.col("n_up")))).alias("gain"))
     passed = gains.where(F.col("gain") > GAIN * F.col("kinds"))
-    states = stage(passed.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.struct(
-        j.alias("k"), F.col("context").bitwiseAND(low(j)).alias("context")))).alias("s")).select("s.*").distinct(), "states")
-    # at most (DEPTH + 1) / LEAST_RUN runs and DEPTH / LEAST_CONTEXT contexts come to the driver
-    entries = known.join(states, ["k", "context"], "left_semi").where((F.col("n") >= LEAST_RUN * total)).select("k", "context", "run", "n")
-    root = levels.where("k = 0").select("k", F.lit(0).cast("bigint").alias("context"), "run", "n")
-    entries = stage(entries.union(root), "entries")
-    nodes = contexts.join(states, ["k", "context"], "left_semi").select("k", "context", "c").toArrow()
-    got = entries.select("k", "run", "n").toArrow()
-
-    def of(table: pa.Table, k: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-        own = table["k"].to_numpy() == k
-        keys = table[key].to_numpy()[own].astype(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], table[value].to_numpy()[own][order].astype(np.float64)
-
-    here = lambda table: set(np.unique(table["k"].to_numpy()).tolist())
-    return Tree({k: of(nodes, k, "context", "c") for k in here(nodes)}, {k: of(got, k, "run", "n") for k in here(got)})
-
-
-class _Scores:
-    """log10 probabilities of runs, kept for those that a task has met."""
-
-    def __init__(self, tree: Tree):
-        self.tree, self.codes, self.values = tree, np.zeros(0, np.uint64), np.zeros(0)
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        unique, where = np.unique(codes, return_inverse=True)
-        if len(self.codes) > HELD_RUNS:
-            self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
-        at = np.searchsorted(self.codes, unique)
-        new = unique[self.codes[np.minimum(at, len(self.codes) - 1)] != unique] if len(self.codes) else unique
-        if len(new):
-            both = np.concatenate([self.codes, new])
-            order = np.argsort(both, kind="stable")
-            self.codes, self.values = both[order], np.concatenate([self.values, self.tree.log_probabilities(new)])[order]
-            at = np.searchsorted(self.codes, unique)
-        return self.values[at][where]
+    kept = passed.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.struct(
+        j.alias("k"), F.col("context").bitwiseAND(_low(j)).alias("context")))).alias("s")).select("s.*").distinct()
+    states = stage(contexts.join(kept, ["k", "context"], "left_semi").select("k", "context", "c"), "states")
+    told = known.join(states, ["k", "context"], "left_semi").select("k", "run", "n").union(levels.where("k = 0").select("k", "run", "n"))
+    return states, stage(told, "told"), total
+
+
+def _levels(table: pa.Table, key: str, value: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys (sorted) and values of a table by level."""
+    level, keys, values, out = table["k"].to_numpy(), table[key].to_numpy().astype(np.uint64), table[value].to_numpy().astype(np.float64), {}
+    for k in np.unique(level).tolist():
+        own = np.flatnonzero(level == k)
+        own = own[np.argsort(keys[own])]
+        out[k] = keys[own], values[own]
+    return out
+
+
+def values_of(wanted: DataFrame, states: DataFrame, told: DataFrame) -> DataFrame:
+    """(run, value) for distinct runs: their last byte's log10 probability after the rest.
+
+    States and runs of all levels from two bytes of context on meet by these two bytes; what is above (by the
+    alphabet, at most 256 states and 256 x 257 runs) goes to all tasks.
+    """
+    spark = wanted.sparkSession
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = lambda context: F.pmod(F.xxhash64(context.bitwiseAND(F.lit(0xFFFF).cast("bigint"))), F.lit(n)).alias("part")
+    top = spark.sparkContext.broadcast((_levels(states.where("k < 2").toArrow(), "context", "c"), _levels(told.where("k < 2").toArrow(), "run", "n")))
+    last = F.shiftright("run", 8)
+    model = states.where("k > 1").select(part(F.col("context")), F.lit(True).alias("state"), "k", F.col("context").alias("code"), F.col("c").alias("n")).union(
+        told.where("k > 1").select(part(last), F.lit(False), "k", "run", "n"))
+
+    def value(asked: pa.Table, own: pa.Table) -> pa.Table:
+        nodes, runs_ = top.value
+        tree = Tree({**nodes, **_levels(own.filter(own["state"]), "code", "n")}, {**runs_, **_levels(own.filter(pc.invert(own["state"])), "code", "n")})
+        codes = asked["run"].to_numpy()
+        return pa.table({"run": codes, "value": tree.log_probabilities(codes.astype(np.uint64))}, pa.schema([("run", pa.int64()), ("value", pa.float64())]))
+
+    return wanted.select(part(last), "run").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(value, "run bigint, value double")
+
+
+def frequent_of(counts: DataFrame) -> DataFrame:
+    """(run) of the most frequent from (key, n), by classes of n, as many as the cache takes."""
+    size = F.floor(8 * F.log2("n"))
+    sizes = sorted((r["size"], r["m"]) for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("m")).collect())  # a few hundred
+    while sizes and sum(m for _, m in sizes) > CACHED_RUNS:
+        sizes = sizes[1:]
+    return counts.where(size >= sizes[0][0] if sizes else F.lit(False)).select(F.col("key").alias("run"))
+
+
+def grow(counts: DataFrame) -> Tree:
+    """The whole tree in one place, for small corpora."""
+    states, told, _ = tables(counts)
+    return Tree(_levels(states.toArrow(), "context", "c"), _levels(told.toArrow(), "run", "n"))
 
 
 class _Words(dict):
@@ -251,33 +275,44 @@ class _Words(dict):
         return value
 
 
-LOOKED = "doc_id bigint, n_words bigint, n_common bigint, common double, score double, rare array<bigint>, times array<int>"
+LOOKED = "doc_id bigint, n_words bigint, n_common bigint, common double, score double, rare array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
 
 
-def look(docs: DataFrame, tree: Tree, hashes: np.ndarray, values: np.ndarray) -> DataFrame:
-    """One pass over (doc_id, text): the tree's score, the sum over frequent words, and the rarer words with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, hashes, values))
+def look(docs: DataFrame, frequent: np.ndarray, known: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> DataFrame:
+    """One pass over (doc_id, text): sums over frequent runs and words, and the rarer ones of both with their numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, known, hashes, values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hashes, values = shared.value
-        memory, known = _Words(hashes, values), _Scores(tree)
+        frequent, known, hashes, values = shared.value
+        memory = _Words(hashes, values)
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for group in _grouped(batch.column(1)):
+            for group in _grouped(batch.column(1), TOGETHER // 4):
                 codes, lengths = runs([t for _, t in group])
-                scores = np.add.reduceat(known.of(codes), np.cumsum(lengths) - lengths)
+                unique, where = np.unique(codes, return_inverse=True)
+                place = np.searchsorted(frequent, unique)
+                hit = np.append(frequent, np.uint64(0))[place] == unique if len(frequent) else np.zeros(len(unique), bool)
+                own = np.zeros(len(unique))
+                own[hit] = known[place[hit]]
+                scores = np.add.reduceat(own[where], np.cumsum(lengths) - lengths)
+                # (text, run) pairs that the cache lacks, as one number: text x runs + run
+                missed = np.flatnonzero(~hit[where])
+                pairs, n_times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[missed] * len(unique) + where[missed], return_counts=True)
+                bounds = np.searchsorted(pairs, np.arange(len(lengths) + 1) * len(unique))
+                lacking, n_times = unique[pairs % len(unique)].astype(np.int64), n_times.astype(np.int32)
                 out = []
-                for (words, _), score in zip(group, scores.tolist(), strict=True):
+                for i, ((words, _), score) in enumerate(zip(group, scores.tolist(), strict=True)):
                     found = np.array([memory[w] for w in words])
                     odd = np.flatnonzero(np.isnan(found)) if len(found) else found
                     times: dict[int, int] = {}
-                    for i in odd:
-                        h = _hash(words[int(i)])
+                    for j in odd:
+                        h = _hash(words[int(j)])
                         times[h] = times.get(h, 0) + 1
-                    out.append((ids[at], len(words), len(words) - len(odd), float(np.nansum(found)), score, list(times), list(times.values())))
+                    part = slice(bounds[i], bounds[i + 1])
+                    out.append((ids[at], len(words), len(words) - len(odd), float(np.nansum(found)), score, list(times), list(times.values()), lacking[part], n_times[part]))
                     at += 1
                 cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in LOOKED.split(", ")])
 
     return docs.mapInArrow(run, LOOKED)
@@ -292,18 +327,26 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ends = counts.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, kinds = n_words + ends, n_kinds + (1 if ends else 0)
     common = words.where(F.col("n") >= max(1.0, LEAST_WORD * tokens)).orderBy("word").toArrow()  # at most 1 / LEAST_WORD
-    tree = grow(counts.where(F.col("kind") == RUN).select("key", "n"))
-    looked = look(rows, tree, common["word"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0))
+    trained = counts.where(F.col("kind") == RUN).select("key", "n")
+    states, told, places = tables(trained)
+    cache = values_of(frequent_of(trained), states, told).toArrow()  # at most CACHED_RUNS
+    order = np.argsort(cache["run"].to_numpy())
+    cache = cache.take(pa.array(order))
+    looked = look(rows, cache["run"].to_numpy().astype(np.uint64), cache["value"].to_numpy(), common["word"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0))
     looked = stage(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
 
     rare = looked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     summed = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("uncommon"))
+    lacking = looked.select("row", F.explode(F.arrays_zip("runs", "run_times")).alias("x")).select("row", F.col("x.runs").alias("run"), F.col("x.run_times").alias("run_times"))
+    values = stage(values_of(lacking.select("run").distinct(), states, told), "run_values")
+    others = lacking.join(values, "run").groupBy("row").agg(F.sum(F.col("run_times") * F.col("value")).alias("others"))
     n_tokens = F.col("n_words") + 1
     base = F.col("common") + F.coalesce("uncommon", F.lit(0.0)) + F.log10(F.lit(float(ends + 1))) - n_tokens * F.log10(F.lit(float(tokens + kinds + 1)))
-    return looked.drop("rare", "times").join(summed, "row", "left").select(
+    return looked.drop("rare", "times", "runs", "run_times").join(summed, "row", "left").join(others, "row", "left").select(
         "doc_id", in_fold(F.col("doc_id")).alias("held_out"), n_tokens.alias("n_tokens"),
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("others", F.lit(0.0))).alias("score"))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,33 @@ def test_tree_equals_its_definition(spark):
     for after in (b"\n\nthe ", b"og on ", b"zzzzzz"):
         context = np.uint64(int.from_bytes(after, "big")) << np.uint64(8)
         assert math.isclose(float(tree.probabilities(context + np.arange(256, dtype=np.uint64)).sum()), 1.0, rel_tol=1e-9)
+
+
+def test_rare_contexts_stay_on_a_large_table(spark):
+    counts = Counter()
+    for text, n in ((b"the cat sat on the mat and the dog sat on the log", 10 ** 6), (b"quartz jumped zyx", 3)):
+        for c in st.runs([text])[0].tolist():
+            counts[c] += n
+    tree = st.grow(spark.createDataFrame(list(counts.items()), "key bigint, n bigint"))
+    got = {int(c).to_bytes(k, "big") for k, node, *_ in tree.levels for c in node}
+    assert b"z" in got and any(len(c) > 1 and c in b"quartz jumped zyx" and c not in b"the cat sat on the mat and the dog sat on the log" for c in got)
+    assert 10 ** tree.log_probabilities(st.runs([b"quartz jumped zyx"])[0]).sum() > 1e-9
+
+
+def test_scores_do_not_depend_on_the_cache(spark, documents, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    kinds = ["the cat sat on the mat and the dog sat on the log " * 9, "quartz jumped zyx", "Ünder the  zyw", ""]
+    texts = [(d, kinds[i % 4]) for i, d in enumerate(ids)] + [(held, "quartz sat under a zymurgist")]
+    clean = lambda t: " ".join(t.encode().lower().decode("utf-8").split()).encode().decode("latin-1")
+    p, states = brute_tree([clean(t) for d, t in texts if d != held])
+    assert states
+
+    def brute(t):
+        padded = "\n" * st.DEPTH + clean(t) + "\n"
+        return sum(math.log10(p(padded[i - st.DEPTH:i], padded[i])) for i in range(st.DEPTH, len(padded)))
+
+    for most in (0, 60, 10 ** 6):  # no, few or all runs are in the cache
+        monkeypatch.setattr(st, "CACHED_RUNS", most)
+        got = {r["doc_id"]: r["score"] for r in st.score_documents(documents(texts)).collect()}
+        assert got == pytest.approx({d: brute(t) for d, t in texts}, rel=1e-9)
