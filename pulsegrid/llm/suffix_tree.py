@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stage
 
-DEPTH = 5
+DEPTH = 6
 LEAST_COUNT = 2
 #: The share of all places that a context must make up, besides; none is left out for its share.
 LEAST_CONTEXT = 0.0

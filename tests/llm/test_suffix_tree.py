@@ -136,3 +136,7 @@ def test_scores_do_not_depend_on_the_cache(spark, documents, monkeypatch):
         monkeypatch.setattr(st, "CACHED_RUNS", most)
         got = {r["doc_id"]: r["score"] for r in st.score_documents(documents(texts)).collect()}
         assert got == pytest.approx({d: brute(t) for d, t in texts}, rel=1e-9)
+
+
+def test_contexts_reach_past_a_blank_and_a_word():
+    assert st.DEPTH >= 6
