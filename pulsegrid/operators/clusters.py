@@ -131,6 +131,7 @@ def subsampled_labels(df: DataFrame, id_: str, k: int, x: str = "x", runs: int =
         placed = positions(df.select(id_, x).withColumn("_h", h), [], "_h", [id_], "_p", block=F.shiftright(h, 52))
         sub = placed.where(F.col("_p") <= keep).select(id_, x)
         for a in algorithms:
-            c = {"kmeans": lambda: kmeans(sub, k, x, seed + r, n_init), "gmm": lambda: mixture(sub, k, x, seed + r)}[a]()
+            c = {"kmeans": lambda: kmeans(sub, k, x, seed + r, n_init), "gmm": lambda: mixture(sub, k, x, seed + r),
+                 "pam": lambda: pam(sub, id_, k, x, seed + r, n_init)}[a]()
             out = out.join(c.select(id_, F.col("cluster").alias(f"_{r}_{a}")), id_, "left")
     return out.select(id_, F.array(*[c for c in out.columns if c != id_]).alias("labels"))

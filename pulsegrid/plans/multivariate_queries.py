@@ -154,19 +154,23 @@ def gmm_clusters(t):
 
 @query("pam_clusters")
 def pam_clusters(t):
-    return K.pam(points(t), "vec_id", 3, n_init=1, max_iter=4).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    return K.pam(points(t), "vec_id", 3).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+def leading_scores(t):
+    """Scores on the components that carry 90 % of the variance."""
+    p = M.Components(points(t), 64)
+    return p.scores(points(t)).select("vec_id", F.slice("scores", 1, p.components_for(0.9)).alias("scores"))
 
 
 @query("silhouette_sweep")
 def silhouette_sweep(t):
-    p = M.Components(points(t), 3)  # a mixture's covariances need fewer dimensions than rows
-    return K.silhouette_sweep(p.scores(points(t)).select("vec_id", "scores"), "vec_id", [2, 3, 4], "scores", ("kmeans", "gmm"), 1)
+    return K.silhouette_sweep(leading_scores(t), "vec_id", range(2, 9), "scores", ("kmeans", "gmm"))
 
 
 @query("consensus_runs")
 def consensus_runs(t):
-    p = M.Components(points(t), 3)
-    lab = K.subsampled_labels(p.scores(points(t)).select("vec_id", "scores"), "vec_id", 3, "scores", runs=2, algorithms=("kmeans", "gmm"))
+    lab = K.subsampled_labels(leading_scores(t), "vec_id", 3, "scores", algorithms=("kmeans", "gmm", "pam"))
     return PW.ambiguous_share(lab, "vec_id", "labels")
 
 
@@ -192,7 +196,7 @@ def pls_classification(t):
 
 @query("forest_classification")
 def forest_classification(t):
-    return L.forest(points(t), "vec_id", "label")
+    return L.forest(points(t), "vec_id", "label", permutations=60)
 
 
 def arms(t):

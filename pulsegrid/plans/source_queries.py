@@ -50,4 +50,4 @@ def chart_fixed_layout(t):
 @query("huber_slope")
 def huber_slope(t):
     x = t.supplier.select((F.col("s_nationkey") % 2).alias("study"), (F.col("s_suppkey") % 4).alias("rank"), F.col("s_acctbal").alias("value"))
-    return E.huber_slope(x, ["study"], "rank", max_iter=30, tolerance=1e-2)
+    return E.huber_slope(x, ["study"], "rank")
