@@ -12,8 +12,10 @@ places (2 bytes each) and high bits (4 each). The width is the bit length at the
 
 Encoding looks at stretches of blanks and following characters: the library's splitting pattern never joins
 characters across the place before such a stretch, so the ids of a text are those of its stretches. A slice of texts is
-cut on its bytes, every distinct stretch is looked up once, and new ones are encoded together. Short ones are kept in a
-worker. Texts with other white space are encoded whole.
+cut on its bytes and every distinct stretch is looked up once. New ones of plain letters, digits and signs are cut into
+the pattern's words; words not met before are encoded in one call and told apart by the bytes that their ids stand for.
+Short stretches and words are kept in a worker. Texts with other white space or with the string of an added token are
+encoded whole.
 
 Cases: a null or empty text has only the end id. Repeated documents and ids are written as often as they occur; null
 ids come first. An empty table gives no documents. Other columns are ignored.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,18 +48,21 @@ BUFFER_IDS = 1 << 20
 READ_IDS = 1 << 22
 #: Blocks that a reader fetches at a time.
 READ_BLOCKS = 2048
+#: Bytes of text that go to one file, about.
+FILE_BYTES = 16 << 20
 #: Bytes of text that are cut and encoded together (one text at least).
 SLICE_BYTES = 8 << 20
-#: Encoded stretches a worker remembers, and the longest in characters; how many new ones are encoded in one call.
-MEMORY = 800_000
+#: Encoded stretches and words a worker remembers, and the longest in characters; how many words are encoded in one call.
+MEMORY = 500_000
+MEMORY_WORDS = 1_000_000
 SHORT = 64
 TOGETHER = 4096
 HEAD = struct.Struct("<IBHH")
 
-#: A stretch of its own that ends in a character that none beside it has; it tells joined stretches apart.
-MARK = "\n\0"
-#: Stretches that may stand side by side without changing each other's ids.
-SIDE_BY_SIDE = re.compile(r"[ \n]+[^\s\0]+")
+# The library's splitting pattern for stretches of ASCII and the Latin letters after it.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(f"[\\x01-\\x7f{LETTER}]+")
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 # White space other than blank and line feed.
 OTHER_BLANK = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -139,15 +144,21 @@ def unpack(data: bytes, sizes: list[int]) -> np.ndarray:
 
 # ---- encoding
 
-def stretches_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The stretches of texts (large strings without nulls) on end, and where each text's start among them."""
+def stretches_of(texts: pa.Array, added: list[str] = ()) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of texts (large strings without nulls) on end, and where each text's start among them.
+
+    A text with other white space or one of the strings ``added`` is one stretch.
+    """
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2] or pa.py_buffer(b"")
     raw, edges = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
     blank = (raw == 32) | (raw == 10)
     begins = blank.copy()
     begins[1:] &= ~blank[:-1]
-    for i in np.flatnonzero(pc.match_substring_regex(texts, OTHER_BLANK).to_numpy(zero_copy_only=False)):
+    whole = pc.match_substring_regex(texts, OTHER_BLANK)
+    for string in added:
+        whole = pc.or_(whole, pc.match_substring(texts, string))
+    for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
         begins[edges[i]:edges[i + 1]] = False
     begins[edges[:-1][np.diff(edges) > 0]] = True
     cuts = np.flatnonzero(begins)
@@ -160,44 +171,58 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.known: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        *self.gap, self.mark = np.frombuffer(self._alone([MARK])[0], "<u4").tolist()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the same model on words that are cut already
+        self.by_word = Tokenizer.from_file(path)
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\0", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character for each byte
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, texts: list[str]) -> list[bytes]:
-        """Ids of stretches from one text of them all, told apart by the mark after each."""
-        data = self._alone(["".join([x + MARK for x in texts])])[0]
-        ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.mark)
-        begins, ends = [0, *(4 * (ends[:-1] + 1)).tolist()], (4 * (ends - len(self.gap))).tolist()
-        return [data[a:b] for a, b in zip(begins, ends, strict=True)]
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words, many in a call."""
+        for lo in range(0, len(words), TOGETHER):
+            part = words[lo:lo + TOGETHER]
+            ids = np.array(self.by_word.encode_batch_fast(["\0".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.cumsum([0, *(len(w.encode()) for w in part)])
+            cuts = 4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), edges, side="right")
+            data, cuts = ids.tobytes(), cuts.tolist()
+            self.words.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def _look_up(self, stretches: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        found = list(map(self.known.get, stretches))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        side, alone = [], []
-        for i in missing:
-            x = stretches[i]
-            (side if len(x) <= SHORT and SIDE_BY_SIDE.fullmatch(x) else alone).append(i)
-        for lo in range(0, len(side), TOGETHER):
-            part = side[lo:lo + TOGETHER]
-            for i, ids in zip(part, self._together([stretches[i] for i in part]), strict=True):
-                found[i] = ids
+        if len(self.stretches) > MEMORY:
+            self.stretches.clear()
+        if len(self.words) > MEMORY_WORDS:
+            self.words.clear()
+        found = list(map(self.stretches.get, stretches))
+        plain, alone = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                x = stretches[i]
+                (plain if len(x) <= SHORT and PLAIN.fullmatch(x) and not any(a in x for a in self.added) else alone).append(i)
+        cut = [WORD.findall(stretches[i]) for i in plain]
+        known = self.words
+        self._learn(list({w: None for words in cut for w in words if w not in known}))
+        for i, words in zip(plain, cut, strict=True):
+            found[i] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         for i, ids in zip(alone, self._alone([stretches[i] for i in alone]), strict=True):
             found[i] = ids
-        self.known.update((stretches[i], found[i]) for i in missing if len(stretches[i]) <= SHORT)
+        self.stretches.update((stretches[i], found[i]) for i in plain)
+        self.stretches.update((stretches[i], found[i]) for i in alone if len(stretches[i]) <= SHORT)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the number of each text's; nulls are empty texts."""
-        stretches, firsts = stretches_of(pc.fill_null(texts.cast(pa.large_string()), ""))
+        stretches, firsts = stretches_of(pc.fill_null(texts.cast(pa.large_string()), ""), self.added)
         coded = stretches.dictionary_encode()
         found = self._look_up(coded.dictionary.to_pylist())
         flat, codes = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
@@ -289,14 +314,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, doc_id: str
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(n_bytes // FILE_BYTES) + 1
     dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = dealt.mapInArrow(_write_partition(folder, tokenizer_path), "part int, file string, docs bigint, ids bigint")
     files = stage(files, "token_files")
-    # one row a file: the sum of the files before it, from pairs of files
-    before = files.select(F.col("part").alias("p"), F.col("ids").alias("n"))
-    return stage(files.join(before, F.col("p") < F.col("part"), "left").groupBy("part", "file", "docs", "ids").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("start")), "token_index")
+    # one row a file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "token_index")
 
 
 def _footer(source) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -93,7 +93,6 @@ def test_odd_pages(spark, folder_of):
 
 def test_token_files_equal_direct_encoding(spark, documents, folder_of):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     odd = [(-5, None), (-4, ""), (-3, " \t \n\n  x  y  z "), (-2, "a\n  b   c\r\n d's <|endoftext|> é😀"), (-1, "don't  \n \n stop  "), (None, "null id"), (7, "again"), (7, "again")]
     odd = frame.union(spark.createDataFrame(odd, "doc_id long, text string"))
