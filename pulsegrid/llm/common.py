@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays
@@ -74,3 +74,33 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
+
+
+#: What a table that is sent to every task may hold: rows, and bytes of its strings.
+SMALL_ROWS = 100_000
+SMALL_BYTES = 8 << 20
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with the hint to send it to every task where its measured size allows; otherwise as it is."""
+    strings = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, *sizes = df.agg(F.count("*"), *strings).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and sum(x or 0 for x in sizes) <= SMALL_BYTES else df
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, staged, with the rows' numbers from 0 in ``order`` as column ``name``; rows that tie get numbers of their own.
+
+    Rows are range-partitioned (ties by where they were read, so that a value with many rows splits too) and numbered
+    inside partitions; a table with one row a partition has the numbers that these start from.
+    """
+    salt, at = fresh(df, "_salt"), fresh(df, "_at")
+    keys = [*order, F.col(salt)]
+    rows = (df.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .drop(salt).withColumn(at, F.monotonically_increasing_id()))
+    rows = stage(rows, name)
+    part = F.shiftright(at, 33)
+    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.shiftleft("_part", 33)).alias("_start"))
+    return rows.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, F.col(at) + F.col("_start")).drop(at, "_part", "_start")
