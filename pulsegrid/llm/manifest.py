@@ -120,7 +120,7 @@ WITH RECURSIVE climb(leaf_no, step, folded, siblings, tree, level, pos, ordinal,
   UNION ALL
   SELECT c.leaf_no, c.step + 1,
          unhex(sha2(lower(hex(concat(substring(r.blob, 1, 32 * c.ordinal), c.folded, substring(r.blob, 32 * c.ordinal + 33)))), 256)),
-         concat(substring(r.blob, 1, 32 * c.ordinal), substring(r.blob, 32 * c.ordinal + 33)),
+         if({kept}, concat(substring(r.blob, 1, 32 * c.ordinal), substring(r.blob, 32 * c.ordinal + 33)), NULL),
          r.parent_tree, r.parent_level, r.parent_pos, r.ordinal, r.more
   FROM climb c JOIN {runs} r ON c.tree = r.tree AND c.level = r.level AND c.pos = r.pos
   WHERE c.more
@@ -129,21 +129,24 @@ SELECT * FROM climb
 """
 
 
-def climb(start: DataFrame, runs: DataFrame) -> DataFrame:
-    """The starts, and a row for every step above them; rows climb while ``more`` holds."""
-    return start.sparkSession.sql(CLIMB, start=start, runs=runs)
+def climb(start: DataFrame, runs: DataFrame, kept: bool = True) -> DataFrame:
+    """The starts, and a row for every step above them, with the step's siblings if they are to be kept; rows climb while ``more`` holds."""
+    return start.sparkSession.sql(CLIMB, start=start, runs=runs, kept=kept)
 
 
 def check(manifest: Manifest, claimed: str) -> DataFrame:
     """(leaf_no, proof, folded) for every leaf: the siblings on its way, on end, and the root that ``claimed`` leads to.
 
-    ``claimed`` is a column of the leaves with the digest to start from.
+    ``claimed`` is a column of the leaves with the digest to start from. The second climb folds every leaf but doesn't carry siblings: those
+    above a place in the hot runs are the same for all leaves below, so a third climb collects them once a place (``8 HOT`` a level at most).
     """
     spark = manifest.leaves.sparkSession
     parent = [f"parent_{c}" for c in NODE]
     runs = manifest.runs
     crown = stage(runs.where(F.col("span") * HOT > manifest.n_leaves), "manifest_crown")
     above = F.broadcast(crown.select(*[F.col(c).alias(p) for c, p in zip(NODE, parent, strict=True)], F.lit(True).alias("hot")))
+    hot_runs = F.broadcast(crown.withColumn("more", F.col("parent_tree").isNotNull()))
+    climbing = ["leaf_no", "step", "folded", "siblings", *NODE, "ordinal", "more"]
 
     def flagged(nodes: DataFrame) -> DataFrame:
         return nodes.join(above, parent, "left").withColumn("more", F.col("hot").isNull() & F.col("parent_tree").isNotNull())
@@ -157,16 +160,23 @@ def check(manifest: Manifest, claimed: str) -> DataFrame:
     spark.conf.set(limit, "-1")  # the depth bounds the recursion, not the number of rows
     try:
         lower = stage(climb(start, low), "manifest_climb")
-        # the second climb starts where the first ends; these rows have no siblings of their own
-        reached = lower.where("NOT more").withColumns({"more": F.col("tree").isNotNull(), "siblings": F.lit(None).cast("binary")})
-        upper = climb(reached, F.broadcast(crown.withColumn("more", F.col("parent_tree").isNotNull()))).where("siblings IS NOT NULL")
-        steps = lower.unionByName(upper).select("leaf_no", "step", "siblings", "folded")
-        way = F.array_sort(F.collect_list(F.struct("step", "siblings", "folded")))
-        found = steps.groupBy("leaf_no").agg(way.alias("way")).select(
-            "leaf_no", F.aggregate("way", F.lit(b""), lambda s, x: F.concat(s, x["siblings"])).alias("proof"), F.element_at("way", -1)["folded"].alias("folded"))
-        return stage(found, "manifest_checked")
+        reached = lower.where("NOT more").withColumns({"more": F.col("tree").isNotNull(), "siblings": F.lit(None).cast("binary")}).select(*climbing)
+        folded = stage(climb(reached, hot_runs, kept=False).where("NOT more").select("leaf_no", "folded"), "manifest_folded")
+        places = reached.where("more").groupBy(*NODE, "ordinal").agg(F.min("leaf_no").alias("leaf_no"))
+        places = stage(places, "manifest_places")
+        up = climb(places.select("leaf_no", F.lit(0).alias("step"), F.lit(b"").alias("folded"), F.lit(b"").alias("siblings"), *NODE, "ordinal", F.lit(True).alias("more")), hot_runs)
+        ways = stage(_proofs(up).join(places, "leaf_no").select(*NODE, "ordinal", F.col("proof").alias("upper")), "manifest_ways")
     finally:
         spark.conf.set(limit, held)
+    mine = _proofs(lower, F.max(F.struct("step", *NODE, "ordinal")).alias("last")).select("leaf_no", "proof", *[F.col(f"last.{c}") for c in [*NODE, "ordinal"]])
+    whole = mine.join(sent_if_small(ways), [*NODE, "ordinal"], "left").join(folded, "leaf_no")
+    return whole.select("leaf_no", F.concat("proof", F.coalesce("upper", F.lit(b""))).alias("proof"), "folded")
+
+
+def _proofs(steps: DataFrame, *more: Column) -> DataFrame:
+    """The siblings of all steps of a leaf, on end."""
+    way = F.array_sort(F.collect_list(F.struct("step", "siblings")))
+    return steps.groupBy("leaf_no").agg(F.aggregate(way, F.lit(b""), lambda s, x: F.concat(s, x["siblings"])).alias("proof"), *more)
 
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
