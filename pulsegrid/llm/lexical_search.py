@@ -40,8 +40,10 @@ DIM = 256
 #: Terms and queries that a block has at most, about (a longer query is a block of its own).
 BLOCK_TERMS = 500_000
 BLOCK_QUERIES = 1000
+#: Bytes of text that are cut together (one text at least).
+SLICE_BYTES = 1 << 20
 #: Documents whose bounds are computed together, and documents that are scored together.
-GROUP = 4096
+GROUP = 2048
 CHUNK = 32
 
 
@@ -91,7 +93,7 @@ def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary, pa.large_string())
         for batch in batches:
-            for lo, hi in slices_of(batch.column(1)):
+            for lo, hi in slices_of(batch.column(1), SLICE_BYTES):
                 n, doc, term, tf = count_terms(batch.column(1).slice(lo, hi - lo), known)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), _lists(term, doc, hi - lo), _lists(tf, doc, hi - lo)],
                                                  names=["doc_id", "n", "terms", "tfs"])

@@ -233,12 +233,12 @@ class Encoder:
         return ids, np.diff(ends[firsts])
 
 
-def slices_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about SLICE_BYTES together, one text at least."""
+def slices_of(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``size`` bytes together, one text at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, lo = np.cumsum(sizes), 0
     while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + SLICE_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + size, side="right")))
         yield lo, hi
         lo = hi
 
