@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pulsegrid.functions import arrays as A
-from pulsegrid.operators import pairwise as PW
+from pulsegrid.operators import batched as BM, pairwise as PW, ward as WD
 from pulsegrid.operators.ordered import attach_one_row, positions
 from pulsegrid.session import cut_lineage
 
@@ -32,33 +32,13 @@ def mixture(df: DataFrame, k: int, x: str = "x", seed: int = 42, name: str = "cl
 
 def pam(df: DataFrame, id_: str, k: int, x: str = "x", seed: int = 0, n_init: int = 8, max_iter: int = 100,
         name: str = "cluster") -> DataFrame:
-    """Partitioning around medoids: nearest-medoid assignment, per-cluster 1-median update, best of ``n_init``.
-
-    The state is k medoid rows; the update sums own-cluster distances tile by tile.
-    """
+    """Partitioning around medoids: nearest-medoid assignment, per-cluster 1-median update, best of ``n_init`` starts side by side."""
     rows = df.select(id_, F.col(x).cast("array<double>").alias("_x"))
-
-    def assign(medoids):
-        lit = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(float(v)) for v in m]).alias("m")) for c, m in enumerate(medoids)])
-        near = F.array_min(F.transform(lit, lambda s: F.struct(F.sqrt(A.squared_distance(F.col("_x"), s["m"])).alias("d"), s["c"].alias("c"))))
-        return rows.withColumn("_near", near).select(id_, "_x", F.col("_near.c").alias(name), F.col("_near.d").alias("_d"))
-    best = None
-    for run in range(n_init):
-        medoids = [r["_x"] for r in rows.orderBy(F.xxhash64(F.col(id_), F.lit(seed + run))).limit(k).collect()]
-        for _ in range(max_iter):
-            lab = cut_lineage(assign(medoids))
-            cost = PW.distance_sums(lab, id_, "_x", name, own_only=True).withColumnRenamed("own", name)
-            new = (cost.groupBy(name).agg(F.min_by(id_, F.struct("total", id_)).alias(id_)).join(rows, id_).orderBy(name).collect())
-            fresh = list(medoids)
-            for r in new:
-                fresh[r[name]] = r["_x"]
-            if fresh == medoids:
-                break
-            medoids = fresh
-        total = lab.agg(F.sum("_d")).first()[0]
-        if best is None or total < best[0]:
-            best = (total, medoids)
-    return df.join(assign(best[1]).select(id_, name), id_)
+    found, cost = BM.medoids(BM.subsamples(rows, id_, "_x", n_init, seed=seed), [k], max_iter, seed)
+    best = found[k][cost[k].argmin()]
+    lit = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(float(v)) for v in m]).alias("m")) for c, m in enumerate(best)])
+    near = F.array_min(F.transform(lit, lambda s: F.struct(A.squared_distance(F.col(x).cast("array<double>"), s["m"]).alias("d"), s["c"].alias("c"))))
+    return df.withColumn(name, near["c"])
 
 
 def silhouette(df: DataFrame, id_: str, x: str, label: str) -> DataFrame:
@@ -101,9 +81,12 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def relabel_by_mean(df: DataFrame, label: str, value: str, name: str = "phenotype") -> DataFrame:
-    """Two clusters named by their mean: the lower one is B."""
-    low = df.groupBy(label).agg(F.avg(value).alias("_m")).agg(F.min_by(label, F.struct("_m", label)).alias("_low"))
-    return attach_one_row(df, low).withColumn(name, F.when(F.col(label) == F.col("_low"), "B").otherwise("A")).drop("_low")
+    """Clusters named A, B, C ... by falling mean (of equal means the larger label first), so that of two the lower is B."""
+    means = df.groupBy(label).agg(F.avg(value).alias("_m"))
+    ordered = means.agg(F.array_sort(F.collect_list(F.struct(F.col("_m"), F.col(label).alias("l")))).alias("_order"))
+    placed = attach_one_row(df, ordered)
+    at = F.size("_order") - F.array_position(F.transform("_order", lambda e: e["l"]), F.col(label))
+    return placed.withColumn(name, F.when(F.col(label).isNotNull(), F.char(F.lit(65) + at))).drop("_order")
 
 
 def flag_rates(df: DataFrame, label: str, flags: Sequence[str], below: float = 0.20) -> DataFrame:
@@ -120,18 +103,46 @@ def missingness(df: DataFrame, id_: str, label: str, features: Sequence[str], fl
     return placed.join(F.broadcast(first), label).withColumn("boundary", F.col("row") == F.col("_first")).drop("_first")
 
 
+def consensus_labels(df: DataFrame, id_: str, ks: Sequence[int], x: str = "x", runs: int = 100, fraction: float = 0.8, seed: int = 0,
+                     algorithms=("kmeans", "ward", "gmm", "pam"), n_init: int = 10) -> DataFrame:
+    """(id, k, labels): a label for each algorithm and exact-size random subsample, NULL where a row was left out.
+
+    All runs, numbers of clusters and starts of an algorithm are fitted in the same passes.
+    """
+    lab = BM.subsamples(df, id_, x, runs, fraction, seed)
+    near, mixed = {}, {}
+    if "kmeans" in algorithms or "gmm" in algorithms:
+        centres = BM.lloyd(lab, ks, n_init, seed=seed)
+        near |= {"kmeans": centres} if "kmeans" in algorithms else {}
+        mixed |= {"gmm": BM.mixtures(lab, centres)} if "gmm" in algorithms else {}
+    if "pam" in algorithms:
+        near["pam"] = BM.medoids(lab, ks, seed=seed)[0]
+    parts = [BM.assigned(lab, ks, near, mixed)] if near or mixed else []
+    if "ward" in algorithms:
+        labels, _ = WD.ward(BM.members(lab), ks)
+        by_run = labels.groupBy("id", "k").agg(F.map_from_entries(F.collect_list(F.struct("r", "label"))).alias("m"))
+        parts.append(by_run.select("id", "k", F.lit("ward").alias("algorithm"), F.lit(1).alias("first"), F.transform(
+            F.sequence(F.lit(1), F.lit(runs)), lambda r: F.col("m")[r]).alias("labels")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    ordered = F.array_sort(F.collect_list(F.struct("algorithm", "first", "labels")))
+    return both.groupBy(F.col("id").alias(id_), "k").agg(F.flatten(F.transform(ordered, lambda e: e["labels"])).alias("labels"))
+
+
 def subsampled_labels(df: DataFrame, id_: str, k: int, x: str = "x", runs: int = 100, fraction: float = 0.8, seed: int = 0,
-                      algorithms=("kmeans", "gmm"), n_init: int = 1) -> DataFrame:
-    """One label per clustering run of an exact-size random subsample, NULL where a row was left out."""
-    n = df.count()
-    keep = int(fraction * n)
-    out = df.select(id_)
-    for r in range(runs):
-        h = F.xxhash64(F.col(id_), F.lit(seed + r))
-        placed = positions(df.select(id_, x).withColumn("_h", h), [], "_h", [id_], "_p", block=F.shiftright(h, 52))
-        sub = placed.where(F.col("_p") <= keep).select(id_, x)
-        for a in algorithms:
-            c = {"kmeans": lambda: kmeans(sub, k, x, seed + r, n_init), "gmm": lambda: mixture(sub, k, x, seed + r),
-                 "pam": lambda: pam(sub, id_, k, x, seed + r, n_init)}[a]()
-            out = out.join(c.select(id_, F.col("cluster").alias(f"_{r}_{a}")), id_, "left")
-    return out.select(id_, F.array(*[c for c in out.columns if c != id_]).alias("labels"))
+                      algorithms=("kmeans", "gmm"), n_init: int = 10) -> DataFrame:
+    """``consensus_labels`` of one k."""
+    return consensus_labels(df, id_, [k], x, runs, fraction, seed, algorithms, n_init).drop("k")
+
+
+def consensus_choice(df: DataFrame, id_: str, ks: Sequence[int] = (2, 3, 4, 5), x: str = "x", runs: int = 100, seed: int = 0,
+                     algorithms=("kmeans", "ward", "gmm", "pam")) -> DataFrame:
+    """(k, pairs, ambiguous, mean_rate, pac, chosen): how ambiguous the runs are at each k; the least ambiguous k (the smaller on ties) is chosen."""
+    labels = cut_lineage(consensus_labels(df, id_, ks, x, runs, seed=seed, algorithms=algorithms))
+    out = None
+    for k in ks:
+        one = PW.ambiguous_share(labels.where(F.col("k") == k), id_, "labels").select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    least = F.min(F.struct("pac", "k")).over(W.partitionBy())["k"]
+    return out.withColumn("chosen", F.col("k") == least)

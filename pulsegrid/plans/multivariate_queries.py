@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import (classify as L, clusters as K, inference as S, matrix as M, pairwise as PW, permutation as P,
-                                 relational as R, resampling as B)
+                                 relational as R, resampling as B, ward as WD)
 from pulsegrid.plans.registry import query
 
 E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)"
@@ -101,9 +101,9 @@ def drop_minority_cluster(t):
     return K.largest_cluster(t.embeddings.select("vec_id", "label"), "label")
 
 
-@query("relabel_by_mean", "WITH m AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderstatus = (SELECT o_orderstatus FROM m ORDER BY m, o_orderstatus LIMIT 1) THEN 'B' ELSE 'A' END AS phenotype FROM orders WHERE o_orderstatus <> 'P'")
+@query("relabel_by_mean", "WITH m AS (SELECT o_orderstatus, row_number() OVER (ORDER BY avg(o_totalprice) DESC, o_orderstatus DESC) AS place FROM orders GROUP BY 1) SELECT o_orderkey, chr(CAST(64 + place AS INTEGER)) AS phenotype FROM orders JOIN m USING (o_orderstatus)")
 def relabel_by_mean(t):
-    return K.relabel_by_mean(t.orders.where("o_orderstatus <> 'P'"), "o_orderstatus", "o_totalprice").select("o_orderkey", "phenotype")
+    return K.relabel_by_mean(t.orders, "o_orderstatus", "o_totalprice").select("o_orderkey", "phenotype")
 
 
 @query("cluster_flag_scan", "WITH f AS (SELECT l_returnflag AS cluster, CASE WHEN l_quantity > 8 THEN 1.0 ELSE 0.0 END AS beats, CASE WHEN l_discount > 0.08 THEN 1.0 ELSE 0.0 END AS regular FROM lineitem), u AS (SELECT cluster, 'beats' AS flag, beats AS v FROM f UNION ALL SELECT cluster, 'regular', regular FROM f) SELECT cluster, flag, round(avg(v), 6) AS rate, count(*) AS n, avg(v) < 0.2 AS defining FROM u GROUP BY 1, 2")
@@ -148,8 +148,8 @@ def kmeans_clusters(t):
 
 @query("gmm_clusters")
 def gmm_clusters(t):
-    p = M.Components(points(t), 3)
-    return K.mixture(p.scores(points(t)), 2, "scores").groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    scores = leading_scores(t).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    return K.mixture(scores, 2, "scores").groupBy("cluster", "label").agg(F.count("*").alias("n"))
 
 
 @query("pam_clusters")
@@ -174,6 +174,17 @@ def consensus_runs(t):
     return PW.ambiguous_share(lab, "vec_id", "labels")
 
 
+@query("consensus_choice")
+def consensus_choice(t):
+    return K.consensus_choice(leading_scores(t), "vec_id", x="scores")
+
+
+@query("ward_clusters")
+def ward_clusters(t):
+    labels, _ = WD.ward(points(t).select(F.lit(1).alias("r"), F.col("vec_id").alias("id"), "x"), (2, 3, 4, 5, 6))
+    return labels.select(F.col("id").alias("vec_id"), "k", "label")
+
+
 @query("permanova")
 def permanova(t):
     return P.permanova(points(t), "vec_id", "label")
@@ -194,6 +205,23 @@ def pls_classification(t):
     return L.cross_validated(points(t), "vec_id", "label", model="pls")
 
 
+@query("label_fold_sizes", """
+WITH c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS code, count(*) AS n FROM embeddings GROUP BY label)
+SELECT CAST(p AS INTEGER) AS p, CAST(fold AS INTEGER) AS fold, CAST(code AS INTEGER) AS code, CAST(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM c, range(0, 61) AS r(p), range(0, 5) AS f(fold)""")
+def label_fold_sizes(t):
+    lab = L.fold_labellings(points(t), "vec_id", "label", "x", 60, 5, 0, 2)
+    return L.cell_counts(lab).groupBy("p", "fold", "code").agg(F.sum("n").alias("n"))
+
+
+@query("classification_tasks")
+def classification_tasks(t):
+    arms = {0: "control", 1: "dox", 2: "dox+low", 3: "dox+mid", 4: "dox+high"}
+    pooled = {1: "dox", 2: "dox+any", 3: "dox+any", 4: "dox+any"}
+    tasks = {"five arms [lda]": (arms, "lda"), "five arms [pls]": (arms, "pls"), "control vs dox [lda]": ({0: "control", 1: "dox"}, "lda"),
+             "dox vs pooled [lda]": (pooled, "lda")}
+    return L.task_list(points(t), "vec_id", "label", tasks)
+
+
 @query("forest_classification")
 def forest_classification(t):
     return L.forest(points(t), "vec_id", "label", permutations=60)

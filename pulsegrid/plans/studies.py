@@ -164,20 +164,30 @@ def cluster_study(master: DataFrame, ks=(2, 5), seed: int = 42) -> DataFrame:
     return out
 
 
-def choose_phenotypes(points: DataFrame, id_: str, x: str = "x", ks=(2, 3, 4, 5), runs: int = 100, algorithms=("kmeans", "gmm")) -> DataFrame:
+def choose_phenotypes(points: DataFrame, id_: str, x: str = "x", ks=(2, 3, 4, 5), runs: int = 100,
+                      algorithms=("kmeans", "ward", "gmm", "pam")) -> DataFrame:
     """Consensus clustering: the k whose subsampled runs are least ambiguous, then k-means at that k over all rows."""
-    best = None
-    for k in ks:
-        lab = K.subsampled_labels(points, id_, k, x, runs, algorithms=algorithms)
-        pac = PW.ambiguous_share(lab, id_, "labels").first()["pac"]
-        if best is None or pac < best[0]:
-            best = (pac, k)
-    return K.kmeans(points, best[1], x).select(id_, (F.col("cluster") + 1).alias("phenotype"), F.lit(best[1]).alias("k"))
+    best = K.consensus_choice(points, id_, ks, x, runs, algorithms=algorithms).where("chosen").first()["k"]
+    return K.kmeans(points, best, x).select(id_, (F.col("cluster") + 1).alias("phenotype"), F.lit(best).alias("k"))
+
+
+def supervised_tasks(master: DataFrame, columns: list[str], studies=("acute", "chronic"), permutations: int = 200) -> DataFrame:
+    """The task list per study: all arms (two models), control against dox, dox against the pooled treated arms."""
+    control, dox, *treated = C.GROUPS
+    every, pooled = {a: a for a in C.GROUPS}, {dox: dox} | {a: f"{dox}+" for a in treated}
+    tasks = {"5-group [LDA]": (every, "lda"), "5-group [PLS-DA]": (every, "pls"), "Control-vs-Dox [LDA]": ({control: control, dox: dox}, "lda"),
+             "Dox-vs-pooled [LDA]": (pooled, "lda")}
+    out = None
+    for study in studies:
+        matrix = M.feature_matrix(master.where(F.col("study") == study), ["recording_id", "group"], columns)
+        one = L.task_list(matrix, "recording_id", "group", tasks, permutations=permutations).select(F.lit(study).alias("study"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def classification_sweep(master: DataFrame, feature_sets: dict[str, list[str]], studies=("acute", "chronic"),
                          groupings=("five_groups", "control_vs_dox", "any_dox_vs_control", "dox_vs_any_etn", "high_etn_vs_rest"),
-                         models=("lda", "pls"), permutations: int = 60, min_class: int = 3) -> DataFrame | None:
+                         models=("lda", "forest"), permutations: int = 60, min_class: int = 3) -> DataFrame | None:
     """Study × labelling × feature set × model; a combination with a class under ``min_class`` is left out."""
     out = None
     for study in studies:
