@@ -82,3 +82,9 @@ CAUSE_FLAGS = ("beats_detected", "rhythm_regular", "twave_isolated", "enough_bea
 
 # Shape and rate of the Gamma priors on precisions.
 WEAK_GAMMA = (0.01, 0.01)
+
+# The heart rates that the template study accepts.
+TEMPLATE_HR = (300, 700)
+
+# The recordings of the validation gallery.
+GALLERY = (211, 206, 239, 247, 208, 218, 248, 142, 230, 136)

@@ -39,6 +39,27 @@ def elementwise(beats: DataFrame, keys: Sequence[str], beat: str = "beat") -> Da
     return out.select(*keys, vector_to_array("_s.mean").alias("mean"), F.when(n > 1, sd).alias("sd"), n.alias("n"))
 
 
+def elementwise_ragged(rows: DataFrame, keys: Sequence[str], array: str) -> DataFrame:
+    """Mean, SD (ddof 1, null for one value) and count at each position, over arrays of any lengths; nulls inside are left out.
+
+    Positions are summed before the shuffle, so what travels is one short row for each key, position and task.
+    """
+    keys = list(keys)
+    at = rows.select(*keys, F.posexplode(F.col(array).cast("array<double>")).alias("_i", "_v")).groupBy(*keys, "_i").agg(
+        F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("_s"), F.count("_v").alias("_n"))
+    s = F.array_sort(F.collect_list(F.struct("_i", "_m", "_s", "_n")))
+    grouped = (at.groupBy(*keys) if keys else at.groupBy()).agg(s.alias("_e"), F.max("_n").alias("n"))
+    return grouped.select(*keys, F.transform("_e", lambda e: e["_m"]).alias("mean"), F.transform("_e", lambda e: e["_s"]).alias("sd"),
+                          F.transform("_e", lambda e: e["_n"]).alias("counts"), "n")
+
+
+def gallery_summary(features: DataFrame, id_: str, shown: Sequence, measures: Sequence[str]) -> DataFrame:
+    """(measure, n, mean, sd): the chosen recordings' measures, SD with ddof 1."""
+    few = features.where(F.col(id_).isin(*shown))
+    long = few.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], list(measures), "measure", "v")
+    return long.groupBy("measure").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+
+
 def template(beats: DataFrame, keys: Sequence[str], order: str = "beat_no", count: str | None = None,
              group_size: int = C.BEATS_PER_AVERAGE) -> DataFrame:
     """Mean beat over whole groups of ``group_size`` beats; with fewer beats than one group, over all of them.

@@ -82,13 +82,54 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def relabel_by_mean(df: DataFrame, label: str, value: str, name: str = "phenotype") -> DataFrame:
     """Clusters named A, B, C ... by falling mean (of equal means the larger label first), so that of two the lower is B."""
-    means = df.groupBy(label).agg(F.avg(value).alias("_m"))
+    means = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.avg(value).alias("_m"))
     ordered = means.agg(F.array_sort(F.collect_list(F.struct(F.col("_m"), F.col(label).alias("l")))).alias("_order"))
     placed = attach_one_row(df, ordered)
     at = F.size("_order") - F.array_position(F.transform("_order", lambda e: e["l"]), F.col(label))
     return placed.withColumn(name, F.when(F.col(label).isNotNull(), F.char(F.lit(65) + at))).drop("_order")
 
 
+def profile(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """Mean of every feature in its own units, and the number of rows, per cluster."""
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("n"))
+
+
+def enrichment(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
+    """(labelling, n, chi2, dof, p_value): whether clusters hold the values of each column unequally.
+
+    One pass counts the tables of all columns (grouping sets). With one degree of freedom the continuity correction applies.
+    """
+    from pulsegrid.operators.inference import with_chi2_p
+    text = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_r"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)])
+    sets = [[F.col("_r"), F.col(f"_{i}")] for i in range(len(columns))]
+    counted = text.groupingSets(sets, "_r", *[f"_{i}" for i in range(len(columns))]).agg(F.grouping_id().alias("_g"), F.count("*").alias("_o"))
+    n_bits = len(columns)
+    which = F.coalesce(*[F.when(F.col("_g") == (2 ** n_bits - 1) - 2 ** (n_bits - 1 - i), F.struct(F.lit(c).alias("labelling"), F.col(f"_{i}").alias("_c")))
+                         for i, c in enumerate(columns)])
+    cells = counted.withColumn("_w", which).select("_w.labelling", "_r", "_w._c", "_o").where("_c IS NOT NULL")
+    every = W.partitionBy("labelling")
+    cells = cells.withColumns({"_n": F.sum("_o").over(every), "_nr": F.sum("_o").over(W.partitionBy("labelling", "_r")), "_nc": F.sum("_o").over(W.partitionBy("labelling", "_c"))})
+    sizes = cells.groupBy("labelling").agg(((F.count_distinct("_r") - 1) * (F.count_distinct("_c") - 1)).cast("int").alias("dof"), F.max("_n").alias("n"),
+                                           F.count_distinct("_r").alias("_kr"), F.count_distinct("_c").alias("_kc"))
+    # expected counts of all cells, empty ones too: those that hold rows, and n less their expectations
+    gap = F.abs(F.col("_o") - F.col("_e"))
+    near = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+    held = cells.join(sizes, ["labelling"]).withColumn("_e", F.col("_nr") * F.col("_nc") / cells["_n"])
+    empty = F.when(F.col("dof") == 1, F.sum(F.lit(0.0))).otherwise(F.max("_n") - F.sum("_e"))  # an empty cell adds its expectation
+    return with_chi2_p(held.groupBy("labelling", "n", "dof").agg((F.sum(near * near / F.col("_e")) + empty).alias("chi2")), "chi2", F.col("dof")).select(
+        "labelling", "n", "chi2", "dof", "p_value")
+
+
+def recluster_inner(df: DataFrame, id_: str, x: str = "x", ks: Sequence[int] = range(2, 7), algorithms=("kmeans", "gmm"), n_init: int = 10) -> DataFrame:
+    """Silhouettes of all rows, and again of the larger of two clusters: what is left when outliers go."""
+    inner = cut_lineage(largest_cluster(kmeans(df, 2, x, n_init=n_init), "cluster").drop("cluster"))
+    out = None
+    for name, rows in (("all", df), ("inner", inner)):
+        one = silhouette_sweep(rows, id_, ks, x, algorithms, n_init).select(F.lit(name).alias("rows"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def flag_rates(df: DataFrame, label: str, flags: Sequence[str], below: float = 0.20) -> DataFrame:
     """Mean of each flag per cluster; rates under ``below`` mark a cluster defined by that flag."""
     long = df.select(label, *[F.col(f).cast("double").alias(f) for f in flags]).unpivot([label], list(flags), "flag", "v")

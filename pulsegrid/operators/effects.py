@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions import tails
 from pulsegrid.operators import ordered as O
@@ -13,6 +14,10 @@ from pulsegrid.operators.inference import pooled_sd
 from pulsegrid.session import cut_lineage
 
 
+#: Rows that a round of the pairwise-slope search merges, about.
+ROUND_ROWS = 2_000_000
+
+
 def effect_sizes(moments: DataFrame) -> DataFrame:
     """Difference, its standard error, Cohen's d, Hedges' g and the normal CI of d."""
     na, nb = F.col("n_a"), F.col("n_b")
@@ -73,65 +78,56 @@ def _pairs_at_or_below(cells: DataFrame, asks: DataFrame, by: Sequence[str], key
     return run.groupBy(*by).agg(F.sum(F.col("_a") * (F.col("_b_before") + F.col("_b"))).alias("_c"))
 
 
-def median_pairwise_slope(long: DataFrame, keys: Sequence[str], level: str, n_levels: int, probes: int = 15,
-                          enumerate_below: int = 1_000_000, max_rounds: int = 40) -> DataFrame:
+def _as_ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers in the same order: neighbouring doubles are neighbouring integers."""
+    bits = np.asarray(x, np.float64).view(np.int64)
+    return np.where(bits < 0, np.iinfo(np.int64).min - bits, bits)
+
+
+def _as_doubles(n: np.ndarray) -> np.ndarray:
+    n = np.asarray(n, np.int64)
+    return np.where(n < 0, np.iinfo(np.int64).min - n, n).view(np.float64)
+
+
+def _between(low: float, high: float, probes: int) -> list[float]:
+    """At most ``probes`` doubles strictly between two, evenly spread over those that exist."""
+    lo, hi = (int(_as_ordered(np.array([v]))[0]) for v in (low, high))
+    inner = sorted({lo + (hi - lo) * i // (probes + 1) for i in range(1, probes + 1)} - {lo, hi})
+    return _as_doubles(np.array(inner, np.int64)).tolist()
+
+
+def median_pairwise_slope(long: DataFrame, keys: Sequence[str], level: str, n_levels: int, probes: int | None = None) -> DataFrame:
     """Median of (y_j - y_i) / (x_j - x_i) over all pairs on different levels, without forming the pairs.
 
-    Theil–Sen over ordered dose levels 0…n_levels-1; with two levels it is the Hodges–Lehmann shift. Each round
-    asks, for a few slopes per key, how many pairs lie at or below (running counts over merged sorted values)
-    and narrows the bracket around the two middle order statistics. Once the brackets hold no more than
-    ``enumerate_below`` pairs in total, those pairs alone are listed by a bucketed join and the answer is exact.
-    A bracket narrowed to the resolution of a double is taken as it is. State between rounds: one or two rows
-    per key.
+    Theil–Sen over ordered dose levels 0…n_levels-1; with two levels it is the Hodges–Lehmann shift. Each round asks, for
+    a few slopes per key, how many pairs lie at or below (running counts over merged sorted values) and narrows the bracket
+    around the two middle order statistics. Brackets are cut by the order of the doubles themselves, so a round leaves a
+    (probes + 1)-th of the doubles in them; after 64 / log2(probes + 1) rounds, whatever the data, a bracket's
+    ends are neighbours and its upper end is the answer. State between rounds: one or two rows per key. Without ``probes`` as
+    many are asked as keep a round's rows near ``ROUND_ROWS``, 15 at least; that changes the number of rounds only.
     """
     keys = list(keys)
     rows = long.where(F.col("value").isNotNull() & F.col(level).isNotNull()).select(
         *keys, F.col(level).cast("int").alias("_l"), F.col("value").cast("double").alias("_v"))
-    cells = rows.groupBy(*keys, "_l", "_v").agg(F.count("*").alias("_k"))
-    sizes = rows.groupBy(*keys).agg(*[F.count_if(F.col("_l") == i).alias(f"_n{i}") for i in range(n_levels)],
-                                    (F.max("_v") - F.min("_v")).alias("_span"))
+    cells = cut_lineage(rows.groupBy(*keys, "_l", "_v").agg(F.sum(F.lit(1)).alias("_k")))
+    probes = probes or min(1023, max(15, ROUND_ROWS // max(1, cells.count() * n_levels)))
+    sizes = cells.groupBy(*keys).agg(*[F.sum(F.when(F.col("_l") == i, F.col("_k")).otherwise(0)).alias(f"_n{i}") for i in range(n_levels)],
+                                     (F.max("_v") - F.min("_v")).alias("_span"))
     pairs = sum((F.col(f"_n{i}") * F.col(f"_n{j}") for i in range(n_levels) for j in range(i + 1, n_levels)), F.lit(0))
     state = sizes.select(*keys, pairs.cast("bigint").alias("_pairs"), "_span").where("_pairs > 0").select(
         *keys, (-F.col("_span") - 1.0).alias("_lo"), (F.col("_span") + 1.0).alias("_hi"),
-        F.lit(0).cast("bigint").alias("_clo"), F.col("_pairs").alias("_chi"),
         F.explode(F.array_distinct(F.array(F.floor((F.col("_pairs") + 1) / 2), F.floor(F.col("_pairs") / 2) + 1))).alias("_want"))
-    state = cut_lineage(state)
-    by = [*keys, "_want", "_s"]
-    width = F.col("_hi") - F.col("_lo")
-    tiny = width <= 1e-12 * F.greatest(F.lit(1.0), F.abs("_lo"), F.abs("_hi"))
-    # uneven on purpose: a probe should not fall on a slope of the data, where rounding decides the side
-    spacing = 0.9999381966 / (probes + 1)
-    for _ in range(max_rounds):
-        left = state.where(~tiny).agg(F.sum(F.col("_chi") - F.col("_clo"))).first()[0] or 0
-        if left <= enumerate_below:
-            break
-        asks = state.select(*keys, "_want", F.explode(F.transform(
-            F.sequence(F.lit(1), F.lit(probes)), lambda k: F.col("_lo") + k * width * spacing)).alias("_s"))
-        below = _pairs_at_or_below(cells, asks, by, keys, n_levels)
-        under, over = F.col("_c") < F.col("_want"), F.col("_c") >= F.col("_want")
-        nxt = below.groupBy(*keys, "_want").agg(
-            F.max(F.when(under, F.struct("_s", "_c"))).alias("_u"), F.min(F.when(over, F.struct("_s", "_c"))).alias("_o"))
-        state = cut_lineage(state.join(nxt, [*keys, "_want"]).select(
-            *keys, "_want", F.coalesce("_u._s", "_lo").alias("_lo"), F.coalesce("_o._s", "_hi").alias("_hi"),
-            F.coalesce("_u._c", "_clo").alias("_clo"), F.coalesce("_o._c", "_chi").alias("_chi")))
-    done = state.where(tiny).select(*keys, "_want", F.col("_hi").alias("_slope"))
-    rest = cells.join(state.where(~tiny), keys)
-    listed = None
-    for j in range(1, n_levels):
-        for i in range(j):
-            g, w = j - i, width * (j - i)
-            low = rest.where(F.col("_l") == i).select(
-                *keys, "_want", "_lo", "_hi", "_clo", F.col("_v").alias("_x"), F.col("_k").alias("_a"), F.explode(F.array(
-                    F.floor((F.col("_v") + F.col("_lo") * g) / w), F.floor((F.col("_v") + F.col("_lo") * g) / w) + 1)).alias("_cell"))
-            high = rest.where(F.col("_l") == j).select(*keys, "_want", F.floor(F.col("_v") / w).alias("_cell"), F.col("_v").alias("_y"), F.col("_k").alias("_b"))
-            slope = (F.col("_y") - F.col("_x")) / g
-            hit = low.join(high, [*keys, "_want", "_cell"]).where((slope > F.col("_lo")) & (slope <= F.col("_hi"))).select(
-                *keys, "_want", "_clo", slope.alias("_slope"), (F.col("_a") * F.col("_b")).alias("_k"))
-            listed = hit if listed is None else listed.unionByName(hit)
-    run = W.partitionBy(*keys, "_want").orderBy("_slope").rangeBetween(W.unboundedPreceding, W.currentRow)
-    found = listed.withColumn("_c", F.col("_clo") + F.sum("_k").over(run)).where(F.col("_c") >= F.col("_want")).groupBy(
-        *keys, "_want").agg(F.min("_slope").alias("_slope"))
-    return found.unionByName(done).groupBy(*keys).agg(F.avg("_slope").alias("median"))
+    between = F.pandas_udf(lambda lo, hi: pd.Series([_between(x, y, probes) for x, y in zip(lo, hi, strict=True)]), "array<double>")
+    state = cut_lineage(state.withColumn("_asked", between("_lo", "_hi")))
+    while not state.where(F.size("_asked") > 0).isEmpty():
+        asks = state.select(*keys, "_want", F.explode("_asked").alias("_s"))
+        below = _pairs_at_or_below(cells, asks, [*keys, "_want", "_s"], keys, n_levels)
+        nxt = below.groupBy(*keys, "_want").agg(F.max(F.when(F.col("_c") < F.col("_want"), F.col("_s"))).alias("_u"),
+                                                F.min(F.when(F.col("_c") >= F.col("_want"), F.col("_s"))).alias("_o"))
+        narrowed = state.join(nxt, [*keys, "_want"], "left").select(
+            *keys, "_want", F.coalesce("_u", "_lo").alias("_lo"), F.coalesce("_o", "_hi").alias("_hi"))
+        state = cut_lineage(narrowed.withColumn("_asked", between("_lo", "_hi")))
+    return state.groupBy(*keys).agg(F.avg("_hi").alias("median"))
 
 
 def huber_slope(long: DataFrame, keys: Sequence[str], x: str, y: str = "value", tuning: float = 1.345, max_iter: int = 50,

@@ -246,3 +246,16 @@ def recording_status(file_error: Column, wrong_column: Column, no_window: Column
              .when(F.coalesce(no_window, F.lit(False)), "FAILED_ANNOTATION")
              .when(F.coalesce(n_peaks, F.lit(0)) < C.MIN_PEAKS, "FAILED_PEAKS")
              .when(hr.between(*C.HR_ACCEPT), "OK").otherwise("NEEDS_REVIEW"))
+
+
+def template_status(n_peaks: Column, hr: Column, low: float = C.TEMPLATE_HR[0], high: float = C.TEMPLATE_HR[1]) -> Column:
+    """The template study's status: peaks fail below two only, and no quality guard beside the heart rate."""
+    return F.when(n_peaks < 2, "FAILED_PEAKS").when(hr.between(low, high), "OK").otherwise("NEEDS_REVIEW")
+
+
+def template_rhythm(rr: DataFrame, keys: Sequence[str], value: str = "rr_ms") -> DataFrame:
+    """(keys, n_beats, rr_cv, status) of RR intervals: cv with ddof 1 from two intervals on; the rate from their mean."""
+    g = rr.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    beats = F.when(F.col("_n") > 0, F.col("_n") + 1).otherwise(0)
+    cv = F.when((F.col("_n") > 1) & (F.col("_m") > 0), F.col("_s") / F.col("_m"))
+    return g.select(*keys, beats.alias("n_beats"), cv.alias("rr_cv"), template_status(beats, 60000.0 / F.nullif(F.col("_m"), F.lit(0.0))).alias("status"))

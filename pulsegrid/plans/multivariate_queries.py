@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import (classify as L, clusters as K, inference as S, matrix as M, pairwise as PW, permutation as P,
+from pulsegrid.functions import constants as C
+from pulsegrid.operators import (beats as BT, classify as L, clusters as K, inference as S, matrix as M, pairwise as PW, permutation as P,
                                  relational as R, resampling as B, ward as WD)
 from pulsegrid.plans.registry import query
 
@@ -127,6 +128,48 @@ def balanced_accuracy(t):
     return L.balanced_accuracy(counts).withColumn("acc", F.round("acc", 6))
 
 
+@query("phenotype_profile", "SELECT l_linestatus || l_returnflag AS phenotype, round(avg(l_quantity), 5) AS l_quantity, round(avg(l_extendedprice), 3) AS l_extendedprice, round(avg(l_discount), 7) AS l_discount, count(*) AS n FROM lineitem GROUP BY 1")
+def phenotype_profile(t):
+    df = t.lineitem.withColumn("phenotype", F.concat("l_linestatus", "l_returnflag"))
+    digits = {"l_quantity": 5, "l_extendedprice": 3, "l_discount": 7}
+    return K.profile(df, "phenotype", list(digits)).select("phenotype", *[F.round(c, d).alias(c) for c, d in digits.items()], "n")
+
+
+@query("phenotype_enrichment", """
+WITH b AS (SELECT l_returnflag AS r, l_linestatus AS a, CAST(l_linenumber AS VARCHAR) AS b, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS c FROM lineitem WHERE l_returnflag <> 'N'),
+ u AS (SELECT 'status' AS labelling, r, a AS v FROM b UNION ALL SELECT 'line', r, b FROM b UNION ALL SELECT 'dose', r, c FROM b),
+ o AS (SELECT labelling, r, v, count(*) AS o FROM u GROUP BY ALL), rs AS (SELECT labelling, r, sum(o) AS nr FROM o GROUP BY ALL), cs AS (SELECT labelling, v, sum(o) AS nc FROM o GROUP BY ALL),
+ n AS (SELECT labelling, sum(o) AS n, CAST((count(DISTINCT r) - 1) * (count(DISTINCT v) - 1) AS INTEGER) AS dof FROM o GROUP BY 1),
+ g AS (SELECT rs.labelling, rs.r, cs.v, coalesce(o.o, 0) AS o, nr * nc / n AS e, n, dof FROM rs JOIN cs USING (labelling) JOIN n USING (labelling) LEFT JOIN o ON o.labelling = rs.labelling AND o.r = rs.r AND o.v = cs.v)
+SELECT labelling, CAST(any_value(n) AS BIGINT) AS n, round(sum((abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END) ** 2 / e), 6) AS chi2, any_value(dof) AS dof FROM g GROUP BY labelling""")
+def phenotype_enrichment(t):
+    df = t.lineitem.where("l_returnflag <> 'N'").select("l_returnflag", F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"),
+                                                        F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("dose"))
+    return K.enrichment(df, "l_returnflag", ["status", "line", "dose"]).select("labelling", "n", F.round("chi2", 6).alias("chi2"), "dof")
+
+
+@query("cluster_mean_template", E + """, u AS (SELECT label, vec_id, b[i] AS v, i - 1 AS i FROM e, (SELECT unnest(range(1, 65)) AS i) WHERE i <= 64 - vec_id % 7)
+SELECT label, CAST(i AS INTEGER) AS i, round(avg(v), 7) AS mean, round(stddev_samp(v), 7) AS sd, count(*) AS n FROM u GROUP BY 1, 2""")
+def cluster_mean_template(t):
+    ragged = t.embeddings.select("label", F.slice("embedding", F.lit(1), (64 - F.col("vec_id") % 7).cast("int")).alias("x"))
+    m = BT.elementwise_ragged(ragged, ["label"], "x").select("label", F.posexplode(F.arrays_zip("mean", "sd", "counts")).alias("i", "e"))
+    return m.select("label", "i", F.round("e.mean", 7).alias("mean"), F.round("e.sd", 7).alias("sd"), F.col("e.counts").alias("n"))
+
+
+@query("gallery_summary", "WITH b AS (SELECT p_retailprice / 20 AS qt_ms, p_retailprice / 20 / sqrt(p_size / 10.0) AS qtc_ms FROM part WHERE p_partkey IN (211, 206, 239, 247, 208, 218, 248, 142, 230, 136)), u AS (SELECT 'qt_ms' AS measure, qt_ms AS v FROM b UNION ALL SELECT 'qtc_ms', qtc_ms FROM b) SELECT measure, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM u GROUP BY 1")
+def gallery_summary(t):
+    f = t.part.select("p_partkey", (F.col("p_retailprice") / 20).alias("qt_ms"), (F.col("p_retailprice") / 20 / F.sqrt(F.col("p_size") / 10.0)).alias("qtc_ms"))
+    return BT.gallery_summary(f, "p_partkey", C.GALLERY, ["qt_ms", "qtc_ms"]).select("measure", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("template_status", """WITH r AS (SELECT l_orderkey, 85 + l_quantity * 3 AS rr_ms FROM lineitem), g AS (SELECT l_orderkey, count(*) AS n, avg(rr_ms) AS m, stddev_samp(rr_ms) AS s FROM r GROUP BY 1)
+SELECT l_orderkey, n + 1 AS n_beats, round(CASE WHEN n > 1 THEN s / m END, 6) AS rr_cv, CASE WHEN n + 1 < 2 THEN 'FAILED_PEAKS' WHEN 60000.0 / m BETWEEN 300 AND 700 THEN 'OK' ELSE 'NEEDS_REVIEW' END AS status FROM g""")
+def template_status(t):
+    from pulsegrid.operators import windows as WN
+    rr = t.lineitem.select("l_orderkey", (85 + F.col("l_quantity") * 3).alias("rr_ms"))
+    return WN.template_rhythm(rr, ["l_orderkey"]).withColumn("rr_cv", F.round("rr_cv", 6))
+
+
 # ---- fits and random draws: row checks only, tested on fixtures ---------------------------------------------
 @query("pca_scores")
 def pca_scores(t):
@@ -179,6 +222,11 @@ def consensus_choice(t):
     return K.consensus_choice(leading_scores(t), "vec_id", x="scores")
 
 
+@query("recluster_inner")
+def recluster_inner(t):
+    return K.recluster_inner(leading_scores(t), "vec_id", "scores", range(2, 4), ("kmeans",))
+
+
 @query("ward_clusters")
 def ward_clusters(t):
     labels, _ = WD.ward(points(t).select(F.lit(1).alias("r"), F.col("vec_id").alias("id"), "x"), (2, 3, 4, 5, 6))
