@@ -9,8 +9,9 @@
 3. Pairs whose signatures agree too little (4 standard errors under the threshold) go; the others are confirmed by the
    sizes of the intersection and union of their full sets.
 4. Components of the confirmed links are found by label propagation with pointer jumping. A bucket whose members are
-   in several components is looked at again: its members of different components are compared with each other, in
-   blocks, by signatures and then by full sets; links that join components are added, and components made again.
+   in several components is looked at again: its members of different components are compared with each other, the
+   largest component's in one copy, by signatures and then by full sets; links that join components are added, and
+   components made again.
 
 Sets are shipped for classes that share a bucket only, in streams sorted by pivot; a pivot with many members is
 dealt out over several streams. Nothing but counts comes to the driver.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fresh, stage
+from pulsegrid.llm.common import fresh, sent_if_small, stage
 
 WIDTH = 5
 THRESHOLD = (75, 100)
@@ -40,6 +41,8 @@ POSITIONS = BANDS * ROWS
 LEAST_AGREEING = int(POSITIONS * (0.75 - 4 * (0.75 * 0.25 / POSITIONS) ** 0.5))
 #: Members a stream takes for one pivot, and classes in a block of the second look.
 STREAM, BLOCK = 256, 256
+#: Equal sets from so many rows on are looked up in a table of their own.
+COPIES = 200
 #: Shingles whose signatures are made together, and word hashes a task remembers.
 TOGETHER, MEMORY = 1 << 15, 400_000
 
@@ -283,16 +286,29 @@ MET = "bucket bigint, i int, j int, rep bigint, component bigint, n_shingles big
 def second_look(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components of (v, component) that share a bucket of (bucket, rep), as a forest for each pair of blocks.
 
-    Sketches tell which members may be similar to one of another component; only these get their full sets, which confirm.
+    The members of a bucket's largest component stay where they are: such a component comes once, whatever number of buckets it leads, dealt
+    to blocks of members, and the other members of these buckets visit its blocks. Others that share a bucket with members of a third component
+    meet those in blocks of the bucket. Sketches tell which may be similar to one of another component; only these get their full sets, which confirm.
     """
     placed = members.join(comps.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where(
-        "lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_, "bucket").join(classes.select("rep", "n_shingles", "sketch"), "rep").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other one once, at (lower, higher)
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "n_shingles", "sketch", "block")
+    counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("k"),
+                                         (F.sum("n") - F.max("n")).alias("others")).where("k > 1")
+    inside = stage(placed.join(open_, "bucket"), "open_buckets")
+
+    stay = inside.where("component = main").select("main", "rep", "component").distinct()
+    blocks = stay.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    stay = stay.join(blocks, "main").select(F.col("main").alias("bucket"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("i"),
+                                            F.lit(-1).alias("j"), "rep", "component", F.lit(0).alias("block"))
+    visit = inside.where("component <> main").select("main", "rep", "component").distinct().join(blocks, "main").select(
+        F.col("main").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(-1).alias("j"), "rep", "component", F.lit(1).alias("block"))
+    # each block of others meets itself and every other one once, at (lower, higher)
+    third = inside.where("component <> main AND k > 2").withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
+    third = third.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block")
+    met = stay.unionByName(visit).unionByName(third).join(classes.select("rep", "n_shingles", "sketch"), "rep").select(
+        "bucket", "i", "j", "rep", "component", "n_shingles", "sketch", "block")
     names = [x.split()[0] for x in MET.split(", ")]
 
     def concerned(key: tuple, group: list[tuple]) -> pa.RecordBatch:
@@ -339,8 +355,13 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stage(sketch_documents(rows), "sketches")
     named = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    sets_of_rows = named.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    heads = named.select("doc_id", "set_key", "n_shingles").join(sets_of_rows, ["set_key", "n_shingles"])
+    equal = ["set_key", "n_shingles"]
+    sets_of_rows = stage(named.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets_of_rows")
+    # sets with many copies are joined apart, so that none of them meets in one task
+    hot = sent_if_small(sets_of_rows.where(F.col("copies") > COPIES).select(*equal, "rep"))
+    marked = named.select("doc_id", *equal).join(hot, equal, "left")
+    heads = marked.where("rep IS NOT NULL").unionByName(
+        marked.where("rep IS NULL").drop("rep").join(sets_of_rows.where(F.col("copies") <= COPIES).select(*equal, "rep"), equal).select("doc_id", *equal, "rep"))
     owners = stage(heads.select("doc_id", "rep").distinct(), "owners")
 
     own = named.join(owners.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
