@@ -177,8 +177,8 @@ def decode_column(ids: Column, path: str) -> Column:
 
 
 def digest_column(text: Column, path: str) -> Column:
-    """Counts and digests of a text's ids, and whether decoding gives the text again: a struct, without the ids themselves."""
-    @F.pandas_udf("n_pieces bigint, ids_crc32 bigint, n_bytes_spelt bigint, round_trip boolean")
+    """A text's ids, their counts and digest, and whether decoding gives the text again: a struct."""
+    @F.pandas_udf("piece_ids array<int>, n_pieces bigint, ids_crc32 bigint, n_bytes_spelt bigint, round_trip boolean")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = pieces(path)
         for texts in batches:
@@ -186,8 +186,8 @@ def digest_column(text: Column, path: str) -> Column:
             for t in texts:
                 data = model.encode_bytes(t)
                 ids = np.frombuffer(data, "<u4")
-                rows.append((len(ids), zlib.crc32(data), int(model.spelt[ids].sum()), model.decode(ids.tolist()) == (t or "").replace(MARK, " ")))
-            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "n_bytes_spelt", "round_trip"])
+                rows.append((ids.astype(np.int32), len(ids), zlib.crc32(data), int(model.spelt[ids].sum()), model.decode(ids.tolist()) == (t or "").replace(MARK, " ")))
+            yield pd.DataFrame(rows, columns=["piece_ids", "n_pieces", "ids_crc32", "n_bytes_spelt", "round_trip"])
     return digest(text)
 
 

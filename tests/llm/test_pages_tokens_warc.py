@@ -196,7 +196,12 @@ def test_pieces_are_best_and_round_trip(spark, documents):
 
 def test_piece_query_round_trips(spark):
     rows = pieces.op4_piece_encoding(spark, SF).collect()
-    assert all(r["round_trip"] for r in rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r["round_trip"] for r in rows) and len(rows) == len(texts)
+    model = pieces.pieces(pieces.default_model())
+    for r in rows:
+        assert len(r["piece_ids"]) == r["n_pieces"] and zlib.crc32(np.array(r["piece_ids"], "<u4").tobytes()) == r["ids_crc32"]
+        assert model.decode(r["piece_ids"]) == texts[r["doc_id"]]
 
 
 def test_warc_headers_of_any_length(spark, folder_of):
