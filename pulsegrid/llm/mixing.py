@@ -25,8 +25,11 @@ FLATTEN = 0.5
 #: The budget, as a share of all tokens.
 BUDGET = 0.5
 SEED = 20240601
-PASSES = 20
+#: Raking ends when all margins are met to TOLERANCE, or, where cells can't meet them all, when no cell's share of the
+#: weight moves by SETTLED in a pass. More passes than PASSES are an error.
+PASSES = 300
 TOLERANCE = 1e-3
+SETTLED = 1e-6
 
 
 def form_of(text: Column) -> Column:
@@ -47,9 +50,10 @@ def cells_of(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
 
 def flattened(cells: DataFrame, key: str, power: float = FLATTEN) -> DataFrame:
     """Target shares of a margin: the present shares to a power, rescaled to sum 1; columns key, share."""
-    sums = cells.groupBy(key).agg(F.sum("tokens").alias("t")).where("t > 0").select(key, F.pow("t", F.lit(power)).alias("t"))
-    total = sums.agg(F.sum("t")).first()[0] or 1.0
-    return sums.select(key, (F.col("t") / total).alias("share"))
+    name = fresh(cells, "sum_")
+    sums = cells.groupBy(key).agg(F.sum("tokens").alias(name)).where(F.col(name) > 0).select(key, F.pow(name, F.lit(power)).alias(name))
+    total = sums.agg(F.sum(name)).first()[0] or 1.0
+    return sums.select(key, (F.col(name) / total).alias("share"))
 
 
 def rake(cells: DataFrame, keys: list[str], targets: list[DataFrame]) -> DataFrame:
@@ -66,6 +70,7 @@ def rake(cells: DataFrame, keys: list[str], targets: list[DataFrame]) -> DataFra
         total = t.agg(F.sum("share")).first()[0] or 1.0
         goals.append(t.withColumn("share", F.col("share") / total))
     for _ in range(PASSES):
+        cells = cells.withColumn("was_", F.col("weight"))
         for k, goal in zip(keys, goals, strict=True):
             sums = cells.groupBy(F.col(k).alias("k_")).agg(F.sum("weight").alias("w_"))
             goal = goal.select(F.col(k).alias("g_"), "share")
@@ -75,11 +80,11 @@ def rake(cells: DataFrame, keys: list[str], targets: list[DataFrame]) -> DataFra
                 .withColumn(f"d_{k}", F.abs(F.col("f_") - 1)).drop("k_", "f_")
         worst = [f"d_{k}" for k in keys]
         cells = stage(cells, "cells")
-        moved = cells.agg(F.max(F.greatest(*worst, F.lit(0.0)))).first()[0]
-        cells = cells.drop(*worst)
-        if moved is None or moved < TOLERANCE:
-            break
-    return cells
+        missed, moved = cells.agg(F.max(F.greatest(*worst, F.lit(0.0))), F.max(F.abs(F.col("weight") - F.col("was_")))).first()
+        cells = cells.drop(*worst, "was_")
+        if missed is None or missed < TOLERANCE or moved < SETTLED:
+            return cells
+    raise RuntimeError(f"raking still moves after {PASSES} passes")
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:

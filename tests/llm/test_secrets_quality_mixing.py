@@ -2,6 +2,7 @@ import hashlib
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,44 @@ def test_raking_meets_targets(spark):
     assert max(r["probability"] for r in cal.values()) <= 1
 
 
+def test_raking_equals_plain_loops(spark):
+    """Three margins, raked and calibrated by numpy over a full table of cells."""
+    rng = np.random.default_rng(7)
+    tokens = rng.integers(0, 900, (4, 3, 2)) * (rng.random((4, 3, 2)) > 0.15)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(tokens[i, j, k])) for i in range(4) for j in range(3) for k in range(2)]
+    cells, keys = spark.createDataFrame(rows, "s string, l string, t string, tokens long"), ["s", "l", "t"]
+    goals = [mixing.flattened(cells, k) for k in keys]
+    weight, share = tokens.astype(float), [np.sqrt(tokens.sum(tuple({0, 1, 2} - {a}))) for a in range(3)]
+    share = [x / x.sum() for x in share]
+    for _ in range(200):
+        for a in range(3):
+            now = weight.sum(tuple({0, 1, 2} - {a}), keepdims=True)
+            weight = weight * np.expand_dims(share[a], tuple({0, 1, 2} - {a})) / now
+    raked = mixing.rake(cells, keys, goals)
+    got = {tuple(r[k] for k in keys): r["weight"] for r in raked.collect()}
+    want = {(f"s{i}", f"l{j}", f"t{k}"): weight[i, j, k] for i in range(4) for j in range(3) for k in range(2) if tokens[i, j, k]}
+    assert got == pytest.approx(want, rel=2e-2, abs=2e-4)
+    # the expected tokens are half of all, and cells that aren't full have probabilities in proportion to weight over tokens
+    p = {tuple(r[k] for k in keys): r["probability"] for r in mixing.calibrate(raked, 0.5).collect()}
+    n = {(r[0], r[1], r[2]): r[3] for r in rows}
+    assert sum(p[c] * n[c] for c in p) == pytest.approx(0.5 * tokens.sum(), rel=1e-6)
+    scales = [p[c] * n[c] / got[c] for c in p if p[c] < 1]
+    assert max(scales) == pytest.approx(min(scales)) and all(got[c] * scales[0] >= n[c] * (1 - 1e-9) for c in p if p[c] == 1)
+
+
+def test_raking_of_margins_that_cells_cannot_meet(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "x", 10), ("b", "y", 10)], "s string, l string, tokens long")
+    goals = [spark.createDataFrame([("a", 0.8), ("b", 0.2)], "s string, share double"), spark.createDataFrame([("x", 0.5), ("y", 0.5)], "l string, share double")]
+    out = {(r["s"], r["l"]): r["weight"] for r in mixing.rake(cells, ["s", "l"], goals).collect()}
+    assert sum(out.values()) == pytest.approx(1) and out["b", "x"] < 0.05 and out["a", "x"] == pytest.approx(0.5, abs=0.05)
+
+
+def test_long_candidates_take_seconds(spark, documents):
+    long = "".join(chr(97 + i * i % 26) + str(i % 10) for i in range(500_000))  # a run of a million characters
+    out, name = secrets.find_secrets(documents([f"x {long} y", "plain text"]))
+    assert [len(r[name]) for r in out.orderBy("doc_id").collect()][1] == 0
+
+
 def test_mix_is_whole_and_repeatable(spark, documents):
     rows = mixing.op3_mixing_sources(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
