@@ -34,7 +34,8 @@ START = {"good": 0.03, "bad": 0.45}
 START_SHARE = 0.85
 #: The start counts as this share of the documents in every estimate.
 PRIOR_WEIGHT = 0.02
-PASSES = 15
+#: EM ends when no estimate moves by TOLERANCE; more passes than this are an error.
+PASSES = 500
 TOLERANCE = 1e-4
 THRESHOLD = 0.5
 
@@ -153,8 +154,8 @@ def fit(voted: DataFrame, n_rules: int) -> Model:
         return model
     for _ in range(PASSES):
         if model.update(patterns) < TOLERANCE:
-            break
-    return model
+            return model
+    raise RuntimeError(f"EM still moves after {PASSES} passes")
 
 
 def judge(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
