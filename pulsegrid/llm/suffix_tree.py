@@ -21,6 +21,7 @@ and counted as often as they occur. An empty table stays empty. Only id and text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stage
+from pulsegrid.llm.token_files import slices_of
 
 DEPTH = 6
 LEAST_COUNT = 2
-#: The share of all places that a context must make up, besides; none is left out for its share.
-LEAST_CONTEXT = 0.0
 #: The most runs that tasks are given to look up; no bound on the model.
 CACHED_RUNS = 3_000_000
 LEAST_WORD = 2e-7
@@ -42,6 +42,8 @@ DISCOUNT = 0.5
 FOLDS, HELD_OUT = 7, 2
 #: Bytes a task looks at together, runs and words it sums before passing them on, words it remembers.
 TOGETHER, HELD_RUNS, MEMORY = 1 << 21, 1 << 21, 400_000
+#: Rows of a group that meets by two bytes of context.
+GROUP = 20_000
 END = 10  # a line feed, which no normalised text has
 SYMBOLS = 256
 
@@ -50,22 +52,60 @@ def in_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def words_of_bytes(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+#: Bytes as they count: A-Z lower, 0 for what separates words. No text has a byte of 255.
+BYTES = np.arange(SYMBOLS, dtype=np.uint8)
+BYTES[65:91] += 32
+BYTES[0] = 255
+BYTES[[9, 10, 11, 12, 13, 32]] = 0
 
 
-def runs(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The run that ends at each byte and end of the texts, oldest byte first, as a number; and each text's number of runs."""
-    pad = bytes([END]) * depth
-    data = np.frombuffer(pad + (bytes([END]) * (depth + 1)).join(texts) + bytes([END]), np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64) + 1
-    starts = np.cumsum(lengths + depth) - lengths
+def _codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """The run that ends at each of the ``lengths`` bytes from ``starts`` on; before each start are ``depth`` ends."""
     at = np.ones(len(data), bool)
     at[(starts[:, None] - 1 - np.arange(depth)).ravel()] = False
     out = np.zeros(len(data), np.uint64)
     for j in range(depth, -1, -1):
         out[depth:] = (out[depth:] << np.uint64(8)) | data[depth - j:len(data) - j].astype(np.uint64)
-    return out[at], lengths
+    return out[at]
+
+
+def runs(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The run that ends at each byte and end of normalised texts, oldest byte first, as a number; and each text's number of runs."""
+    pad = bytes([END]) * depth
+    data = np.frombuffer(pad + (bytes([END]) * (depth + 1)).join(texts) + bytes([END]), np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64) + 1
+    return _codes(data, np.cumsum(lengths + depth) - lengths, lengths, depth), lengths
+
+
+def read(texts: pa.Array, depth: int = DEPTH) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts on end, each text's number of them, and ``runs`` of the normalised texts; nulls are empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = BYTES[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]]
+    edges = offsets - offsets[0]
+    inside = raw != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = edges[:-1][np.diff(edges) > 0]
+    begins[starts] = inside[starts]
+    kept, firsts = raw[inside], np.flatnonzero(begins)
+    kept[kept == 255] = 0  # the byte itself, not what separates words
+    kept_before = np.concatenate([[0], np.cumsum(inside)])
+    bounds = np.append(kept_before[firsts], len(kept)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(firsts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+    first_word = np.searchsorted(firsts, edges)
+    n_words = np.diff(first_word)
+    lengths = np.diff(kept_before[edges]) + np.maximum(n_words - 1, 0) + 1
+    begin = np.cumsum(lengths + depth) - lengths
+    # a word moves by the ends and blanks before it
+    text_of = np.repeat(np.arange(len(n_words)), n_words)
+    nth = np.arange(len(text_of)) - first_word[text_of]
+    shift = (begin - kept_before[edges[:-1]])[text_of] + nth
+    data = np.full(int((lengths + depth).sum()), END, np.uint8)
+    data[np.repeat(shift, np.diff(bounds)) + np.arange(len(kept))] = kept
+    later = nth > 0
+    data[(bounds[:-1] + shift)[later] - 1] = 32
+    return words, n_words, _codes(data, begin, lengths, depth), lengths
 
 
 def _hash(word: bytes) -> int:
@@ -75,21 +115,6 @@ def _hash(word: bytes) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _grouped(texts, size: int = TOGETHER) -> Iterator[list[tuple[list[bytes], bytes]]]:
-    """Texts as (words, normalised bytes), some of them together."""
-    group, n = [], 0
-    for text in texts:
-        words = words_of_bytes(text.as_py())
-        joined = b" ".join(words)
-        group.append((words, joined))
-        n += len(joined) + DEPTH + 1
-        if n >= size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
-
-
 COUNTED = ["kind", "key", "n"]
 RUN, WORD, TEXT = 0, 1, 2
 
@@ -117,14 +142,15 @@ def count_texts(texts: DataFrame) -> DataFrame:
             seen.clear()
 
         for batch in batches:
-            for group in _grouped(batch.column(0)):
-                n_texts += len(group)
-                for words, _ in group:
-                    for w in words:
-                        seen[w] = seen.get(w, 0) + 1
+            for lo, hi in slices_of(batch.column(0), TOGETHER):
+                n_texts += hi - lo
+                words, _, codes, _ = read(batch.column(0).slice(lo, hi - lo))
+                found = words.value_counts()
+                for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                    seen[w] = seen.get(w, 0) + n
                 if len(seen) > MEMORY:
                     yield from words_out()
-                k, n = np.unique(runs([t for _, t in group])[0], return_counts=True)
+                k, n = np.unique(codes, return_counts=True)
                 keys.append(k)
                 ns.append(n)
                 held += len(k)
@@ -188,15 +214,18 @@ def _low(n_bytes: Column) -> Column:
     return F.pow(F.lit(256.0), n_bytes).cast("bigint") - 1
 
 
-def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The tree from the summed runs (key, n): states (k, context, c), the runs told after them (k, run, n), and all places."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    levels = stage(counts.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), lambda k: F.struct(
-        k.alias("k"), F.col("key").bitwiseAND(_low(k + 1)).alias("run")))).alias("x"))
-        .groupBy("x.k", "x.run").agg(F.sum("n").alias("n")), "runs")
+def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree from the summed runs (key, n): states (k, context, c), and the runs told after them (k, run, n)."""
+    # shorter runs are sums of those one byte longer, of which there are fewer on every level
+    below, parts = counts.select(F.col("key").alias("run"), "n"), []
+    for k in range(DEPTH, -1, -1):
+        if k < DEPTH:
+            below = stage(below.groupBy(F.col("run").bitwiseAND(_low(F.lit(k + 1))).alias("run")).agg(F.sum("n").alias("n")), "runs")
+        parts.append(below.select(F.lit(k).alias("k"), "run", "n"))
+    levels = reduce(DataFrame.union, parts)
     context = F.shiftright("run", 8)
     contexts = stage(levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds")).where(
-        (F.col("k") == 0) | (F.col("c") >= max(float(LEAST_COUNT), LEAST_CONTEXT * total))), "contexts")
+        (F.col("k") == 0) | (F.col("c") >= LEAST_COUNT)), "contexts")
     known = levels.withColumn("context", context).join(contexts, ["k", "context"])
     # a run's parent lacks the oldest byte of its context
     parents = known.select((F.col("k") + 1).alias("k"), F.col("run").alias("parent"), F.col("n").alias("n_up"), F.col("c").alias("c_up"))
@@ -207,7 +236,7 @@ def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         j.alias("k"), F.col("context").bitwiseAND(_low(j)).alias("context")))).alias("s")).select("s.*").distinct()
     states = stage(contexts.join(kept, ["k", "context"], "left_semi").select("k", "context", "c"), "states")
     told = known.join(states, ["k", "context"], "left_semi").select("k", "run", "n").union(levels.where("k = 0").select("k", "run", "n"))
-    return states, stage(told, "told"), total
+    return states, stage(told, "told")
 
 
 def _levels(table: pa.Table, key: str, value: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -224,15 +253,26 @@ def values_of(wanted: DataFrame, states: DataFrame, told: DataFrame) -> DataFram
     """(run, value) for distinct runs: their last byte's log10 probability after the rest.
 
     States and runs of all levels from two bytes of context on meet by these two bytes; what is above (by the
-    alphabet, at most 256 states and 256 x 257 runs) goes to all tasks.
+    alphabet, at most 256 states and 256 x 257 runs) goes to all tasks. Two bytes with over ``GROUP`` rows (of at most 65,536) are dealt
+    by two bytes more; their states of two and three bytes (at most 257) and what is told after those are copied.
     """
     spark = wanted.sparkSession
     n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = lambda context: F.pmod(F.xxhash64(context.bitwiseAND(F.lit(0xFFFF).cast("bigint"))), F.lit(n)).alias("part")
+    low = lambda context, n_bytes: context.bitwiseAND(F.lit((1 << 8 * n_bytes) - 1).cast("bigint"))
     top = spark.sparkContext.broadcast((_levels(states.where("k < 2").toArrow(), "context", "c"), _levels(told.where("k < 2").toArrow(), "run", "n")))
     last = F.shiftright("run", 8)
-    model = states.where("k > 1").select(part(F.col("context")), F.lit(True).alias("state"), "k", F.col("context").alias("code"), F.col("c").alias("n")).union(
-        told.where("k > 1").select(part(last), F.lit(False), "k", "run", "n"))
+    asked_rows = wanted.select(low(last, 2).alias("pair"), low(last, 4).alias("four"), "run")
+    context = F.when(F.col("state"), F.col("code")).otherwise(F.shiftright("code", 8))
+    model = states.where("k > 1").select(F.lit(True).alias("state"), "k", F.col("context").alias("code"), F.col("c").alias("n")).union(
+        told.where("k > 1").select(F.lit(False), "k", "run", "n")).select(low(context, 2).alias("pair"), low(context, 4).alias("four"), "state", "k", "code", "n")
+    sizes = asked_rows.groupBy("pair").agg(F.count(F.lit(1)).alias("m")).union(model.groupBy("pair").agg(F.count(F.lit(1)))).groupBy("pair").agg(F.sum("m").alias("m"))
+    hot = F.broadcast(stage(sizes.where(F.col("m") > GROUP).select("pair", F.ceil(F.col("m") / GROUP).cast("int").alias("splits")), "hot_contexts"))
+    own = F.pmod(F.xxhash64("four"), F.col("splits")).cast("int")
+    every = F.sequence(F.lit(0), F.col("splits") - 1)
+    part = F.pmod(F.xxhash64("pair", "sub"), F.lit(n)).alias("part")
+    asked_rows = asked_rows.join(hot, "pair", "left").withColumn("sub", F.coalesce(own, F.lit(0))).select(part, "run")
+    subs = F.when(F.col("splits").isNull(), F.array(F.lit(0))).when(F.col("k") > 3, F.array(own)).otherwise(every)
+    model = model.join(hot, "pair", "left").withColumn("sub", F.explode(subs)).select(part, "state", "k", "code", "n").distinct()
 
     def value(asked: pa.Table, own: pa.Table) -> pa.Table:
         nodes, runs_ = top.value
@@ -240,7 +280,7 @@ def values_of(wanted: DataFrame, states: DataFrame, told: DataFrame) -> DataFram
         codes = asked["run"].to_numpy()
         return pa.table({"run": codes, "value": tree.log_probabilities(codes.astype(np.uint64))}, pa.schema([("run", pa.int64()), ("value", pa.float64())]))
 
-    return wanted.select(part(last), "run").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(value, "run bigint, value double")
+    return asked_rows.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(value, "run bigint, value double")
 
 
 def frequent_of(counts: DataFrame) -> DataFrame:
@@ -252,27 +292,24 @@ def frequent_of(counts: DataFrame) -> DataFrame:
     return counts.where(size >= sizes[0][0] if sizes else F.lit(False)).select(F.col("key").alias("run"))
 
 
-def grow(counts: DataFrame) -> Tree:
-    """The whole tree in one place, for small corpora."""
-    states, told, _ = tables(counts)
-    return Tree(_levels(states.toArrow(), "context", "c"), _levels(told.toArrow(), "run", "n"))
+def _found(asked: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each number among sorted keys, 0 where it isn't there; and where it is."""
+    if not len(keys):
+        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[at] == asked
+    return np.where(hit, values[at], 0.0), hit
 
 
-class _Words(dict):
-    """log10(count + 1) of a word, or NaN for one that isn't among the frequent."""
+def _pairs(text: np.ndarray, code: np.ndarray, wanted: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, code) pairs where ``wanted``, by text, and how often each occurs."""
+    own = np.flatnonzero(wanted)
+    pairs, times = np.unique(text[own] * n_codes + code[own], return_counts=True)
+    return pairs // n_codes, pairs % n_codes, times
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        super().__init__()
-        self.hashes, self.values = hashes, values
 
-    def __missing__(self, word: bytes) -> float:
-        h = _hash(word)
-        i = int(np.searchsorted(self.hashes, h))
-        value = float(self.values[i]) if i < len(self.hashes) and self.hashes[i] == h else float("nan")
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = value
-        return value
+def _lists(values: np.ndarray, texts: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
 LOOKED = "doc_id bigint, n_words bigint, n_common bigint, common double, score double, rare array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
@@ -284,36 +321,30 @@ def look(docs: DataFrame, frequent: np.ndarray, known: np.ndarray, hashes: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, known, hashes, values = shared.value
-        memory = _Words(hashes, values)
+        memory: dict[bytes, int] = {}
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for group in _grouped(batch.column(1), TOGETHER // 4):
-                codes, lengths = runs([t for _, t in group])
+            for lo, hi in slices_of(batch.column(1), TOGETHER // 4):
+                words, n_words, codes, lengths = read(batch.column(1).slice(lo, hi - lo))
                 unique, where = np.unique(codes, return_inverse=True)
-                place = np.searchsorted(frequent, unique)
-                hit = np.append(frequent, np.uint64(0))[place] == unique if len(frequent) else np.zeros(len(unique), bool)
-                own = np.zeros(len(unique))
-                own[hit] = known[place[hit]]
+                own, hit = _found(unique, frequent, known)
                 scores = np.add.reduceat(own[where], np.cumsum(lengths) - lengths)
-                # (text, run) pairs that the cache lacks, as one number: text x runs + run
-                missed = np.flatnonzero(~hit[where])
-                pairs, n_times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[missed] * len(unique) + where[missed], return_counts=True)
-                bounds = np.searchsorted(pairs, np.arange(len(lengths) + 1) * len(unique))
-                lacking, n_times = unique[pairs % len(unique)].astype(np.int64), n_times.astype(np.int32)
-                out = []
-                for i, ((words, _), score) in enumerate(zip(group, scores.tolist(), strict=True)):
-                    found = np.array([memory[w] for w in words])
-                    odd = np.flatnonzero(np.isnan(found)) if len(found) else found
-                    times: dict[int, int] = {}
-                    for j in odd:
-                        h = _hash(words[int(j)])
-                        times[h] = times.get(h, 0) + 1
-                    part = slice(bounds[i], bounds[i + 1])
-                    out.append((ids[at], len(words), len(words) - len(odd), float(np.nansum(found)), score, list(times), list(times.values()), lacking[part], n_times[part]))
-                    at += 1
-                cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in LOOKED.split(", ")])
+                text, number, times = _pairs(np.repeat(np.arange(hi - lo), lengths), where, ~hit[where], len(unique))
+                # words likewise, by their hashes
+                coded = words.dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                new = [w for w in distinct if w not in memory]
+                if len(memory) + len(new) > MEMORY:
+                    memory.clear()
+                    new = distinct
+                memory.update((w, _hash(w)) for w in new)
+                hashed = np.fromiter((memory[w] for w in distinct), np.int64, len(distinct))
+                logs, common = _found(hashed, hashes, values)
+                of, by_text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(hi - lo), n_words)
+                rare_text, rare, rare_times = _pairs(by_text, of, ~common[of], max(1, len(distinct)))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(lo, hi - lo), pa.array(n_words), pa.array(np.bincount(by_text, common[of], hi - lo).astype(np.int64)),
+                    pa.array(np.bincount(by_text, logs[of], hi - lo)), pa.array(scores), _lists(hashed[rare], rare_text, hi - lo), _lists(rare_times.astype(np.int32), rare_text, hi - lo),
+                    _lists(unique[number].astype(np.int64), text, hi - lo), _lists(times.astype(np.int32), text, hi - lo)], [x.split()[0] for x in LOOKED.split(", ")])
 
     return docs.mapInArrow(run, LOOKED)
 
@@ -328,7 +359,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tokens, kinds = n_words + ends, n_kinds + (1 if ends else 0)
     common = words.where(F.col("n") >= max(1.0, LEAST_WORD * tokens)).orderBy("word").toArrow()  # at most 1 / LEAST_WORD
     trained = counts.where(F.col("kind") == RUN).select("key", "n")
-    states, told, places = tables(trained)
+    states, told = tables(trained)
     cache = values_of(frequent_of(trained), states, told).toArrow()  # at most CACHED_RUNS
     order = np.argsort(cache["run"].to_numpy())
     cache = cache.take(pa.array(order))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import suffix_tree as st
@@ -10,6 +11,13 @@ from pulsegrid.llm import suffix_tree as st
 SF = "/root/testdata/sf0.01"
 
 
+def grow(counts):
+    """The whole tree in one place."""
+    states, told = st.tables(counts)
+    return st.Tree(st._levels(states.toArrow(), "context", "c"), st._levels(told.toArrow(), "run", "n"))
+
+
+
 def brute_base(rows):
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     words = lambda t: (t or "").encode().lower().split()
@@ -59,6 +67,24 @@ def test_runs_of_texts():
     assert back[:4] == [n + b"a", n[1:] + b"ab", n[2:] + b"ab\n", n + b"\n"] and back[-1] == b"abcdef\n"[-st.DEPTH - 1:]
 
 
+def test_reading_equals_plain_splitting():
+    texts = ["A bc  D\té", None, "", " \n\x0b\x0c\r", "x", "nul\0 \0Z", "  lead and trail  ", "ß\u3000ẞ", "w " * 5000]
+    words, n_words, codes, lengths = st.read(pa.array(texts))
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for x in plain for w in x] and n_words.tolist() == list(map(len, plain))
+    want, want_lengths = st.runs([b" ".join(x) for x in plain])
+    assert np.array_equal(codes, want) and np.array_equal(lengths, want_lengths)
+    assert [len(x) for x in st.read(pa.array([], pa.string()))] == [0, 0, 0, 0]
+
+
+def test_hot_contexts_are_dealt_further(spark, documents, monkeypatch):
+    docs = documents([f"the then there these {i % 9} theme thesis" for i in range(60)])
+    want = {r["doc_id"]: r["score"] for r in st.score_documents(docs).collect()}
+    monkeypatch.setattr(st, "GROUP", 3)
+    monkeypatch.setattr(st, "CACHED_RUNS", 5)
+    assert {r["doc_id"]: r["score"] for r in st.score_documents(docs).collect()} == pytest.approx(want)
+
+
 def brute_tree(texts):
     """Counts, states and probabilities by the definitions, over Python strings."""
     n = Counter()
@@ -74,7 +100,7 @@ def brute_tree(texts):
         kinds[r[:-1]] += 1
     states = set()
     for s in c:
-        if s and c[s] >= max(1, st.LEAST_CONTEXT * total):
+        if s and c[s] >= 1:
             gain = sum(x * math.log(x / c[s] / (n[r[1:]] / c[s[1:]])) for r, x in n.items() if r[:-1] == s and len(r) > 1)
             if gain > st.GAIN * kinds[s]:
                 states |= {s[i:] for i in range(len(s))}
@@ -94,7 +120,7 @@ def brute_tree(texts):
 def test_tree_equals_its_definition(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log", "that cat and that dog ran to the log", "a b a b a b a b a c"] * 4
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree = st.grow(st.count_texts(frame).where(f"kind = {st.RUN}").select("key", "n"))
+    tree = grow(st.count_texts(frame).where(f"kind = {st.RUN}").select("key", "n"))
     p, states = brute_tree(texts)
     got = {int(c).to_bytes(k, "big").decode() for k, node, *_ in tree.levels for c in node}
     assert got == states and states
@@ -113,7 +139,7 @@ def test_rare_contexts_stay_on_a_large_table(spark):
     for text, n in ((b"the cat sat on the mat and the dog sat on the log", 10 ** 6), (b"quartz jumped zyx", 3)):
         for c in st.runs([text])[0].tolist():
             counts[c] += n
-    tree = st.grow(spark.createDataFrame(list(counts.items()), "key bigint, n bigint"))
+    tree = grow(spark.createDataFrame(list(counts.items()), "key bigint, n bigint"))
     got = {int(c).to_bytes(k, "big") for k, node, *_ in tree.levels for c in node}
     assert b"z" in got and any(len(c) > 1 and c in b"quartz jumped zyx" and c not in b"the cat sat on the mat and the dog sat on the log" for c in got)
     assert 10 ** tree.log_probabilities(st.runs([b"quartz jumped zyx"])[0]).sum() > 1e-9
