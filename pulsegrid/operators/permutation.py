@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pulsegrid.operators.ordered import attach_one_row, positions
+from pulsegrid.session import cut_lineage
 
 #: Numbers of a block of rows that a task holds at a time.
 BLOCK_CELLS = 1 << 22
@@ -135,5 +136,5 @@ def permanova(df: DataFrame, id_: str, label: str, x: str = "x", permutations: i
 def permdisp(df: DataFrame, id_: str, label: str, x: str = "x", permutations: int = 5000, seed: int = 0) -> DataFrame:
     """Homogeneity of dispersion: ANOVA F of fixed deviations under permuted labels."""
     from pulsegrid.operators.pairwise import own_group_dispersion
-    dev = own_group_dispersion(df, id_, x, label).withColumn("_d", F.array("deviation"))
+    dev = cut_lineage(own_group_dispersion(df, id_, x, label).withColumn("_d", F.array("deviation")))  # read several times
     return permutation_p(pseudo_f(permuted_sums(dev, id_, label, "_d", permutations, seed)), "f_stat")
