@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.operators.forest import bin_edges, forest_counts
+from pulsegrid.operators.forest import TOGETHER, bin_edges, forest_counts
 from pulsegrid.operators.labellings import Labellings, labellings
 from pulsegrid.operators.permutation import class_table, permutation_p
 from pulsegrid.session import cut_lineage
@@ -76,12 +76,13 @@ def _pass_sums(lab: Labellings) -> DataFrame:
     return lab.run(work, "p int, n array<double>, s array<double>, g array<double>")
 
 
-def fold_labellings(df: DataFrame, id_: str, label: str, x: str, permutations: int, max_folds: int, seed: int, min_class: int) -> Labellings | None:
+def fold_labellings(df: DataFrame, id_: str, label: str, x: str, permutations: int, max_folds: int, seed: int, min_class: int,
+                    together: int = 1) -> Labellings | None:
     """The labellings a classifier is judged by; as many folds as the smallest class has rows. None when a class is too small."""
     sizes = [r["size"] for r in class_table(df, label).collect()]
     if len(sizes) < 2 or min(sizes) < max(2, min_class):
         return None
-    return labellings(df, id_, label, x, permutations, int(min(max_folds, min(sizes))), seed)
+    return labellings(df, id_, label, x, permutations, int(min(max_folds, min(sizes))), seed, together=together)
 
 
 def cell_counts(lab: Labellings) -> DataFrame:
@@ -184,7 +185,7 @@ def balanced_accuracy(counts: DataFrame) -> DataFrame:
 def forest(df: DataFrame, id_: str, label: str, x: str = "x", trees: int = 60, permutations: int = 0, max_folds: int = 5, seed: int = 0,
            min_class: int = 2, depth: int = 5, bins: int = 32) -> DataFrame | None:
     """One row as ``cross_validated``, by random forests; all trees of all folds and labellings grow together."""
-    lab = fold_labellings(df, id_, label, x, permutations, max_folds, seed, min_class)
+    lab = fold_labellings(df, id_, label, x, permutations, max_folds, seed, min_class, TOGETHER)
     if lab is None:
         return None
     return judged(lab, forest_counts(lab, bin_edges(df.where(F.col(label).isNotNull()), x, lab.d, bins), trees, depth, bins, seed))

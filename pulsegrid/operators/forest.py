@@ -9,7 +9,9 @@ of a fixed shape: ``depth`` bounds their nodes. Votes are averaged class shares
 
 from __future__ import annotations
 
+import itertools
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from pulsegrid.session import cut_lineage
 
 #: Bytes of trees that are sent to every task at a time.
 TREE_BYTES = 128_000_000
+#: Blocks whose counts a task adds up before they leave it.
+TOGETHER = 8
 
 
 def bin_edges(df: DataFrame, x: str, d: int, bins: int) -> np.ndarray:
@@ -72,36 +76,49 @@ def routed(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) ->
     return node
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them, deflated: most are small."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def _unpacked(data: bytes, cells: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, f"<u{len(raw) // cells}")
+
+
 def _histograms(lab: Labellings, shape: Shape, edges: np.ndarray, known: dict, level: int, first: int, stop: int) -> DataFrame:
-    """(p, k, t, at, n): counts of one level of every tree, the cells that aren't zero."""
+    """(p, k, t, n): counts of one level of every tree, added up over the blocks that a task has of the same labellings."""
     shared = lab.frame.sparkSession.sparkContext.broadcast((edges, known))
 
     def work(blocks: Iterator[Block]) -> Iterator[pd.DataFrame]:
         cuts, trees = shared.value
-        low, wide = 2 ** level - 1, shape.bins * shape.classes
-        for block in blocks:
-            x = binned(block.x, cuts)
-            for p in range(max(block.first, first), min(block.stop, stop)):
-                cells = block.cells(p)
-                code, fold = cells // shape.folds, cells % shape.folds
-                weight = shape.weights_of(p, block.b, len(x))
-                out = {"p": [], "k": [], "t": [], "at": [], "n": []}
+        low, cells = 2 ** level - 1, 2 ** level * shape.drawn * shape.bins * shape.classes
+        for (begin, end, _), several in itertools.groupby(blocks, key=lambda b: (b.first, b.stop, b.b // TOGETHER)):
+            held = [(block, binned(block.x, cuts)) for block in several]
+            for p in range(max(begin, first), min(end, stop)):
+                views = []
+                for block, x in held:
+                    cell = block.cells(p)
+                    views.append((x, cell // shape.folds, cell % shape.folds, shape.weights_of(p, block.b, len(x))))
+                out = {"p": [], "k": [], "t": [], "n": []}
                 for k in range(shape.folds):
                     for t in range(shape.trees):
-                        node = routed(x, *trees[p, k, t], level) if level else np.zeros(len(x), np.int64)
-                        mine = np.flatnonzero((fold != k) & (weight[t] > 0) & (node >= low))
-                        if not len(mine):
-                            continue
-                        local = node[mine] - low
-                        drawn = shape.features_of(p, k, t, level)[local]
-                        at = (((local[:, None] * shape.drawn + np.arange(shape.drawn)) * shape.bins + x[mine[:, None], drawn]) * shape.classes + code[mine, None])
-                        counts = np.bincount(at.ravel(), np.repeat(weight[t][mine], shape.drawn), 2 ** level * shape.drawn * wide)
-                        found = np.flatnonzero(counts)
-                        for name, v in zip(out, (p, k, t, found.astype("<i4").tobytes(), counts[found].astype("<i8").tobytes()), strict=True):
-                            out[name].append(v)
+                        counts = np.zeros(cells, np.int64)
+                        drawn_of = shape.features_of(p, k, t, level)
+                        for x, code, fold, weight in views:
+                            node = routed(x, *trees[p, k, t], level) if level else np.zeros(len(x), np.int64)
+                            mine = np.flatnonzero((fold != k) & (weight[t] > 0) & (node >= low))
+                            if not len(mine):
+                                continue
+                            local = node[mine] - low
+                            at = (((local[:, None] * shape.drawn + np.arange(shape.drawn)) * shape.bins + x[mine[:, None], drawn_of[local]]) * shape.classes + code[mine, None])
+                            counts += np.bincount(at.ravel(), np.repeat(weight[t][mine], shape.drawn), cells).astype(np.int64)
+                        if counts.any():
+                            for name, v in zip(out, (p, k, t, _packed(counts)), strict=True):
+                                out[name].append(v)
                 if out["p"]:
                     yield pd.DataFrame(out)
-    return lab.run(work, "p int, k int, t int, at binary, n binary")
+    return lab.run(work, "p int, k int, t int, n binary")
 
 
 def _best_splits(counts: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +151,12 @@ def _splits(parts: DataFrame, shape: Shape, level: int) -> DataFrame:
             feature, cut, children = _best_splits(counts.reshape(2 ** level, shape.drawn, shape.bins, shape.classes), shape.features_of(p, k, t, level))
             out.append((p, k, t, feature.astype("<i2").tobytes(), cut.astype("<i2").tobytes(), children.astype("<f8").tobytes()))
         for pdf in batches:
-            for p, k, t, at, n in zip(pdf["p"], pdf["k"], pdf["t"], pdf["at"], pdf["n"], strict=True):
+            for p, k, t, n in zip(pdf["p"], pdf["k"], pdf["t"], pdf["n"], strict=True):
                 if (p, k, t) != key:
                     if key is not None:
                         close()
                     key, counts = (p, k, t), np.zeros(cells)
-                counts[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+                counts += _unpacked(n, cells)
             if len(out) > 500:
                 yield pd.DataFrame(out, columns=["p", "k", "t", "feature", "cut", "children"])
                 out.clear()
