@@ -31,8 +31,10 @@ from pulsegrid.llm.common import fresh
 
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMORY = 600_000
+#: Stretches and units that a worker keeps, and texts whose ids leave it at a time.
+MEMORY = 150_000
 LONGEST_KEPT = 64
+TEXTS = 500
 
 
 class Pieces:
@@ -80,17 +82,19 @@ class Pieces:
         def spell(upto: int) -> None:
             nonlocal done
             for k in range(done + 1, upto + 1):
-                cost = score[k - 1] + self.missing
-                if piece[k] < 0 and cost > score[k]:
-                    score[k], count[k], back[k] = cost, count[k - 1] + 1, k - 1
+                if piece[k] < 0:
+                    cost = score[k - 1] + self.missing
+                    if cost > score[k]:
+                        score[k], count[k], back[k] = cost, count[k - 1] + 1, k - 1
             done = max(done, upto)
 
         for end, (length, own, i) in self.automaton.iter(text):
             end += 1
-            spell(end - 1)
+            if done < end - 1:
+                spell(end - 1)
             start = end - length
-            total = score[start] + own
-            if total > score[end] or (total == score[end] and (count[start] + 1, -length) < (count[end], back[end] - end)):
+            total, best = score[start] + own, score[end]
+            if total > best or (total == best and (count[start] + 1, -length) < (count[end], back[end] - end)):
                 score[end], count[end], back[end], piece[end] = total, count[start] + 1, start, i
         spell(n)
         ids: list[int] = []
@@ -158,11 +162,18 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
+def slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in runs of at most ``TEXTS`` rows, so that the ids of few texts are held at once."""
+    for batch in batches:
+        for lo in range(0, len(batch), TEXTS):
+            yield batch.iloc[lo:lo + TEXTS]
+
+
 def encode_column(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path)
-        for texts in batches:
+        for texts in slices(batches):
             yield pd.Series([np.frombuffer(model.encode_bytes(t), "<i4") for t in texts], dtype=object)
     return encode(text)
 
@@ -181,7 +192,7 @@ def digest_column(text: Column, path: str) -> Column:
     @F.pandas_udf("piece_ids array<int>, n_pieces bigint, ids_crc32 bigint, n_bytes_spelt bigint, round_trip boolean")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = pieces(path)
-        for texts in batches:
+        for texts in slices(batches):
             rows = []
             for t in texts:
                 data = model.encode_bytes(t)

@@ -5,6 +5,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -209,3 +210,9 @@ def test_warc_headers_of_any_length(spark, folder_of):
     rows = [(1, url, "same"), (2, "u", "same"), (3, url, "other")]
     got = warc.op9_warc(spark, folder_of(pages=spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
     assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_pieces_leave_in_short_batches():
+    """Ids of few texts are held at a time, and a worker keeps few enough words for its share of an executor."""
+    sizes = [len(b) for b in pieces.slices(iter([pd.Series(range(1201)), pd.Series([], dtype=object), pd.Series([7])]))]
+    assert sizes == [500, 500, 201, 1] and pieces.MEMORY <= 150_000
