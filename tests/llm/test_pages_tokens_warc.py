@@ -216,3 +216,23 @@ def test_pieces_leave_in_short_batches():
     """Ids of few texts are held at a time, and a worker keeps few enough words for its share of an executor."""
     sizes = [len(b) for b in pieces.slices(iter([pd.Series(range(1201)), pd.Series([], dtype=object), pd.Series([7])]))]
     assert sizes == [500, 500, 201, 1] and pieces.MEMORY <= 150_000
+
+
+def test_new_stretches_of_many_texts_go_side_by_side(monkeypatch):
+    model, plain = pieces.Pieces(pieces.default_model()), pieces.Pieces(pieces.default_model())
+    words = ["thingorou", "are.\nAnly", "Équeé", "x", "▁", "漢字", "😀é", "\0", "0000", "aaaaaaaaaaaa", "b" * 64, "c" * 70, "", "tion,", "\n\n\t", "ñç", "􏿿"]
+    texts = [None, "", " ", *words, *(f"{a} {b}  {a}{b}" for a in words for b in words)]
+    assert model.encode_texts([]) == []
+    want = [np.array(plain.best(pieces.MARK + t.replace(" ", pieces.MARK)), "<u4").tobytes() if t else b"" for t in texts]
+    assert model.encode_texts(texts) == want and model.encode_texts(texts) == want  # what a worker keeps changes nothing
+    model.table.column[[ord("e"), ord("漢")]] = pieces.Table.RARE  # no column: the other way, to the same ids
+    model.memory.clear()
+    assert model.encode_texts(texts) == want
+
+    def one_by_one(text):
+        raise AssertionError(text)
+
+    model = pieces.Pieces(pieces.default_model())
+    monkeypatch.setattr(model, "best", one_by_one)
+    short = ["thingorou are.\nAnly Équeé 😀é 漢字"]
+    assert model.encode_texts(short) == [plain.encode_bytes(short[0])]
