@@ -1,8 +1,8 @@
 """LM scoring by a probabilistic suffix tree over the bytes of normalised texts, beside a unigram base.
 
 A text is its words (lower-cased in A-Z) joined by blanks, and an end. The tree's states are contexts of up to ``DEPTH``
-bytes. Training counts every (context, next byte) of all training texts: tasks count runs of ``DEPTH`` + 1 bytes, Spark
-sums them, and shorter contexts are sums of longer ones. A context stays if it occurs ``LEAST_COUNT`` times, however large
+bytes. Training counts every (context, next byte) of all training texts: tasks count runs of ``DEPTH`` + 1 bytes, buckets
+of runs sum them, and shorter contexts are sums of longer ones. A context stays if it occurs ``LEAST_COUNT`` times, however large
 the corpus, and passes a divergence test against its parent (the context without its oldest byte): the gain in log-likelihood,
 its count times the Kullback-Leibler divergence, must pay ``GAIN`` nats for each next byte seen. Suffixes of what stays stay too.
 Distributions are smoothed by absolute discounting: what a state doesn't tell of gets the discounts' mass in the parent's
@@ -40,10 +40,12 @@ LEAST_WORD = 2e-7
 GAIN = 1.0
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 7, 2
-#: Bytes a task looks at together, runs and words it sums before passing them on, words it remembers.
-TOGETHER, HELD_RUNS, MEMORY = 1 << 21, 1 << 21, 400_000
+#: Bytes a task looks at together, and runs or words it sums before passing them on.
+TOGETHER, HELD_RUNS = 1 << 21, 1 << 21
 #: Rows of a group that meets by two bytes of context.
 GROUP = 20_000
+#: Levels down to this one have few runs, which are copied to where longer ones are dealt.
+SHORT = 3
 END = 10  # a line feed, which no normalised text has
 SYMBOLS = 256
 
@@ -108,67 +110,111 @@ def read(texts: pa.Array, depth: int = DEPTH) -> tuple[pa.Array, np.ndarray, np.
     return words, n_words, _codes(data, begin, lengths, depth), lengths
 
 
-def _hash(word: bytes) -> int:
+#: A number for each byte at each place of a word; a word's hash is their sum.
+PLACES = 64
+SUMMANDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (PLACES, SYMBOLS), np.uint64).ravel()
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words that have a byte or more; those of over ``PLACES`` bytes are hashed one by one."""
     import xxhash
 
-    value = xxhash.xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    if not len(words):
+        return np.zeros(0, np.int64)
+    data, starts, sizes = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0]:bounds[-1]], bounds[:-1] - bounds[0], np.diff(bounds)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    out = np.add.reduceat(SUMMANDS[(place % PLACES) * SYMBOLS + data], starts)
+    for i in np.flatnonzero(sizes > PLACES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + sizes[i]].tobytes())
+    return out.view(np.int64)
 
 
-COUNTED = ["kind", "key", "n"]
+COUNTED = ["kind", "bucket", "keys", "ns"]
 RUN, WORD, TEXT = 0, 1, 2
 
 
-def count_texts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) summed over all rows of (text): runs by number, words by hash, and the number of texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        keys, ns, held, n_texts = [], [], 0, 0
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+class _Sums:
+    """Numbers of keys, passed on when many distinct ones are held."""
+
+    def __init__(self, kind: int, buckets: int):
+        self.kind, self.buckets = kind, buckets
+        self.keys: list[np.ndarray] = []
+        self.ns: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, n = np.unique(keys, return_counts=True)
+        self.keys.append(k)
+        self.ns.append(n)
+        self.held += len(k)
+        if self.held > HELD_RUNS:
+            k, n = _summed(np.concatenate(self.keys), np.concatenate(self.ns))
+            self.keys, self.ns, self.held = [k], [n], len(k)
+            if len(k) > HELD_RUNS // 2:
+                yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """A row a bucket, with its keys and their numbers."""
+        if self.held:
+            k, n = _summed(np.concatenate(self.keys), np.concatenate(self.ns))
+            bucket = (((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            own, first = np.unique(bucket[order], return_index=True)
+            bounds = pa.array(np.append(first, len(k)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(own), self.kind, np.int32)), pa.array(own.astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(k[order].astype(np.int64))),
+                pa.ListArray.from_arrays(bounds, pa.array(n[order].astype(np.int64)))], COUNTED)
+        self.keys, self.ns, self.held = [], [], 0
 
-        def rows(kind: int, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), kind, np.int32)), pa.array(k[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], COUNTED)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, n = np.concatenate(keys), np.concatenate(ns)
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return k[first], np.add.reduceat(n, first)
+def count_texts(texts: DataFrame) -> DataFrame:
+    """(kind, key, n) summed over all rows of (text): runs by number, words by hash, and the number of texts.
 
-        def words_out() -> Iterator[pa.RecordBatch]:
-            yield from rows(WORD, np.array([_hash(w) for w in seen], np.int64), np.array(list(seen.values()), np.int64))
-            seen.clear()
+    Tasks sum what they read and deal the sums by key; a bucket's sums meet as arrays.
+    """
+    buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs_, words_, n_texts = _Sums(RUN, buckets), _Sums(WORD, buckets), 0
+        codes_, hashes_, size = [], [], 0
         for batch in batches:
-            for lo, hi in slices_of(batch.column(0), TOGETHER):
+            for lo, hi in slices_of(batch.column(0), TOGETHER // 4):
                 n_texts += hi - lo
                 words, _, codes, _ = read(batch.column(0).slice(lo, hi - lo))
-                found = words.value_counts()
-                for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                    seen[w] = seen.get(w, 0) + n
-                if len(seen) > MEMORY:
-                    yield from words_out()
-                k, n = np.unique(codes, return_counts=True)
-                keys.append(k)
-                ns.append(n)
-                held += len(k)
-                if held > HELD_RUNS:
-                    k, n = merged()
-                    if len(k) > HELD_RUNS // 2:
-                        yield from rows(RUN, k, n)
-                        keys, ns, held = [], [], 0
-                    else:
-                        keys, ns, held = [k], [n], len(k)
-        if keys:
-            yield from rows(RUN, *merged())
-        if seen:
-            yield from words_out()
+                codes_.append(codes)
+                hashes_.append(hashes_of(words))
+                size += len(codes)
+                if size >= TOGETHER:
+                    yield from runs_.add(np.concatenate(codes_))
+                    yield from words_.add(np.concatenate(hashes_))
+                    codes_, hashes_, size = [], [], 0
         if n_texts:
-            yield from rows(TEXT, np.zeros(1, np.int64), np.array([n_texts]))
+            if codes_:
+                yield from runs_.add(np.concatenate(codes_))
+                yield from words_.add(np.concatenate(hashes_))
+            yield from runs_.out()
+            yield from words_.out()
+            one = pa.array([[0]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([TEXT], pa.int32()), pa.array([0], pa.int32()), one, pa.array([[n_texts]], pa.list_(pa.int64()))], COUNTED)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        keys, n = _summed(pc.list_flatten(rows["keys"]).to_numpy(), pc.list_flatten(rows["ns"]).to_numpy())
+        return pa.table([pa.array(np.full(len(keys), rows["kind"][0].as_py(), np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
 
-    return texts.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    dealt = texts.mapInArrow(run, "kind int, bucket int, keys array<bigint>, ns array<bigint>")
+    return dealt.groupBy("kind", "bucket").applyInArrow(merge, "kind int, key bigint, n bigint")
 
 
 class Tree:
@@ -214,28 +260,101 @@ def _low(n_bytes: Column) -> Column:
     return F.pow(F.lit(256.0), n_bytes).cast("bigint") - 1
 
 
+def _contexts(runs_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of sorted runs, their numbers, each run's place among the contexts, and how many runs each has."""
+    if not len(runs_):
+        return runs_, n, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = runs_ >> 8
+    new = np.concatenate([[True], before[1:] != before[:-1]])
+    first = np.flatnonzero(new)
+    return before[first], np.add.reduceat(n, first), np.cumsum(new) - 1, np.diff(np.append(first, len(runs_)))
+
+
+def _passed(level: tuple[np.ndarray, np.ndarray], above: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """Whether each context of a level occurs often enough and pays for its runs; ``above`` has the level above."""
+    runs_, n = level
+    _, c, at, kinds = _contexts(runs_, n)
+    _, c_up, at_up, _ = _contexts(*above)
+    up = np.searchsorted(above[0], runs_ & ((1 << 8 * k) - 1))  # without the oldest byte
+    gain = np.bincount(at, n * np.log(n / c[at] * (c_up[at_up[up]] / above[1][up])), len(c))
+    return (c >= LEAST_COUNT) & (gain > GAIN * kinds)
+
+
+def grown(own: tuple[np.ndarray, np.ndarray], short: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray]]:
+    """(is a state, level, code, n) of the tree below some contexts of two bytes.
+
+    From all runs of ``DEPTH`` that are ``own``, the runs of level ``SHORT`` below the same two bytes, and those of level 1. What is told after states
+    of up to ``SHORT`` bytes isn't given; of level 1 only the states that longer ones need are, with n 0.
+    """
+    levels = {1: first, SHORT: short, DEPTH: own}
+    for k in [*range(DEPTH - 1, SHORT, -1), *range(SHORT - 1, 1, -1)]:
+        levels[k] = _summed(levels[k + 1][0] & ((1 << 8 * (k + 1)) - 1), levels[k + 1][1])
+    needed = np.zeros(0, np.int64)
+    for k in range(DEPTH, 1, -1):
+        contexts, c, at, _ = _contexts(*levels[k])
+        stays = _passed(levels[k], levels[k - 1], k)
+        stays[np.searchsorted(contexts, needed)] = True
+        yield True, k, contexts[stays], c[stays]
+        if k > SHORT:
+            yield False, k, levels[k][0][stays[at]], levels[k][1][stays[at]]
+        needed = np.unique(contexts[stays] & ((1 << 8 * (k - 1)) - 1))
+    yield True, 1, needed, np.zeros(len(needed), np.int64)
+
+
 def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree from the summed runs (key, n): states (k, context, c), and the runs told after them (k, run, n)."""
-    # shorter runs are sums of those one byte longer, of which there are fewer on every level
-    below, parts = counts.select(F.col("key").alias("run"), "n"), []
-    for k in range(DEPTH, -1, -1):
-        if k < DEPTH:
-            below = stage(below.groupBy(F.col("run").bitwiseAND(_low(F.lit(k + 1))).alias("run")).agg(F.sum("n").alias("n")), "runs")
-        parts.append(below.select(F.lit(k).alias("k"), "run", "n"))
-    levels = reduce(DataFrame.union, parts)
+    """The tree from the summed runs (key, n): states (k, context, c), and the runs told after them (k, run, n).
+
+    A state's longer and shorter ones share its last two bytes (or lie above, where the alphabet bounds the table), so that runs meet by these two
+    and tasks grow their part of the tree. Two bytes with over ``GROUP`` runs are dealt by two more; the runs of level ``SHORT``, few, are copied there.
+    """
+    spark = counts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = lambda rows, k: rows.groupBy(F.col("run").bitwiseAND(_low(F.lit(k + 1))).alias("run")).agg(F.sum("n").alias("n"))
+    counts = counts.select(F.col("key").alias("run"), "n")
+    short = stage(cut(counts, SHORT), "runs")
+    first = cut(short, 1).orderBy("run").toArrow()  # at most 65,536
+    first = first["run"].to_numpy(), first["n"].to_numpy()
+    none = _summed(first[0] & 255, first[1])
+    shared = spark.sparkContext.broadcast(first)
+
     context = F.shiftright("run", 8)
-    contexts = stage(levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds")).where(
-        (F.col("k") == 0) | (F.col("c") >= LEAST_COUNT)), "contexts")
-    known = levels.withColumn("context", context).join(contexts, ["k", "context"])
-    # a run's parent lacks the oldest byte of its context
-    parents = known.select((F.col("k") + 1).alias("k"), F.col("run").alias("parent"), F.col("n").alias("n_up"), F.col("c").alias("c_up"))
-    gains = known.where("k > 0").withColumn("parent", F.col("run").bitwiseAND(_low(F.col("k")))).join(parents, ["k", "parent"]).groupBy("k", "context", "kinds").agg(
-        F.sum(F.col("n") * F.log(F.col("n") / F.col("c") * (F.col("c_up") / F.col("n_up")))).alias("gain"))
-    passed = gains.where(F.col("gain") > GAIN * F.col("kinds"))
-    kept = passed.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.struct(
-        j.alias("k"), F.col("context").bitwiseAND(_low(j)).alias("context")))).alias("s")).select("s.*").distinct()
-    states = stage(contexts.join(kept, ["k", "context"], "left_semi").select("k", "context", "c"), "states")
-    told = known.join(states, ["k", "context"], "left_semi").select("k", "run", "n").union(levels.where("k = 0").select("k", "run", "n"))
+    pair, four = context.bitwiseAND(_low(F.lit(2))).alias("pair"), context.bitwiseAND(_low(F.lit(4)))
+    sizes = counts.groupBy(pair).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP)
+    hot = F.broadcast(stage(sizes.select("pair", F.ceil(F.col("m") / GROUP).cast("int").alias("splits")), "hot_contexts"))
+    subs = F.explode(F.when(F.col("splits").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1)))
+    own = counts.select(pair, "run", "n").join(hot, "pair", "left").select(F.lit(DEPTH).alias("k"), "pair", F.coalesce(F.pmod(F.xxhash64(four), F.col("splits")).cast("int"), F.lit(0)).alias("sub"), "run", "n")
+    copied = short.select(pair, "run", "n").join(hot, "pair", "left").select(F.lit(SHORT).alias("k"), "pair", subs.alias("sub"), "run", "n")
+    names = ["state", "k", "code", "n"]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        k, runs_, n = (rows[x].to_numpy() for x in ("k", "run", "n"))
+        deep = k == DEPTH
+        copies = np.unique(runs_[~deep], return_index=True)  # parts of the same two bytes may share a task
+        for state, level, code, m in grown(_summed(runs_[deep], n[deep]), (copies[0], n[~deep][copies[1]]), shared.value):
+            for lo in range(0, len(code), 100_000):
+                c = code[lo:lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), state)), pa.array(np.full(len(c), level, np.int32)), pa.array(c), pa.array(m[lo:lo + 100_000])], names)
+
+    tree = stage(own.union(copied).repartition(n, "pair", "sub").select("k", "run", "n").mapInArrow(grow, "state boolean, k int, code bigint, n bigint"), "tree")
+    states = tree.where("state and k > 1").select("k", F.col("code").alias("context"), F.col("n").alias("c"))
+    states = states.where(F.col("k") > SHORT).union(states.where(F.col("k") <= SHORT).distinct())
+    # level 1 is bounded by the alphabet
+    contexts, c, at, _ = _contexts(*first)
+    stays = _passed(first, none, 1)
+    stays[np.searchsorted(contexts, [r["code"] for r in tree.where("state and k = 1").select("code").distinct().collect()])] = True
+
+    def table(k: int, own: np.ndarray, m: np.ndarray, *columns: str) -> DataFrame:
+        return spark.createDataFrame(pa.table([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array(m)], list(columns)))
+
+    states = stage(states.union(table(1, contexts[stays], c[stays], "k", "context", "c")), "states")
+    told = tree.where("not state").select("k", F.col("code").alias("run"), "n")
+    few = reduce(DataFrame.union, [(short if k == SHORT else cut(short, k)).select(F.lit(k).alias("k"), "run", "n") for k in range(2, SHORT + 1)])
+    few = few.withColumn("context", context).join(states.where(F.col("k") <= SHORT), ["k", "context"], "left_semi").select("k", "run", "n")
+    told = told.union(few).union(table(1, first[0][stays[at]], first[1][stays[at]], "k", "run", "n")).union(table(0, *none, "k", "run", "n"))
     return states, stage(told, "told")
 
 
@@ -244,8 +363,8 @@ def _levels(table: pa.Table, key: str, value: str) -> dict[int, tuple[np.ndarray
     level, keys, values, out = table["k"].to_numpy(), table[key].to_numpy().astype(np.uint64), table[value].to_numpy().astype(np.float64), {}
     for k in np.unique(level).tolist():
         own = np.flatnonzero(level == k)
-        own = own[np.argsort(keys[own])]
-        out[k] = keys[own], values[own]
+        kinds, first = np.unique(keys[own], return_index=True)  # copies for several parts may meet
+        out[k] = kinds, values[own[first]]
     return out
 
 
@@ -272,7 +391,7 @@ def values_of(wanted: DataFrame, states: DataFrame, told: DataFrame) -> DataFram
     part = F.pmod(F.xxhash64("pair", "sub"), F.lit(n)).alias("part")
     asked_rows = asked_rows.join(hot, "pair", "left").withColumn("sub", F.coalesce(own, F.lit(0))).select(part, "run")
     subs = F.when(F.col("splits").isNull(), F.array(F.lit(0))).when(F.col("k") > 3, F.array(own)).otherwise(every)
-    model = model.join(hot, "pair", "left").withColumn("sub", F.explode(subs)).select(part, "state", "k", "code", "n").distinct()
+    model = model.join(hot, "pair", "left").withColumn("sub", F.explode(subs)).select(part, "state", "k", "code", "n")
 
     def value(asked: pa.Table, own: pa.Table) -> pa.Table:
         nodes, runs_ = top.value
@@ -315,13 +434,14 @@ def _lists(values: np.ndarray, texts: np.ndarray, n: int) -> pa.Array:
 LOOKED = "doc_id bigint, n_words bigint, n_common bigint, common double, score double, rare array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
 
 
-def look(docs: DataFrame, frequent: np.ndarray, known: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> DataFrame:
+def look(docs: DataFrame, cache: pa.Table, common: pa.Table) -> DataFrame:
     """One pass over (doc_id, text): sums over frequent runs and words, and the rarer ones of both with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, known, hashes, values))
+    order = np.argsort(cache["run"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((
+        cache["run"].to_numpy()[order].view(np.uint64), cache["value"].to_numpy()[order], common["word"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, known, hashes, values = shared.value
-        memory: dict[bytes, int] = {}
         for batch in batches:
             for lo, hi in slices_of(batch.column(1), TOGETHER // 4):
                 words, n_words, codes, lengths = read(batch.column(1).slice(lo, hi - lo))
@@ -330,17 +450,10 @@ def look(docs: DataFrame, frequent: np.ndarray, known: np.ndarray, hashes: np.nd
                 scores = np.add.reduceat(own[where], np.cumsum(lengths) - lengths)
                 text, number, times = _pairs(np.repeat(np.arange(hi - lo), lengths), where, ~hit[where], len(unique))
                 # words likewise, by their hashes
-                coded = words.dictionary_encode()
-                distinct = coded.dictionary.to_pylist()
-                new = [w for w in distinct if w not in memory]
-                if len(memory) + len(new) > MEMORY:
-                    memory.clear()
-                    new = distinct
-                memory.update((w, _hash(w)) for w in new)
-                hashed = np.fromiter((memory[w] for w in distinct), np.int64, len(distinct))
+                hashed, of = np.unique(hashes_of(words), return_inverse=True)
                 logs, common = _found(hashed, hashes, values)
-                of, by_text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(hi - lo), n_words)
-                rare_text, rare, rare_times = _pairs(by_text, of, ~common[of], max(1, len(distinct)))
+                by_text = np.repeat(np.arange(hi - lo), n_words)
+                rare_text, rare, rare_times = _pairs(by_text, of, ~common[of], max(1, len(hashed)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(n_words), pa.array(np.bincount(by_text, common[of], hi - lo).astype(np.int64)),
                     pa.array(np.bincount(by_text, logs[of], hi - lo)), pa.array(scores), _lists(hashed[rare], rare_text, hi - lo), _lists(rare_times.astype(np.int32), rare_text, hi - lo),
@@ -360,10 +473,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     common = words.where(F.col("n") >= max(1.0, LEAST_WORD * tokens)).orderBy("word").toArrow()  # at most 1 / LEAST_WORD
     trained = counts.where(F.col("kind") == RUN).select("key", "n")
     states, told = tables(trained)
-    cache = values_of(frequent_of(trained), states, told).toArrow()  # at most CACHED_RUNS
-    order = np.argsort(cache["run"].to_numpy())
-    cache = cache.take(pa.array(order))
-    looked = look(rows, cache["run"].to_numpy().astype(np.uint64), cache["value"].to_numpy(), common["word"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0))
+    looked = look(rows, values_of(frequent_of(trained), states, told).toArrow(), common)  # at most CACHED_RUNS
     looked = stage(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
 
     rare = looked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

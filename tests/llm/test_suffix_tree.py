@@ -166,3 +166,39 @@ def test_scores_do_not_depend_on_the_cache(spark, documents, monkeypatch):
 
 def test_contexts_reach_past_a_blank_and_a_word():
     assert st.DEPTH >= 6
+
+
+def test_hashes_tell_words_apart():
+    words = [b"a", b"b", b"ab", b"ba", b"abc", b"a" * 64, b"a" * 65, b"a" * 64 + b"b" * 64, b"b" * 64 + b"a" * 64, "né".encode(), b"\0", b"\0\0"]
+    texts = [" ".join(w.decode() for w in words), None, " ".join(w.decode() for w in reversed(words))]
+    read = st.read(pa.array(texts))[0]
+    got = st.hashes_of(read).tolist()
+    assert len(set(got)) == len(words) and got[:len(words)] == got[len(words):][::-1]
+    assert st.hashes_of(read.slice(3, 4)).tolist() == got[3:7] and len(st.hashes_of(read.slice(0, 0))) == 0
+
+
+def test_counts_leave_tasks_by_bucket(spark):
+    sums = st._Sums(st.RUN, 4)
+    keys = np.array([7, 9, 7, 11, 1 << 55, 7], np.uint64)
+    assert list(sums.add(keys)) == [] and list(sums.add(keys[:2])) == []
+    rows = [r for b in sums.out() for r in b.to_pylist()]
+    assert len(rows) <= 4 and len({r["bucket"] for r in rows}) == len(rows)
+    assert {k: n for r in rows for k, n in zip(r["keys"], r["ns"], strict=True)} == {7: 4, 9: 2, 11: 1, 1 << 55: 1} and list(sums.out()) == []
+    texts = ["The the", None, "", "the  THE\nx"] * 3
+    got = {(r["kind"], r["key"]): r["n"] for r in st.count_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    want = Counter(c for t in texts for c in st.runs([" ".join((t or "").lower().split()).encode()])[0].tolist())
+    assert {k: n for (kind, k), n in got.items() if kind == st.RUN} == want
+    assert sorted(n for (kind, _), n in got.items() if kind == st.WORD) == [3, 12] and got[st.TEXT, 0] == len(texts)
+
+
+def test_tree_does_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
+    texts = [f"the then there these {i % 9} theme thesis at that hat" for i in range(60)] + ["quartz", ""]
+    trained = st.count_texts(spark.createDataFrame([(t,) for t in texts], "text string")).where(f"kind = {st.RUN}").select("key", "n")
+
+    def rows():
+        states, told = st.tables(trained)
+        return sorted(map(tuple, states.collect())), sorted(map(tuple, told.collect()))
+
+    want = rows()
+    monkeypatch.setattr(st, "GROUP", 3)
+    assert rows() == want and all(len(set(x)) == len(x) for x in want) and {k for k, *_ in want[0]} == set(range(1, st.DEPTH + 1))
