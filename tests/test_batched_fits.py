@@ -201,6 +201,47 @@ def test_ward_equals_greedy_merging(spark, monkeypatch, local, tile):
                 assert sorted(map(sorted, groups[r, k].values())) == at[k]
 
 
+@pytest.mark.parametrize("local,tile", [(256, 2048), (20, 16)])
+def test_ward_in_rounds_of_one_task_equals_greedy_merging(spark, monkeypatch, local, tile):
+    monkeypatch.setattr(WD, "LOCAL", local)
+    monkeypatch.setattr(WD, "TILE", tile)
+    monkeypatch.setattr(WD, "FEW", 8)
+    monkeypatch.setattr(WD, "STRIP_CELLS", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(70, 3)) * (1 + 3 * (rng.random((70, 1)) > 0.8))
+    x = np.vstack([x, x[:20], x[:5]])
+    points = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "r int, id long, x array<double>")
+    labels, heights = WD.ward(points, (2, 3, 5))
+    want, at = brute_ward(x)
+    assert sorted(t["height"] for t in heights.collect()) == pytest.approx(sorted(want), abs=1e-6)
+    groups = {}
+    for t in labels.collect():
+        groups.setdefault(t["k"], {}).setdefault(t["label"], []).append(t["id"])
+    for k in (2, 3, 5):
+        assert sorted(map(sorted, groups[k].values())) == at[k]
+
+
+def test_ward_cuts_copies_of_few_vectors(spark, monkeypatch):
+    monkeypatch.setattr(WD, "FEW", 40)
+    points = spark.createDataFrame([(1, i, [float(i % 2)]) for i in range(400)], "r int, id long, x array<double>")
+    labels, heights = WD.ward(points, (2, 6))
+    found = {k: {t["label"]: set() for t in labels.where(f"k = {k}").collect()} for k in (2, 6)}
+    for t in labels.collect():
+        found[t["k"]][t["label"]].add(t["id"] % 2)
+    assert sorted(map(sorted, found[2].values())) == [[0], [1]] and len(found[6]) == 6 and all(len(v) == 1 for v in found[6].values())
+    assert heights.count() == 399
+
+
+def test_estimated_sizes_do_not_grow_over_passes(spark):
+    from pulsegrid.session import cut_lineage
+    rows = spark.range(50).withColumnRenamed("id", "a")
+    bits = []
+    for _ in range(5):
+        rows = cut_lineage(rows.join(rows.select("a", (rows["a"] + 0).alias("b")), "a").join(rows.select("a"), "a").select("a"))
+        bits.append(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+    assert max(bits) <= 64 and rows.count() == 50
+
+
 def test_consensus_finds_the_clouds(clouds):
     df, x, y = clouds
     got = {r["k"]: r for r in K.consensus_choice(df, "id", (2, 3), runs=6).collect()}
