@@ -1,6 +1,7 @@
 """Labellings drawn by blocks, forests grown together, clusterings of many runs, Ward's hierarchy: against brute force."""
 
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -168,6 +169,21 @@ def test_runs_are_clustered_to_a_fixed_point(clouds, monkeypatch, block_cells):
         assert fit > -5.5 and np.bincount(logs.argmax(1), minlength=3).min() > 10
 
 
+def test_runs_of_one_block_are_fitted_without_jobs_between_steps(clouds, monkeypatch):
+    lab = BM.subsamples(clouds[0], "id", "x", 3, 0.8, seed=2)
+    assert lab.n_blocks == 1
+    apart = replace(lab, n_blocks=2)  # as if there were a second block: a job a step
+    centres, near = BM.lloyd(apart, (2, 3), starts=4), BM.medoids(apart, (2, 3))
+    mixed = BM.mixtures(apart, centres)
+    with monkeypatch.context() as m:
+        m.setattr(BM, "_summed", None)  # the driver's; tasks have their own
+        got, got_near, got_mixed = BM.lloyd(lab, (2, 3), starts=4), BM.medoids(lab, (2, 3)), BM.mixtures(lab, centres)
+    for k in (2, 3):
+        assert np.allclose(got[k], centres[k]) and np.allclose(got_near[0][k], near[0][k]) and np.allclose(got_near[1][k], near[1][k])
+        for a, b in zip(got_mixed[k], mixed[k], strict=True):
+            assert np.allclose(a, b, rtol=1e-5, atol=1e-8)
+
+
 def brute_ward(x):
     """Merge heights and the clusters at every number of them, by trying all pairs."""
     groups, heights, at = [[i] for i in range(len(x))], [], {}
